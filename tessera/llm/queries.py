@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, pii, pu_classifier, quality_rules
+from . import ngram_join, order_minhash, packing, pii, pu_classifier, quality_rules
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.score(docs, pu_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -52,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pu_classifier, op5_quality_rules, op7_ngram_jaccard, op9_pii, op10_packing, pipeline]
+    found = [op3_pu_classifier, op4_order_minhash, op5_quality_rules, op7_ngram_jaccard, op9_pii, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
