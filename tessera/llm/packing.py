@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +30,27 @@ PIECE = 256
 #: Pieces of a group on average. A group is one task's work; its windows are dealt among its own pieces only.
 GROUP_PIECES = 1024
 END_ID = 0
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps, some 200 bytes each; beyond that it starts anew.
+CACHE_WORDS = 1_000_000
+#: Characters tokenized at once.
+SLICE = 1 << 22
+#: White space besides the space and the line feed.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level vocabulary: printable ones stand for themselves, others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(others)) for b in range(256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -37,48 +59,45 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 class WordTokenizer:
     """Token ids of whole texts, with the ids of space-separated words kept.
 
-    A single space between two other characters always begins a new word of the byte-level vocabulary's
-    pre-tokenizer, so the parts can be encoded apart. Other texts are encoded as they are.
+    A single space between two other characters always begins a new part of the vocabulary's pre-tokenizer, so words
+    can be encoded apart, each part once. Other texts are encoded as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.parts_of = regex.compile(public_tokenizers.PATTERN).findall
         self.kept: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        kept, new, split = self.kept, {}, []
-        for t in texts:
-            words = t.split(" ")
-            if self._apart(t, words):
-                words[1:] = [f" {w}" for w in words[1:]]
-            else:
-                words = [t] if t else []
-            split.append(words)
-            for w in words:
-                if w not in kept:
-                    new[w] = None
-        if new:
-            found = self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-            short = {w: b for w, b in new.items() if len(w) <= 64}
-            kept.update(short)
-            get = (kept | new).__getitem__ if len(short) < len(new) else kept.__getitem__
-        else:
-            get = kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _apart(self, text: str, words: list[str]) -> bool:
-        if len(words) < 2 or any(s in text for s in self.special):
+        for kept in (self.kept, self.parts):
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
+        split = [t.split(" ") if self._apart(t) else None for t in texts]
+        # first words stand without a space before them, all others with one
+        heads = self.tokenizer.encode_batch_fast([t if w is None else w[0] for t, w in zip(texts, split, strict=True)], add_special_tokens=False)
+        words = set(chain.from_iterable(w[1:] for w in split if w))
+        for w in words.difference(self.kept):
+            self.kept[w] = b"".join([self.parts.get(p) or self._part(p) for p in self.parts_of(f" {w}")])
+        get = {w: self.kept[w] for w in words}.__getitem__
+        return [_bytes(h.ids) if w is None else _bytes(h.ids) + b"".join(map(get, w[1:])) for h, w in zip(heads, split, strict=True)]
+
+    def _part(self, part: str) -> bytes:
+        self.parts[part] = found = _bytes([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))])
+        return found
+
+    def _apart(self, text: str) -> bool:
+        """Whether each space stands between two characters that are no white space."""
+        if text[:1].isspace() or text[-1:].isspace() or any(p in text for p in ("  ", " \n", "\n ", *self.special)):
             return False
-        return all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words)
+        return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE)
 
 
 def tokenize(batches: Iterator[pd.DataFrame], path: str, capacity: int, piece: int) -> Iterator[pd.DataFrame]:
@@ -89,7 +108,7 @@ def tokenize(batches: Iterator[pd.DataFrame], path: str, capacity: int, piece: i
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 21):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < SLICE):
                 size += len(texts[hi])
                 hi += 1
             rows: list[tuple] = []
