@@ -125,6 +125,13 @@ class Words:
         h = np.add.reduceat((self.buf[~self.space].astype(np.uint64) + np.uint64(1)) * factor, at)
         return mix(h + size.astype(np.uint64))
 
+    def text_keys(self, ids: np.ndarray) -> np.ndarray:
+        """A 64-bit key of each row: its id and whole text."""
+        place = np.arange(len(self.buf), dtype=np.int64) - np.repeat(self.base, np.diff(np.append(self.base, len(self.buf))))
+        factor = _POWER[place & (_MULTIPLIERS - 1)] + (place >> 16).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD92)
+        h = np.add.reduceat((self.buf.astype(np.uint64) + np.uint64(1)) * factor, self.base)
+        return mix(mix(h) ^ ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
     def per_text(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text the mask over buf marks."""
         return np.add.reduceat(mask, self.base, dtype=np.int64) if len(self.base) else np.zeros(0, np.int64)

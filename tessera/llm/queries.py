@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, order_minhash, packing, pii, pu_classifier, quality_rules
+from . import neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules
 from .common import table
 
 
@@ -26,10 +26,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = neural_lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_viterbi.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     base = pii.KINDS[:4]
@@ -56,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pu_classifier, op4_order_minhash, op5_quality_rules, op7_ngram_jaccard, op9_pii, op10_packing, pipeline]
+    found = [op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
