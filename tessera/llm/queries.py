@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules
+from . import html_layout, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes
 from .common import table
 
 
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.threads(table(spark, sf_dir, "conversations"))
+
+
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pu_classifier.score(docs, pu_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -67,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, pipeline]
+    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
