@@ -36,6 +36,8 @@ PERCENT = 75
 SAMPLE, FREQUENT, FREQUENT_AT = 8192, 100_000, 3
 #: Bits of the filter of documents still in play, and classes whose further copies are skipped, at most.
 FILTER_BITS, COPIED, COPIED_AT = 1 << 23, 10_000, 32
+#: Bits of the hash by which classes are told apart while n-grams are counted.
+TAG_BITS = 48
 _BAND = math.log(4 / 3)
 
 
@@ -117,10 +119,12 @@ def _filter_of(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _shared(docs: DataFrame, frequent: np.ndarray, skip: dict[int, int], part: int, n: int, passing: bytes | None = None) -> DataFrame:
-    """(fp, shared): of the first n_shingles // part + 1 n-grams of each class, how many another class has among its own.
+def _shared(docs: DataFrame, frequent: np.ndarray, skip: dict[int, int], part: int, n: int, key_bits: int, passing: bytes | None = None) -> DataFrame:
+    """(tag, shared): of the first n_shingles // part + 1 n-grams of each class, how many another class has among its own.
 
-    Counts add up over the documents of a class that were looked at. Frequent n-grams count as shared.
+    Counts add up over the documents of a class that were looked at. Frequent n-grams count as shared. N-grams are cut
+    to key_bits and classes to TAG_BITS of their hash to keep the shuffle small: n-grams or classes that fall together
+    only raise the counts, and with them the work.
     """
 
     def row(doc_id: int, grams: np.ndarray) -> pd.DataFrame | None:
@@ -132,17 +136,20 @@ def _shared(docs: DataFrame, frequent: np.ndarray, skip: dict[int, int], part: i
         at = np.searchsorted(frequent, grams)
         often = (frequent[np.minimum(at, len(frequent) - 1)] == grams) if len(frequent) else np.zeros(len(grams), bool)
         most = min(len(grams), len(grams) // part + 1)
-        keys = grams[~often][:most].view(np.int64)
+        keys = (grams[~often][:most] >> np.uint64(63 - key_bits)).view(np.int64)
         hot = most - len(keys)
         if hot:  # a row of the class's own for its frequent n-grams
-            keys = np.append(keys, np.int64(fp))
-        return pd.DataFrame({"key": keys, "fp": np.int64(fp), "hot": np.append(np.zeros(len(keys) - 1, np.int32), np.int32(hot)) if hot else np.zeros(len(keys), np.int32)})
+            keys = np.append(keys, -1 - np.int64(fp & ((1 << TAG_BITS) - 1)))
+        points = np.zeros(len(keys), np.int32)
+        if hot:
+            points[-1] = hot
+        return pd.DataFrame({"key": keys, "tag": np.int64(fp & ((1 << TAG_BITS) - 1)), "hot": points})
 
-    rows = _over_sets(docs, row, {"key": "long", "fp": "long", "hot": "int"}, n, passing)
+    rows = _over_sets(docs, row, {"key": "long", "tag": "long", "hot": "int"}, n, passing)
     same = Window.partitionBy("key")
-    counted = rows.select("fp", "hot", (F.min("fp").over(same) != F.max("fp").over(same)).alias("met"))
+    counted = rows.select("tag", "hot", (F.min("tag").over(same) != F.max("tag").over(same)).alias("met"))
     points = F.when(F.col("hot") > 0, F.col("hot")).otherwise(F.col("met").cast("int"))
-    return counted.select("fp", points.alias("p")).where("p > 0").groupBy("fp").agg(F.sum("p").alias("shared"))
+    return counted.select("tag", points.alias("p")).where("p > 0").groupBy("tag").agg(F.sum("p").alias("shared"))
 
 
 def _size_fits(a: str, b: str) -> Column:
@@ -151,11 +158,14 @@ def _size_fits(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
-    left = held.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
+    """The pairs (a, b) whose sketches may and whose sets do agree enough."""
+    left, right = (held.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g{x}"), F.col("bands").alias(f"s{x}")) for x in "ab")
+    # the sketch of the larger one's band, which both have if their sizes fit
+    of = "get(filter({}, s -> s.band = greatest(sa[0].band, sb[0].band)), 0).sketch"
+    differ = f"aggregate(zip_with({of.format('sa')}, {of.format('sb')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    near = pairs.join(left, "a").join(right, "b").where(F.expr(f"7 * {differ} <= size(ga) + size(gb)"))
     both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    return near.where(100 * both >= PERCENT * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
 def link(docs: DataFrame, n: int = N) -> DataFrame:
@@ -185,43 +195,48 @@ def _links(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     weighed = classes.join(F.broadcast(listed), "fp", "left")  # at most COPIED rows
     weighed = weighed.withColumn("looked_at", F.when(F.col("listed"), 1).otherwise(F.col("copies"))).drop("listed")
 
+    tag = F.col("fp").bitwiseAND((1 << TAG_BITS) - 1)
+    weighed = weighed.withColumn("tag", tag)
+    key_bits = min(63, int(weighed.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]).bit_length() + 8)
     # first among a third of each document's n-grams: a link needs a twelfth of all n-grams shared there
-    some = _shared(docs, frequent, skip, 3, n)
-    near = C.cut(weighed.join(some, "fp").where("shared >= greatest(1, n div 12) * looked_at").select("doc_id", "n", "fp", "looked_at"))
+    some = _shared(docs, frequent, skip, 3, n, key_bits)
+    near = C.cut(weighed.join(some, "tag").where("shared >= greatest(1, n div 12) * looked_at").select("doc_id", "n", "tag"))
     # then among all of them, of the documents that are left: a link needs three quarters shared
-    all_shared = _shared(docs, frequent, skip, 1, n, _filter_of(near))
-    held_ids = C.cut(near.join(all_shared, "fp").where("4 * shared >= 3 * n").select("doc_id", "n", F.least("n", F.col("shared")).alias("shared")))
-
-    def row(doc_id: int, grams: np.ndarray) -> tuple:
-        b = band(max(len(grams), 1))
-        return doc_id, grams.view(np.int64), segments(grams)[: len(grams) // 4 + 1].view(np.int64), [{"band": x, "sketch": parity(grams, x)} for x in (b, b + 1)]
-
-    schema = {"doc_id": "long", "grams": "array<long>", "keys": "array<long>", "bands": "array<struct<band: int, sketch: array<long>>>"}
-    held = C.cut(_over_sets(docs, row, schema, n, _filter_of(held_ids)).join(held_ids, "doc_id").dropDuplicates(["doc_id"]))
-
-    met = held.select("doc_id", "n", "shared", F.explode("bands.band").alias("band"), "keys").select("doc_id", "n", "shared", "band", F.explode("keys").alias("key"))
-    # the member with the fewest n-grams of its own stands for its group
-    star = met.groupBy("key", "band").agg(F.min(F.struct(((F.col("n") - F.col("shared")) * 1000 / F.col("n")).cast("int").alias("own"), "doc_id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    spokes = met.join(star, ["key", "band"]).where((F.col("doc_id") != F.col("hub.doc_id")) & _size_fits("n", "hub.n"))
-    first = C.cut(_verified(spokes.groupBy("doc_id", F.col("hub.doc_id").alias("h")).agg(F.count("*")).select(F.col("doc_id").alias("a"), F.col("h").alias("b")), held))
-
-    # groups that still hold several components: members outside the largest one meet the others
-    of = components(first)
-    placed = met.join(of.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mains = (
-        placed.groupBy("key", "band", "component").agg(F.count("*").alias("c")).groupBy("key", "band")
-        .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    every = _shared(docs, frequent, skip, 1, n, key_bits, _filter_of(near))
+    held_ids = C.cut(near.join(every, "tag").where("4 * shared >= 3 * n").select("doc_id", F.least("n", F.col("shared")).alias("shared")).distinct())
+
+    def row(doc_id: int, grams: np.ndarray) -> tuple | None:
+        if not len(grams):
+            return None
+        b = band(len(grams))
+        return doc_id, len(grams), grams.view(np.int64), segments(grams)[: len(grams) // 4 + 1].view(np.int64), [{"band": x, "sketch": parity(grams, x)} for x in (b, b + 1)]
+
+    schema = {"doc_id": "long", "n": "long", "grams": "array<long>", "keys": "array<long>", "bands": "array<struct<band: int, sketch: array<long>>>"}
+    held = C.cut(_over_sets(docs, row, schema, n, _filter_of(held_ids)))
+    keyed = held.select("doc_id", "n", "keys").join(held_ids, "doc_id").withColumn("own", ((F.col("n") - F.col("shared")) * 1000 / F.col("n")).cast("int"))
+
+    # in each segment the member with the fewest n-grams of its own stands for all; each document meets its most frequent one
+    met = keyed.select("doc_id", "n", "own", F.explode("keys").alias("key"))
+    star = met.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    spokes = met.join(star, "key").where((F.col("doc_id") != F.col("hub.doc_id")) & _size_fits("n", "hub.n"))
+    meetings = spokes.groupBy("doc_id", F.col("hub.doc_id").alias("h")).agg(F.count("*").alias("c"))
+    first = C.cut(_verified(meetings.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("h", F.struct("c", (-F.col("h")).alias("m"))).alias("b")), held))
+
+    # segments that still hold several components: members outside the hub's meet the others, if the bounds allow a link
+    of = components(first).select(F.col("node").alias("doc_id"), "component")
+    placed = keyed.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = placed.select("doc_id", "n", "own", "shared", "component", F.explode("keys").alias("key"))
+    still = (
+        placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("own", "doc_id", "component")).alias("hub"))
+        .where("low <> high").select("key", F.col("hub.component").alias("main"))
     )
-    open_rows = placed.join(mains.select("key", "band", "main"), ["key", "band"])
-    sketches = held.select("doc_id", F.explode("bands").alias("s")).select("doc_id", "s.band", "s.sketch")
-    open_rows = C.cut(open_rows.join(sketches, ["doc_id", "band"]))
-    x, y = open_rows.where("component <> main").alias("x"), open_rows.alias("y")
+    rows = placed.join(still, "key")
+    x, y = rows.where("component <> main").alias("x"), rows.alias("y")
     fits = F.expr(
         "x.component <> y.component and (y.component = y.main or x.doc_id < y.doc_id)"
         " and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) and 3 * (x.n + y.n) <= 7 * least(x.shared, y.shared)"
-        " and 7 * aggregate(zip_with(x.sketch, y.sketch, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= x.n + y.n"
     )
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & fits)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & fits)
     second = C.cut(_verified(rest.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*")).select("a", "b"), held))
     return first.unionByName(second)
 
