@@ -67,7 +67,7 @@ def lines_window(text: str, size: int, overlap: int) -> list[str]:
         end = feed + 1 if feed > at else end
         if text[at:end].strip():
             out.append(text[at:end].strip())
-        at = end if end >= len(text) else max(end - overlap, at + 1)
+        at = end if end >= len(text) or end - overlap <= at else end - overlap
     return out
 
 

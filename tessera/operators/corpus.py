@@ -129,7 +129,7 @@ def attach_formulas(chunks: DataFrame, formulas: DataFrame, near: float = 50.0)
     known = chunks.where("page is not null").join(f.withColumn("page", F.col("f_page")), ["source_path", "page"])
     other = chunks.where("page is null").join(f, "source_path")
     distance = F.abs(F.col("top") - F.col("f_top"))
-    proximity = F.coalesce(F.greatest(F.lit(0.0), 1 - distance / near), F.lit(0.5))
+    proximity = F.when(distance.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - distance / near))
     cols = ["id", "formula_id", "latex", proximity.alias("proximity")]
     return known.select(*cols).unionByName(other.select(*cols))
 
