@@ -77,12 +77,13 @@ def successors(values: DataFrame, name: str, levels: int = 2) -> DataFrame:
     values = values.select(name).distinct()
     if not levels:
         return values.withColumn("following", F.lead(name).over(Window.orderBy(name)))
-    grouped = values.withColumn("_group", F.shiftright(name, 16))
-    first = grouped.groupBy("_group").agg(F.min(name).alias("_first"))
-    after = successors(first, "_group", levels - 1)
-    low = after.join(first.withColumnRenamed("_group", "following"), "following").select("_group", F.col("_first").alias("_low"))
-    inner = grouped.withColumn("_inner", F.lead(name).over(Window.partitionBy("_group").orderBy(name)))
-    return inner.join(low, "_group", "left").select(name, F.coalesce("_inner", "_low").alias("following"))
+    group = f"_group{levels}"  # a name of its own on each level
+    grouped = values.withColumn(group, F.shiftright(name, 16))
+    first = grouped.groupBy(group).agg(F.min(name).alias("_first"))
+    after = successors(first, group, levels - 1)
+    low = after.join(first.withColumnRenamed(group, "following"), "following").select(group, F.col("_first").alias("_low"))
+    inner = grouped.withColumn("_inner", F.lead(name).over(Window.partitionBy(group).orderBy(name)))
+    return inner.join(low, group, "left").select(name, F.coalesce("_inner", "_low").alias("following"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
