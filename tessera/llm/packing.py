@@ -14,8 +14,8 @@ import os
 import sys
 import zlib
 from array import array
+from bisect import insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,14 +26,16 @@ from . import common as C
 
 CAPACITY = 1024
 #: The longest piece of a document's remainder; short pieces let windows come out equal.
-PIECE = 256
+PIECE = 512
 #: Pieces of a group on average. A group is one task's work; its windows are dealt among its own pieces only.
-GROUP_PIECES = 1024
+GROUP_PIECES = 512
 END_ID = 0
 #: Words whose ids a worker keeps, some 200 bytes each; beyond that it starts anew.
 CACHE_WORDS = 1_000_000
 #: Characters tokenized at once.
 SLICE = 1 << 22
+#: Signs that follow a word as one part, whatever their number.
+SIGNS = ".,;:!?#%*$&|)"
 #: White space besides the space and the line feed.
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
@@ -72,8 +74,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.parts_of = regex.compile(public_tokenizers.PATTERN).findall
-        self.kept: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.kept = _Words(self)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -83,14 +85,23 @@ class WordTokenizer:
         split = [t.split(" ") if self._apart(t) else None for t in texts]
         # first words stand without a space before them, all others with one
         heads = self.tokenizer.encode_batch_fast([t if w is None else w[0] for t, w in zip(texts, split, strict=True)], add_special_tokens=False)
-        words = set(chain.from_iterable(w[1:] for w in split if w))
-        for w in words.difference(self.kept):
-            self.kept[w] = b"".join([self.parts.get(p) or self._part(p) for p in self.parts_of(f" {w}")])
-        get = {w: self.kept[w] for w in words}.__getitem__
+        get = self.kept.__getitem__
         return [_bytes(h.ids) if w is None else _bytes(h.ids) + b"".join(map(get, w[1:])) for h, w in zip(heads, split, strict=True)]
 
+    def word(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        letters = word.rstrip(SIGNS)
+        if letters.isalpha():  # letters, then signs: the commonest two parts
+            signs = word[len(letters) :]
+            return self._part(f" {letters}") + self._part(signs) if signs else self._part(f" {letters}")
+        return b"".join(map(self._part, self.parts_of(f" {word}")))
+
     def _part(self, part: str) -> bytes:
-        self.parts[part] = found = _bytes([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))])
+        found = self.parts.get(part)
+        if found is None:
+            # ASCII letters stand for their own bytes
+            letters = f"{BYTE_LETTERS[32]}{part[1:]}" if part[0] == " " and part.isascii() and part[1:].isalpha() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            self.parts[part] = found = _bytes([t.id for t in self.tokenizer.model.tokenize(letters)])
         return found
 
     def _apart(self, text: str) -> bool:
@@ -100,6 +111,17 @@ class WordTokenizer:
         return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE)
 
 
+class _Words(dict):
+    """Words already encoded; others are encoded when asked for."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.tokenizer.word(word)
+        return found
+
+
 def tokenize(batches: Iterator[pd.DataFrame], path: str, capacity: int, piece: int) -> Iterator[pd.DataFrame]:
     """Pieces of each document: whole windows first, then the remainder in short pieces."""
     tokenizer = WordTokenizer(path)
@@ -139,6 +161,13 @@ def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
         _, _, b = heapq.heappop(heap)
         # both list their non-empty windows, fullest first; a's empty windows, then its emptiest, meet b's fullest
         room = windows - len(a)
+        if len(b) == 1:
+            (s, items), (t, own) = b[0], a.pop() if not room else (0, [])
+            insort(a, (s + t, own + items), key=lambda x: -x[0])
+            least = a[-1][0] if len(a) == windows else 0
+            heapq.heappush(heap, (-(a[0][0] - least), serial, a))
+            serial += 1
+            continue
         merged = a[::-1]
         for k, (s, items) in enumerate(b[room:]):
             t, own = merged[k]
