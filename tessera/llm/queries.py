@@ -79,5 +79,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Links by shared 5-word shingles, and components by reachability.
+_SPACE = r"[^\x20\x09-\x0D]+"
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY 1),
+same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g)) AS class_id FROM (SELECT doc_id, list(g) AS g FROM s GROUP BY 1))
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id, coalesce(same.class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.x = w.doc_id LEFT JOIN same ON same.doc_id = w.doc_id"""
+
+_LINES = r"string_split(regexp_replace(text, '\r\n', chr(10), 'g'), chr(10))"
+_NORMAL = r"trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_INTRO = quotes.INTRODUCES.replace("(?i)", "")
+#: Quote levels by line, passages as runs of one level, and the latest earlier turn that said the same.
+OP1_SQL = f"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, coalesce(turn, -1)::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, row_number() OVER () AS key FROM m),
+l AS (SELECT conv_id, turn, key, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS pos FROM k),
+b AS (SELECT *, len(regexp_extract_all(regexp_extract(line, '^((?:\\s*>)+)', 1), '>')) AS level, trim(regexp_replace(line, '^((?:\\s*>)+)', '')) AS body FROM l),
+o AS (SELECT *, (level <> coalesce(lag(level) OVER (PARTITION BY key ORDER BY pos), -1))::INT AS opens FROM b),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY pos) AS block FROM o),
+j AS (SELECT conv_id, turn, key, level, block, string_agg(body, ' ' ORDER BY pos) AS joined, list(body) AS bodies FROM g GROUP BY ALL),
+u AS (SELECT DISTINCT conv_id, turn, key, level, {_NORMAL} AS h FROM (SELECT conv_id, turn, key, level, unnest([joined] || bodies || string_split(regexp_replace(joined, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS u FROM j)),
+said AS (SELECT DISTINCT conv_id, h, turn FROM u WHERE level = 0 AND h <> ''),
+src AS (SELECT q.key, q.level, q.h, max(s.turn) AS source FROM u q JOIN said s ON s.conv_id = q.conv_id AND s.h = q.h AND s.turn < q.turn WHERE q.level > 0 AND q.h <> '' GROUP BY 1, 2, 3),
+sums AS (SELECT key, level, source, sum(length(h)) AS weight, count(*) AS n FROM src GROUP BY 1, 2, 3),
+best AS (SELECT key, source AS parent_turn, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level, weight DESC, source DESC) AS r FROM sums) WHERE r = 1),
+a AS (SELECT conv_id, turn, min(parent_turn) AS parent_turn FROM best JOIN k USING (key) GROUP BY 1, 2),
+up AS (SELECT conv_id, turn, parent_turn AS top FROM a UNION SELECT up.conv_id, up.turn, a.parent_turn FROM up JOIN a ON a.conv_id = up.conv_id AND a.turn = up.top),
+root AS (SELECT conv_id, turn, min(top) AS top FROM up GROUP BY 1, 2),
+own AS (SELECT key, string_agg(line, chr(10) ORDER BY pos) AS text FROM (SELECT *, lead(level) OVER (PARTITION BY key ORDER BY pos) AS below FROM b) WHERE level = 0 AND NOT (coalesce(below, 0) > 0 AND regexp_matches(line, '{_INTRO}', 'i')) GROUP BY 1),
+q AS (SELECT key, count(*) FILTER (level > 0)::BIGINT AS n FROM b GROUP BY 1)
+SELECT k.conv_id, coalesce(root.top, best.parent_turn, k.turn) AS thread_turn, k.turn, best.parent_turn, k.role, q.n AS n_quoted, coalesce(best.n, 0)::BIGINT AS n_linked, regexp_replace(coalesce(own.text, ''), '^\\s*\\n|\\s+$', '', 'g') AS text
+FROM k LEFT JOIN best USING (key) LEFT JOIN root ON root.conv_id = k.conv_id AND root.turn = best.parent_turn LEFT JOIN own ON own.key = k.key LEFT JOIN q ON q.key = k.key"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are held against brute-force versions in tests/llm."""
+    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL}
