@@ -274,3 +274,78 @@ def parse_sections(docs: DataFrame) -> DataFrame:
 def inherit(chunks: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
     """Chunks with columns of their documents and source_ref, the document's id."""
     return chunks.join(docs.select("id", *columns), "id").withColumn("source_ref", F.col("id").cast("string"))
+
+
+#: Titles of sections of a paper.
+ACADEMIC = (
+    "abstract", "introduction", "background", "related work", "literature review", "methodology", "methods", "approach", "materials and methods",
+    "experimental setup", "experiment", "experiments", "results", "results and discussion", "discussion", "conclusion", "conclusions", "references",
+    "bibliography", "acknowledgments", "acknowledgements", "appendix", "supplementary materials",
+)
+ACADEMIC_ZH = ("摘要", "引言", "背景", "方法", "方法论", "实验", "结果", "讨论", "结论", "参考文献")
+#: What opens an article of a contract or law.
+LEGAL = r"(?m)^(?:第[一二三四五六七八九十\d]+条|Article\s+\d+[:\s]|Section\s+\d+[:\s])"
+ACADEMIC_SIZE, ACADEMIC_OVERLAP = 1000, 150
+_PAPER = r"(?m)^(?:\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{0,80}$|(?:" + "|".join(sorted((t.upper() for t in ACADEMIC), key=len, reverse=True)) + r")\s*$)"
+_LABEL = r"(?im)^(" + "|".join(sorted((*ACADEMIC, *ACADEMIC_ZH), key=len, reverse=True)) + r")\s*[:：]?[ \t]*(?:\n|$|(?<=[:：])|(?<=[:：] ))"
+
+
+def packed_with_tail(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Parts packed up to size; each chunk but the first starts with the end of the one before."""
+    out = packed([q for p in parts for q in ([p] if len(p) <= size else pieces(p, size, overlap))], size, "\n\n")
+    return [c if not k or not overlap else f"{out[k - 1][-overlap:].strip()}\n{c}" for k, c in enumerate(out)]
+
+
+def chunk_academic(docs: DataFrame, size: int = ACADEMIC_SIZE, overlap: int = ACADEMIC_OVERLAP) -> DataFrame:
+    """Papers cut at numbered and well-known titles, packed up to size; without titles, by paragraphs."""
+    _check(size, overlap)
+    pattern = re.compile(_PAPER)
+
+    def cut(text: str) -> list[str]:
+        at = [m.start() for m in pattern.finditer(text)]
+        if not at:
+            return packed_with_tail([p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()], size, overlap)
+        bounds = [0, *at, len(text)]
+        return packed_with_tail([p for a, b in zip(bounds, bounds[1:], strict=False) if (p := text[a:b].strip())], size, overlap)
+
+    return _by(cut, docs)
+
+
+def labelled_sections(docs: DataFrame) -> DataFrame:
+    """(id, chunk_index, text) with "[TITLE] " before each section of a paper, English titles in capitals; other texts give none."""
+    pattern = re.compile(_LABEL)
+
+    def cut(text: str) -> list[str]:
+        found = list(pattern.finditer(text))
+        if len(found) < 2:
+            return []
+        ends = [*(m.start() for m in found[1:]), len(text)]
+        return [f"[{m[1].upper()}] {body}" for m, e in zip(found, ends, strict=True) if (body := text[m.end() : e].strip())]
+
+    return _by(cut, docs)
+
+
+def chunk_legal(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Texts with at least two articles cut before each; what stands before the first is kept; longer ones are cut on."""
+    legal = docs.where(F.regexp_count("text", F.lit(LEGAL)) >= 2)
+    return _fitted(sections(legal, LEGAL, preamble=True), size, overlap)
+
+
+def chunk_structure(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
+    """(id, part, title, page, chunk_index, char_start, char_end, text) from given sections, or pages where a document has none.
+
+    docs: id, sections array<struct<title, page, text>>, pages array<struct<page, text>>. The index starts anew in each
+    section; blank chunks are left out.
+    """
+    _check(size, overlap)
+    by_section = docs.select("id", F.posexplode("sections").alias("part", "s")).select("id", F.col("part").cast("long").alias("part"), "s.title", F.col("s.page").cast("long").alias("page"), "s.text")
+    bare = docs.where(F.coalesce(F.size("sections"), F.lit(0)) <= 0)
+    by_page = bare.select("id", F.posexplode("pages").alias("part", "p")).select("id", F.col("part").cast("long").alias("part"), F.lit(None).cast("string").alias("title"), F.col("p.page").cast("long").alias("page"), "p.text")
+    parts = by_section.unionByName(by_page).where(F.length("text") > 0)
+    starts = F.expr(f"sequence(0, length(text) - 1, {size - overlap})")
+    cut = parts.select("*", F.length("text").alias("_n"), F.posexplode(starts).alias("chunk_index", "char_start"))
+    out = cut.select(
+        "id", "part", "title", "page", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("char_start").cast("long").alias("char_start"),
+        F.least(F.col("char_start") + size, "_n").cast("long").alias("char_end"), F.col("text").substr(F.col("char_start") + 1, F.lit(size)).alias("text"),
+    )
+    return out.where(F.trim("text") != "")

@@ -568,3 +568,46 @@ def n2_stage_latency(spark, sf_dir):
 def n3_session_gaps(spark, sf_dir):
     return observe.session_gaps(table(spark, sf_dir, "events"), "user_id", "ts", 30)
 
+
+
+def _titled(spark, sf_dir) -> DataFrame:
+    """Documents whose lines are led by titles of papers and articles in turn."""
+    lines = F.split("text", "\n")
+    title = lambda i: F.element_at(F.array(F.lit("ABSTRACT"), F.lit("INTRODUCTION"), F.lit("RESULTS"), F.lit("Article 1: x")), (i % 4 + 1).cast("int"))
+    return _docs(spark, sf_dir, F.array_join(F.transform(lines, lambda x, i: F.concat(title(i), F.lit("\n"), x)), "\n"))
+
+
+@register()
+def c10_chunk_academic(spark, sf_dir):
+    return chunking.chunk_academic(_titled(spark, sf_dir))
+
+
+@register()
+def c11_labelled_sections(spark, sf_dir):
+    return chunking.labelled_sections(_titled(spark, sf_dir))
+
+
+@register()
+def c12_chunk_legal(spark, sf_dir):
+    return chunking.chunk_legal(_titled(spark, sf_dir))
+
+
+@register()
+def c5_to_c7_runs(spark, sf_dir):
+    """Tables, code and JSON cut by their own rules, through the router on documents made to fit each."""
+    fenced = F.concat(F.lit("```\n"), F.col("text").substr(1, 80), F.lit("\n```\n"), "text")
+    kinds = F.when(F.col("doc_id") % 3 == 0, fenced).when(F.col("doc_id") % 3 == 1, F.to_json(F.array_repeat(F.struct("lang", "source"), 2))).otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit(" | \n")))
+    return chunking.chunk_auto(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kinds.alias("text")))
+
+
+_PARTS = "SELECT doc_id AS id, (i - 1)::BIGINT AS part, CASE WHEN doc_id % 2 = 0 THEN 't' || (i - 1) END AS title, i::BIGINT AS page, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(t) > 0"
+
+
+@register(f"SELECT id, part, title, page, k::BIGINT AS chunk_index, (k * 180)::BIGINT AS char_start, least(k * 180 + 200, length(t))::BIGINT AS char_end, sha256(substring(t, k * 180 + 1, 200)) AS text_sha256 FROM (SELECT *, unnest(generate_series(0, (length(t) - 1) // 180)) AS k FROM ({_PARTS})) WHERE trim(substring(t, k * 180 + 1, 200)) <> ''")
+def c13_c17_chunk_structure(spark, sf_dir):
+    lines = F.split("text", "\n")
+    sections = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("t"), i).alias("title"), (i + 1).alias("page"), x.alias("text")))
+    pages = F.transform(lines, lambda x, i: F.struct((i + 1).alias("page"), x.alias("text")))
+    even = F.col("doc_id") % 2 == 0
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(even, sections).alias("sections"), F.when(~even, pages).alias("pages"))
+    return chunking.chunk_structure(docs, 200, 20).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
