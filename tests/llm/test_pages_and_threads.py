@@ -60,3 +60,20 @@ def test_long_chains_of_answers(spark):
     got = quotes.threads(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [r["turn"] for r in got] == list(range(40)) and {r["thread_turn"] for r in got} == {0}
     assert [r["parent_turn"] for r in got] == [None, *range(39)]
+
+
+def test_threads_equal_their_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from tessera.llm import queries
+
+    talk = pa.table({n: [r[k] for r in TALK] for k, n in enumerate(("conv_id", "turn", "role", "text"))})
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    for row in zip(*(talk[c].to_pylist() for c in talk.column_names)):
+        con.execute("INSERT INTO conversations VALUES (?, ?, ?, ?)", list(row))
+    columns = ["conv_id", "thread_turn", "turn", "parent_turn", "role", "n_quoted", "n_linked", "text"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.OP1_SQL})").fetchall()
+    got = [tuple(r[c] for c in columns) for r in quotes.threads(spark.createDataFrame(TALK, SCHEMA)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
