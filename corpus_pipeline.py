@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, pii, pu_classifier, quality_rules
-from tessera.llm.common import shared_checkpoints, table
+from tessera.llm.common import shared_checkpoints, small_batches, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,13 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    first = ngram_join.link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    small_batches(spark)
+    return ngram_join.keep_first(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked; n_chars follows the text."""
+    small_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -37,6 +38,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents, with their windows."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -19,6 +19,7 @@ _MULTIPLIERS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +40,11 @@ def where_rows(docs: DataFrame, keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send at most so many rows to Python at once: texts are long, and both copies of a batch are held in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(column: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")), F.lit(n))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -89,26 +89,27 @@ def parity(grams: np.ndarray, of_band: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _over_sets(docs: DataFrame, row, schema: dict[str, str], n: int, passing: bytes | None = None) -> DataFrame:
-    """row(doc_id, set) of each document that passes the filter, one frame per slice of texts."""
+def _over_sets(docs: DataFrame, rows, schema: dict[str, str], n: int, passing: bytes | None = None) -> DataFrame:
+    """rows(doc_ids, sets) of the documents that pass the filter, slice by slice; it gives the columns of the schema."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(passing, np.uint8) if passing is not None else None
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            if bits is not None:
-                at = np.fromiter((zlib.crc32(str(i).encode()) % FILTER_BITS for i in ids), np.int64, len(ids))
-                batch = batch[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                ids = batch["doc_id"].to_numpy()
-            texts = C.encoded(batch["text"])
+            if passing is not None:
+                batch = batch[_passes(batch["doc_id"], passing)]
+            ids, texts = batch["doc_id"].to_numpy(), C.encoded(batch["text"])
             for lo, hi in C.slices(texts):
-                out = [x for i, s in zip(ids[lo:hi], gram_sets(texts[lo:hi], n), strict=True) if (x := row(i, s)) is not None]
-                if out:
-                    yield pd.concat(out, ignore_index=True) if isinstance(out[0], pd.DataFrame) else pd.DataFrame(out, columns=list(schema))
+                columns = rows(ids[lo:hi], gram_sets(texts[lo:hi], n))
+                yield pd.DataFrame(dict(zip(schema, columns, strict=True)))
 
     return docs.mapInPandas(run, ", ".join(f"{k} {v}" for k, v in schema.items()))
 
 
+def _passes(ids: pd.Series, passing: bytes) -> np.ndarray:
+    bits = np.frombuffer(passing, np.uint8)
+    at = np.fromiter((zlib.crc32(str(i).encode()) % FILTER_BITS for i in ids), np.int64, len(ids))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _filter_of(ids: DataFrame) -> bytes:
     """A bitmap of hashed ids, of FILTER_BITS bits however many ids there are."""
     at = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FILTER_BITS))
@@ -127,34 +128,36 @@ def _shared(docs: DataFrame, frequent: np.ndarray, skip: dict[int, int], part: i
     only raise the counts, and with them the work.
     """
 
-    def row(doc_id: int, grams: np.ndarray) -> pd.DataFrame | None:
-        if not len(grams):
-            return None
-        fp = set_hash(grams)[0]
-        if skip.get(fp, doc_id) != doc_id:
-            return None
-        at = np.searchsorted(frequent, grams)
-        often = (frequent[np.minimum(at, len(frequent) - 1)] == grams) if len(frequent) else np.zeros(len(grams), bool)
-        most = min(len(grams), len(grams) // part + 1)
-        keys = (grams[~often][:most] >> np.uint64(63 - key_bits)).view(np.int64)
-        hot = most - len(keys)
-        if hot:  # a row of the class's own for its frequent n-grams
-            keys = np.append(keys, -1 - np.int64(fp & ((1 << TAG_BITS) - 1)))
-        points = np.zeros(len(keys), np.int32)
-        if hot:
-            points[-1] = hot
-        return pd.DataFrame({"key": keys, "tag": np.int64(fp & ((1 << TAG_BITS) - 1)), "hot": points})
-
-    rows = _over_sets(docs, row, {"key": "long", "tag": "long", "hot": "int"}, n, passing)
+    def rows(ids: np.ndarray, sets: list[np.ndarray]) -> tuple:
+        keys, tags, hots = [np.zeros(0, np.int64)], [], []
+        sizes = []
+        for doc_id, grams in zip(ids, sets, strict=True):
+            fp = set_hash(grams)[0]
+            if not len(grams) or skip.get(fp, doc_id) != doc_id:
+                continue
+            at = np.searchsorted(frequent, grams)
+            often = (frequent[np.minimum(at, len(frequent) - 1)] == grams) if len(frequent) else np.zeros(len(grams), bool)
+            most = min(len(grams), len(grams) // part + 1)
+            mine = (grams[~often][:most] >> np.uint64(63 - key_bits)).view(np.int64)
+            hot, tag = most - len(mine), fp & ((1 << TAG_BITS) - 1)
+            keys.append(mine)
+            tags.append(tag)
+            hots.append(hot)
+            sizes.append(len(mine))
+        # behind the keys, a row of its own for each class with frequent n-grams
+        tag, hot = np.array(tags, np.int64), np.array(hots, np.int32)
+        some = hot > 0
+        return np.concatenate([*keys, -1 - tag[some]]), np.concatenate([np.repeat(tag, sizes), tag[some]]), np.concatenate([np.zeros(sum(sizes), np.int32), hot[some]])
+
+    rows = _over_sets(docs, rows, {"key": "long", "tag": "long", "hot": "int"}, n, passing)
     same = Window.partitionBy("key")
     counted = rows.select("tag", "hot", (F.min("tag").over(same) != F.max("tag").over(same)).alias("met"))
     points = F.when(F.col("hot") > 0, F.col("hot")).otherwise(F.col("met").cast("int"))
     return counted.select("tag", points.alias("p")).where("p > 0").groupBy("tag").agg(F.sum("p").alias("shared"))
 
 
-def _size_fits(a: str, b: str) -> Column:
-    """Whether sets of these sizes can link at all."""
-    return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
+#: In how many bits two sketches of one width differ.
+_HAMMING = "aggregate(zip_with({}, {}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -162,8 +165,8 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     left, right = (held.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g{x}"), F.col("bands").alias(f"s{x}")) for x in "ab")
     # the sketch of the larger one's band, which both have if their sizes fit
     of = "get(filter({}, s -> s.band = greatest(sa[0].band, sb[0].band)), 0).sketch"
-    differ = f"aggregate(zip_with({of.format('sa')}, {of.format('sb')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
-    near = pairs.join(left, "a").join(right, "b").where(F.expr(f"7 * {differ} <= size(ga) + size(gb)"))
+    fits = f"100 * least(size(ga), size(gb)) >= {PERCENT} * greatest(size(ga), size(gb)) and 7 * {_HAMMING.format(of.format('sa'), of.format('sb'))} <= size(ga) + size(gb)"
+    near = pairs.join(left, "a").join(right, "b").where(F.expr(fits))
     both = F.size(F.array_intersect("ga", "gb"))
     return near.where(100 * both >= PERCENT * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
@@ -178,17 +181,36 @@ def link(docs: DataFrame, n: int = N) -> DataFrame:
     text. Other columns are ignored. An empty table gives no rows.
     """
     docs = C.identified(docs)
-    sized = C.cut(_over_sets(docs, lambda i, s: (i, len(s), *set_hash(s)), {"doc_id": "long", "n": "long", "fp": "long", "fp2": "long"}, n))
+    sized = C.cut(_over_sets(docs, lambda ids, sets: (ids, [len(s) for s in sets], *zip(*map(set_hash, sets), strict=True)), {"doc_id": "long", "n": "long", "fp": "long", "fp2": "long"}, n))
     classes = C.cut(sized.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    edges = _links(docs, classes, n)
-    found = components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    found = _joined(docs, classes, n)
     named = classes.select("fp", "fp2", F.col("doc_id").alias("class_id")).join(found, "class_id", "left")
     out = sized.join(named, ["fp", "fp2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """Edges between classes that give the right components; every pair left out is in one component or too unlike."""
+def keep_first(docs: DataFrame, n: int = N) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, once each, with all their columns.
+
+    Rows without a doc_id stay. Texts are shuffled only where a doc_id may have to go or to be told from its repeats.
+    """
+    found = link(docs, n).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
+    moved = C.cut(found.where("times > 1 or doc_id <> component_id"))
+    passing = _filter_of(moved)
+
+    @F.pandas_udf("boolean")
+    def may_go(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), bool)
+        out[known] = _passes(ids[known].astype("int64"), passing)
+        return pd.Series(out)
+
+    rest = docs.where(may_go("doc_id")).join(moved.where("doc_id <> component_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return docs.where(~may_go("doc_id")).unionByName(rest.select(docs.columns))
+
+
+def _joined(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(class_id, component_id) of classes with links; every pair not compared is in one component or too unlike."""
     skip = {r["fp"]: r["doc_id"] for r in classes.where(F.col("copies") >= COPIED_AT).orderBy(F.desc("copies"), "doc_id").limit(COPIED).select("fp", "doc_id").collect()}
     frequent = _frequent(docs, classes, n)
     listed = docs.sparkSession.createDataFrame([(k,) for k in skip], "fp long").withColumn("listed", F.lit(True))
@@ -205,40 +227,47 @@ def _links(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     every = _shared(docs, frequent, skip, 1, n, key_bits, _filter_of(near))
     held_ids = C.cut(near.join(every, "tag").where("4 * shared >= 3 * n").select("doc_id", F.least("n", F.col("shared")).alias("shared")).distinct())
 
-    def row(doc_id: int, grams: np.ndarray) -> tuple | None:
-        if not len(grams):
-            return None
-        b = band(len(grams))
-        return doc_id, len(grams), grams.view(np.int64), segments(grams)[: len(grams) // 4 + 1].view(np.int64), [{"band": x, "sketch": parity(grams, x)} for x in (b, b + 1)]
+    def sketched(ids: np.ndarray, sets: list[np.ndarray]) -> tuple:
+        some = [(i, g, band(len(g))) for i, g in zip(ids, sets, strict=True) if len(g)]
+        return (
+            np.array([i for i, _, _ in some], np.int64), [len(g) for _, g, _ in some], [g.view(np.int64) for _, g, _ in some],
+            [segments(g)[: len(g) // 4 + 1].view(np.int64) for _, g, _ in some], [[{"band": x, "sketch": parity(g, x)} for x in (b, b + 1)] for _, g, b in some],
+        )
 
     schema = {"doc_id": "long", "n": "long", "grams": "array<long>", "keys": "array<long>", "bands": "array<struct<band: int, sketch: array<long>>>"}
-    held = C.cut(_over_sets(docs, row, schema, n, _filter_of(held_ids)))
+    held = C.cut(_over_sets(docs, sketched, schema, n, _filter_of(held_ids)))
     keyed = held.select("doc_id", "n", "keys").join(held_ids, "doc_id").withColumn("own", ((F.col("n") - F.col("shared")) * 1000 / F.col("n")).cast("int"))
 
-    # in each segment the member with the fewest n-grams of its own stands for all; each document meets its most frequent one
+    # in each segment the member with the fewest n-grams of its own stands for all, so whoever shares one meets one hub
     met = keyed.select("doc_id", "n", "own", F.explode("keys").alias("key"))
-    star = met.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    spokes = met.join(star, "key").where((F.col("doc_id") != F.col("hub.doc_id")) & _size_fits("n", "hub.n"))
-    meetings = spokes.groupBy("doc_id", F.col("hub.doc_id").alias("h")).agg(F.count("*").alias("c"))
-    first = C.cut(_verified(meetings.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("h", F.struct("c", (-F.col("h")).alias("m"))).alias("b")), held))
-
-    # segments that still hold several components: members outside the hub's meet the others, if the bounds allow a link
-    of = components(first).select(F.col("node").alias("doc_id"), "component")
-    placed = keyed.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.select("doc_id", "n", "own", "shared", "component", F.explode("keys").alias("key"))
-    still = (
-        placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("own", "doc_id", "component")).alias("hub"))
-        .where("low <> high").select("key", F.col("hub.component").alias("main"))
-    )
-    rows = placed.join(still, "key")
+    star = met.groupBy("key").agg(F.min(F.struct("own", "doc_id")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    meetings = C.cut(met.join(star.select("key", F.col("hub.doc_id").alias("hub")), "key").groupBy("doc_id", "hub").agg(F.count("*").alias("c")))
+    # each document is compared with the hub it met most often
+    apart = meetings.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"))
+    first = C.cut(_verified(apart.agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("least"))).alias("b")), held))
+
+    # round hubs whose documents are still in several components, those outside the hub's own meet the others
+    of = C.cut(components(first).select(F.col("node").alias("doc_id"), "component"))
+    facts = keyed.select("doc_id", "n", "shared").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(held.select("doc_id", "bands"), "doc_id")
+    placed = meetings.select("doc_id", "hub").join(facts, "doc_id")
+    still = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main"))
+    rows = placed.join(still.where("low <> high").select("hub", "main"), "hub")
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
+    of_band = "get(filter({}.bands, s -> s.band = greatest(x.bands[0].band, y.bands[0].band)), 0).sketch"
     fits = F.expr(
         "x.component <> y.component and (y.component = y.main or x.doc_id < y.doc_id)"
         " and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) and 3 * (x.n + y.n) <= 7 * least(x.shared, y.shared)"
+        f" and 7 * {_HAMMING.format(of_band.format('x'), of_band.format('y'))} <= x.n + y.n"
     )
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & fits)
-    second = C.cut(_verified(rest.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*")).select("a", "b"), held))
-    return first.unionByName(second)
+    rest = x.join(y, (F.col("x.hub") == F.col("y.hub")) & fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    second = _verified(rest, held)
+    # what they add links components with components
+    a, b = (of.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    more = second.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    upper = components(more).select(F.col("node").alias("component"), F.col("component").alias("_low"))
+    named = of.join(upper, "component", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("_low", "component").alias("component_id"))
+    alone = upper.withColumnRenamed("component", "class_id").join(of.select(F.col("doc_id").alias("class_id")), "class_id", "left_anti").select("class_id", F.col("_low").alias("component_id"))
+    return named.unionByName(alone)
 
 
 def _frequent(docs: DataFrame, classes: DataFrame, n: int) -> np.ndarray:
@@ -247,6 +276,6 @@ def _frequent(docs: DataFrame, classes: DataFrame, n: int) -> np.ndarray:
     share = min(1.0, SAMPLE / max(size, 1))
     picked = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))).select("doc_id").limit(2 * SAMPLE)
     texts = docs.join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE ids
-    grams = _over_sets(texts, lambda i, s: (i, s.view(np.int64)), {"doc_id": "long", "grams": "array<long>"}, n).dropDuplicates(["doc_id"])
+    grams = _over_sets(texts, lambda ids, sets: (ids, [s.view(np.int64) for s in sets]), {"doc_id": "long", "grams": "array<long>"}, n).dropDuplicates(["doc_id"])
     top = grams.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= FREQUENT_AT).orderBy(F.desc("count"), "g").limit(FREQUENT)
     return np.sort(np.array([r["g"] for r in top.select("g").collect()], np.int64).view(np.uint64))
