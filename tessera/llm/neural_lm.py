@@ -31,8 +31,10 @@ CLASSES = 1 + WORDS + SHARED
 UNITS = 40
 #: Words whose counts are sent to all tasks, at most.
 TABLE = 1 << 17
-#: Tokens that the network is trained on, at most, and texts they are taken from.
-TOKENS, TEXTS = 600_000, 4000
+#: Tokens that the weights begin with, about; all training tokens follow in shards of about SHARD.
+TOKENS, SHARD = 600_000, 2_000_000
+#: Tokens whose n-grams a task counts at once, and parts that the weights are summed in.
+HELD, SLOTS = 3_000_000, 64
 NOISE = 12
 DISCOUNT = 0.5
 END = 0x1234567
@@ -84,49 +86,80 @@ def normalised(context: list[np.ndarray], word: np.ndarray, bias: np.ndarray) ->
     return Network(a.astype(np.float32), b.astype(np.float32), bias.astype(np.float32), (np.log(np.maximum(z, 1e-300)) + ma + mb.T).astype(np.float32))
 
 
-def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 2048, rate: float = 0.08, seed: int = 3) -> Network:
-    """Train on one run of classes, in which class 0 ends each text; nothing before an end counts as context.
+@dataclass
+class Weights:
+    """Vectors of words and of both contexts, biases, and AdaGrad's sums of squares: four arrays each."""
 
-    floor: the classes' overall counts, which noise is drawn from and which the bias starts at.
-    """
+    values: list[np.ndarray]
+    squares: list[np.ndarray]
+
+    def network(self) -> Network:
+        word, first, second, bias = (v.astype(np.float64) for v in self.values)
+        return normalised([first, second], word, bias)
+
+
+def noise(floor: np.ndarray) -> np.ndarray:
+    """The chances that noise is drawn by, from the classes' overall counts."""
+    return (floor + 0.5) / (floor + 0.5).sum()
+
+
+def begun(floor: np.ndarray, seed: int = 3) -> Weights:
+    """Weights before any learning; the bias starts at the overall counts."""
+    rng, n = np.random.default_rng(seed), len(floor)
+    values = [rng.normal(0, 0.1, (n, UNITS)).astype(np.float32) for _ in range(3)] + [np.log(noise(floor)).astype(np.float32)]
+    return Weights(values, [np.full(v.shape, 1e-4, np.float32) for v in values])
+
+
+def ngrams(classes: np.ndarray) -> np.ndarray:
+    """The code of each token with the two before it, in a run of classes in which class 0 ends each text; nothing before an end counts."""
+    c = np.concatenate(([0, 0], classes)).astype(np.int32)
+    c1 = c[1:-1]
+    return np.where(c1 == 0, 0, c[:-2]) * CLASSES**2 + c1 * CLASSES + c[2:]
+
+
+def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3) -> Weights:
+    """Go on from weights by noise-contrastive steps over n-grams (one code per token), with noise drawn by p."""
     rng = np.random.default_rng(seed)
-    p = (floor + 0.5) / (floor + 0.5).sum()
-    log_p, ladder = np.log(p), np.cumsum(p)
-    n = len(floor)
-    word, context = rng.normal(0, 0.1, (n, UNITS)), [rng.normal(0, 0.1, (n, UNITS)) for _ in range(2)]
-    bias = log_p.copy()
-    squares = [np.full((n, UNITS), 1e-4) for _ in range(3)] + [np.full(n, 1e-4)]
-    padded = np.concatenate(([0, 0], classes))
-    at = np.arange(len(classes))
-
-    def move(values: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray, step: float) -> None:
+    log_p, ladder, n = np.log(p).astype(np.float32), np.cumsum(p), len(p)
+    word, first, second, bias = values = [v.copy() for v in weights.values]
+    squares = [q.copy() for q in weights.squares]
+    codes = codes.copy()
+
+    def move(k: int, rows: np.ndarray, grad: np.ndarray, step: float) -> None:
         order = np.argsort(rows, kind="stable")
         rows, grad = rows[order], grad[order]
-        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        grad, rows = np.add.reduceat(grad, first, 0), rows[first]
-        square[rows] += grad * grad
-        values[rows] -= step * grad / np.sqrt(square[rows])
+        at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        grad, rows = np.add.reduceat(grad, at, 0), rows[at]
+        squares[k][rows] += grad * grad
+        values[k][rows] -= np.float32(step) * grad / np.sqrt(squares[k][rows])
 
     for epoch in range(epochs):
-        rng.shuffle(at)
+        rng.shuffle(codes)
         step = rate * (1 - epoch / epochs)
-        for lo in range(0, len(at), batch):
-            i = at[lo : lo + batch]
-            c1, w = padded[i + 1], padded[i + 2]
-            c2 = np.where(c1 == 0, 0, padded[i])
-            noise = np.minimum(np.searchsorted(ladder, rng.random(NOISE)), n - 1)  # shared by the batch
-            q = context[0][c1] + context[1][c2]
-            s_w = np.einsum("ij,ij->i", q, word[w]) + bias[w] - log_p[w] - np.log(NOISE)
-            s_n = q @ word[noise].T + bias[noise] - log_p[noise] - np.log(NOISE)
-            g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(i)
-            g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / len(i)
-            g_q = g_w[:, None] * word[w] + g_n @ word[noise]
-            rows = np.concatenate((w, noise))
-            move(word, squares[0], rows, np.concatenate((g_w[:, None] * q, g_n.T @ q)), step)
-            move(bias, squares[3], rows, np.concatenate((g_w, g_n.sum(0))), step)
-            move(context[0], squares[1], c1, g_q, step)
-            move(context[1], squares[2], c2, g_q, step)
-    return normalised(context, word, bias)
+        for lo in range(0, len(codes), batch):
+            code = codes[lo : lo + batch]
+            c2, c1, w = ((code // CLASSES**2).astype(np.int16), (code // CLASSES % CLASSES).astype(np.int16), (code % CLASSES).astype(np.int16))
+            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE)), n - 1).astype(np.int16)  # shared by the batch
+            q, v, far = first[c1] + second[c2], word[w], word[drawn]
+            s_w = np.einsum("ij,ij->i", q, v) + bias[w] - log_p[w] - np.float32(np.log(NOISE))
+            s_n = q @ far.T + bias[drawn] - log_p[drawn] - np.float32(np.log(NOISE))
+            g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(code)
+            g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / len(code)
+            g_q = g_w[:, None] * v + g_n @ far
+            rows = np.concatenate((w, drawn))
+            move(0, rows, np.concatenate((g_w[:, None] * q, g_n.T @ q)), step)
+            move(3, rows, np.concatenate((g_w, g_n.sum(0))), step)
+            move(1, c1, g_q, step)
+            move(2, c2, g_q, step)
+    return Weights(values, squares)
+
+
+def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 2048, rate: float = 0.08, seed: int = 3) -> Network:
+    """Train on one run of classes, in which class 0 ends each text; nothing before an end counts as context.
+
+    floor: the classes' overall counts, which noise is drawn from and which the bias starts at.
+    """
+    return learn(begun(floor, seed), ngrams(classes), noise(floor), epochs, rate, batch, seed).network()
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -189,27 +222,103 @@ def classes_of(counts: Counts, h: np.ndarray, shared: np.ndarray) -> tuple[np.nd
     return np.where(own > 0, own, shared), at, there
 
 
-def train(docs: DataFrame, counts: Counts) -> Network:
-    """A network from a bounded sample of the training texts, the same in each run."""
-    n = max(docs.count(), 1)
-    share = int(min(1.0, 1.3 * TEXTS / n) * (1 << 30))
-    picked = docs.where((C.fold("doc_id", HELD_OUT) != 0) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share))
+def _ngrams_of(texts: list[bytes], counts: Counts) -> np.ndarray:
+    """The codes of all n-grams of whole texts, ends included, in text order."""
+    w, h, s = word_table(texts)
+    row = np.zeros(len(h) + len(texts), np.int64)
+    row[np.arange(len(h)) + w.doc] = classes_of(counts, h, s)[0]
+    return ngrams(row)
+
+
+def _warm(docs: DataFrame, counts: Counts) -> np.ndarray:
+    """About TOKENS n-grams dealt by hash: texts first, then places within them, so that no id or place comes before another."""
+    wanted = TOKENS / max(counts.total, 1)
+    texts = min(1.0, 8 * wanted)
+    within = min(1.0, wanted / texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids = C.encoded(batch["text"]), batch["doc_id"].to_numpy()
+            encoded, ids = C.encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
+            for lo, hi in C.slices(encoded):
+                codes = _ngrams_of(encoded[lo:hi], counts)
+                # a text's place in the slice would depend on the partitions; its id and the place in the text don't
+                end = np.flatnonzero(codes % CLASSES == 0)
+                first = np.concatenate(([0], end[:-1] + 1))
+                size = end - first + 1
+                place = np.arange(len(codes)) - np.repeat(first, size)
+                order = C.mix(C.mix(np.repeat(ids[lo:hi], size).view(np.uint64)) + place.astype(np.uint64)) >> np.uint64(2)
+                take = order < np.uint64(int(within * (1 << 62)))
+                yield pd.DataFrame({"codes": [codes[take].astype("<i4").tobytes()], "places": [order[take].astype("<i8").tobytes()]})
+
+    share = int(texts * (1 << 30))
+    found = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share).mapInPandas(run, "codes binary, places binary").toPandas()
+    codes, order = np.frombuffer(b"".join(found["codes"]), "<i4"), np.frombuffer(b"".join(found["places"]), "<i8")
+    return codes[np.lexsort((codes, order))][: 2 * TOKENS]
+
+
+def _by_shard(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
+    """(shard, codes, times): how often each n-gram occurs in all the texts, dealt to shards by its hash; an n-gram has a row per task at least."""
+
+    def flush(held: list[np.ndarray]) -> pd.DataFrame:
+        codes, times = np.unique(np.concatenate(held), return_counts=True)
+        shard = (C.mix(codes.astype(np.uint64) + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        codes, times, shard = codes[order].astype("<i4"), times[order].astype("<i4"), shard[order]
+        at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        parts = list(zip(at, [*at[1:], len(shard)], strict=True))
+        return pd.DataFrame({"shard": shard[at], "codes": [codes[a:b].tobytes() for a, b in parts], "times": [times[a:b].tobytes() for a, b in parts]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            texts = C.encoded(batch["text"])
             for lo, hi in C.slices(texts):
-                w, h, s = word_table(texts[lo:hi])
-                c = classes_of(counts, h, s)[0].astype("<i2")
-                yield pd.DataFrame({"doc_id": ids[lo:hi], "classes": [c[a : a + min(k, 2000)].tobytes() for a, k in zip(w.first, w.count, strict=True)]})
+                held.append(_ngrams_of(texts[lo:hi], counts).astype(np.int32))
+                if sum(map(len, held)) > HELD:
+                    yield flush(held)
+                    held.clear()
+        if held:
+            yield flush(held)
+
+    return docs.mapInPandas(run, "shard long, codes binary, times binary")
 
-    found = picked.mapInPandas(run, "doc_id long, classes binary").toPandas().sort_values("doc_id", kind="stable").head(TEXTS)
-    run_of = np.concatenate([np.append(np.frombuffer(b, "<i2"), 0) for b in found["classes"]] or [np.zeros(1, np.int64)]).astype(np.int64)[:TOKENS]
+
+def train(docs: DataFrame, counts: Counts) -> Network:
+    """A network from all training tokens, the same in each run.
+
+    The weights begin with a bounded sample of tokens. From there each shard of the n-grams learns from every token it
+    holds, and the shards' weights are averaged by their tokens. Only sums of fixed size come back.
+    """
+    docs = docs.where(C.fold("doc_id", HELD_OUT) != 0)
     floor = counts.class_total.copy()
     own = counts.own > 0
     np.add.at(floor, counts.own[own], counts.count[own])
     floor[0] = max(counts.total and (counts.count[counts.hash == END].sum()), 1)
-    return fit(run_of, floor)
+    p = noise(floor)
+    weights = learn(begun(floor), _warm(docs, counts), p, 4, 0.08)
+    shards = int(-(-counts.total // SHARD)) or 1
+    spread = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def tuned(part: pd.DataFrame) -> pd.DataFrame:
+        codes, times = np.frombuffer(b"".join(part["codes"]), "<i4"), np.frombuffer(b"".join(part["times"]), "<i4")
+        order = np.argsort(codes, kind="stable")  # rows come in any order
+        codes, times = codes[order], times[order]
+        got = learn(spread.value, np.repeat(codes, times), p, 1, 0.02, seed=int(part["shard"].iloc[0]))
+        flat = np.concatenate([v.reshape(CLASSES, -1) for v in got.values], 1).astype(np.float64) * times.sum()
+        return pd.DataFrame({"slot": np.arange(SLOTS), "tokens": times.sum(), "shard": part["shard"].iloc[0], "sums": [x.tobytes() for x in np.split(flat, SLOTS)]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        total = sum(np.frombuffer(x) for x in part["sums"])
+        return pd.DataFrame({"slot": part["slot"].iloc[:1], "tokens": part["tokens"].sum(), "sums": [total.tobytes()]})
+
+    runs = _by_shard(docs, counts, shards).groupBy("shard").applyInPandas(tuned, "slot long, tokens long, shard long, sums binary")
+    found = runs.groupBy("slot").applyInPandas(summed, "slot long, tokens long, sums binary").toPandas().sort_values("slot")  # SLOTS rows
+    spread.unpersist()
+    if len(found):
+        flat = np.concatenate([np.frombuffer(x).reshape(CLASSES // SLOTS, -1) / t for x, t in zip(found["sums"], found["tokens"], strict=True)])
+        weights = Weights([flat[:, :UNITS], flat[:, UNITS : 2 * UNITS], flat[:, 2 * UNITS : 3 * UNITS], flat[:, 3 * UNITS]], weights.squares)
+    return weights.network()
 
 
 def score(docs: DataFrame) -> DataFrame:

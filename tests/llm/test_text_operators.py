@@ -382,3 +382,23 @@ def test_word_hashes_follow_the_words():
     assert w.count.tolist() == [3, 0, 2, 2] and h[0] == h[2] != h[1] == h[3] and h[5] == h[6]
     keys = w.text_keys(np.array([1, 1, 1, 1]))
     assert len(set(keys.tolist())) == 4
+
+
+def test_network_learns_from_ends_of_texts_and_from_all_ids(spark, monkeypatch):
+    monkeypatch.setattr(neural_lm, "TOKENS", 18_000)
+    monkeypatch.setattr(neural_lm, "SHARD", 20_000, raising=False)
+    tailed = [(i, "alpha beta " * 1000 + "gamma delta " * 1000) for i in range(1, 11)]
+    late = [(i, "mu nu " * 150) for i in range(1001, 1041)]
+    docs = spark.createDataFrame(tailed + late, "doc_id long, text string").repartition(3)
+    counts = neural_lm.frequent(neural_lm._counted(docs))
+    net = neural_lm.train(docs, counts)
+
+    def chance(second, first, word):
+        _, h, _ = neural_lm.word_table([f"{second} {first} {word}".encode()])
+        c2, c1, c = neural_lm.classes_of(counts, h, np.zeros(3, np.int64))[0]
+        return np.exp(net.first[c1, c] + net.second[c2, c] + net.bias[c] - net.norm[c1, c2])
+
+    assert chance("delta", "gamma", "delta") > 0.7 and chance("nu", "mu", "nu") > 0.7
+    assert all(np.array_equal(a, b) for a, b in zip(vars(net).values(), vars(neural_lm.train(docs.repartition(5), counts)).values(), strict=True))
+    shards = neural_lm._by_shard(docs.where(neural_lm.C.fold("doc_id", 10) != 0), counts, 3).collect()
+    assert sum(np.frombuffer(r["times"], "<i4").sum() for r in shards) == counts.total
