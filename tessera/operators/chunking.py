@@ -200,8 +200,32 @@ def merge_small(chunks: list[str], least: int = SMALL, size: int = SIZE, factor:
     return out
 
 
-def chunk_toc(docs: DataFrame, toc: DataFrame) -> DataFrame:
-    """(id, chunk_index, text) between the positions of toc (id, position, title), each led by its title."""
+def chunk_toc(docs: DataFrame, toc: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(id, chunk_index, text) between the positions of toc (id, position, title), each led by its title.
+
+    Sections over the size are cut further, each part led by the title; blank ones are dropped, small chunks merged.
+    Documents without entries, or with blank sections only, are cut by chunk_recursive.
+    """
+    _check(size, overlap)
+    listed = toc.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), F.coalesce("title", F.lit("")).alias("title")))).alias("toc"))
+
+    def cut(text: str, entries: list) -> list[str]:
+        entries = [] if entries is None else list(entries)
+        ends = [*(e["position"] for e in entries[1:]), len(text)] if entries else []
+        parts = [(e["title"], text[e["position"] : end].strip()) for e, end in zip(entries, ends, strict=True)]
+        led = [f"[{title}] {c}" if title else c for title, p in parts for c in ([p] if len(p) <= size else pieces(p, size, overlap)) if c]
+        return merge_small(led, size=size) if led else pieces(text, size, overlap)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, k, c) for i, t, e in zip(b["id"], b["text"], b["toc"], strict=True) for k, c in enumerate(cut(t or "", e))]
+            yield pd.DataFrame(rows, columns=["id", "chunk_index", "text"])
+
+    return docs.select("id", "text").join(listed, "id", "left").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, chunk_index long, text string")
+
+
+def toc_sections(docs: DataFrame, toc: DataFrame) -> DataFrame:
+    """(id, chunk_index, text) of the bare cut at the positions of toc, each led by its title; nothing is fitted, merged or added."""
     order = Window.partitionBy("id").orderBy("position")
     spans = toc.withColumn("until", F.lead("position").over(order)).withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long"))
     cut = spans.join(docs.select("id", "text"), "id")
@@ -229,8 +253,15 @@ def strategy(text: str | Column = "text") -> Column:
     )
 
 
-def chunk_auto(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk_index, text, strategy) by each document's strategy; small chunks are merged except for JSON."""
+def chunk_auto(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, toc: DataFrame | None = None) -> DataFrame:
+    """(id, chunk_index, text, strategy) by each document's strategy; small chunks are merged except for JSON.
+
+    Documents with entries in toc (id, position, title) come first of all: they are cut by chunk_toc.
+    """
+    if toc is not None:
+        known = toc.select("id").distinct()
+        by_toc = chunk_toc(docs.join(known, "id", "left_semi"), toc, size, overlap).withColumn("strategy", F.lit("toc"))
+        return by_toc.unionByName(chunk_auto(docs.join(known, "id", "left_anti"), size, overlap))
 
     def cut(kind: str, text: str) -> list[str]:
         if kind == "json_config":

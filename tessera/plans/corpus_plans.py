@@ -328,7 +328,15 @@ def c4_chunk_numbered(spark, sf_dir):
 def c8_chunk_toc(spark, sf_dir):
     docs = _docs(spark, sf_dir).where(F.length("text") > 600)
     toc = docs.select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).select("id", (F.col("k") * 200).alias("position"), F.concat(F.lit("part "), "k").alias("title"))
-    return chunking.chunk_toc(docs, toc).select("id", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+    return chunking.toc_sections(docs, toc).select("id", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register()
+def c8_chunk_toc_whole(spark, sf_dir):
+    """Every document through the router, with three entries each for those with an even id; others have none."""
+    docs = _docs(spark, sf_dir)
+    toc = docs.where("id % 2 = 0").select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).select("id", (F.col("k") * 200).alias("position"), F.concat(F.lit("part "), "k").alias("title"))
+    return chunking.chunk_auto(docs, toc=toc)
 
 
 _TAB = "len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|') OR contains(x, chr(9))))"

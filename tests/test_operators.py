@@ -101,6 +101,23 @@ def test_auto_chunks_by_strategy(spark):
     assert got == {1: "json_config", 2: "code", 3: "markdown", 4: "numbered", 5: "table", 6: "recursive"}
 
 
+def test_toc_chunks_cover_every_document(spark):
+    long = "word " * 400
+    docs = spark.createDataFrame([(1, "x" * 300 + long), (2, long), (3, "a" * 250 + "   " + "b" * 250), (4, "   "), (5, "c" * 250 + "d" * 40 + "e" * 250), (6, "short")], "id long, text string")
+    toc = spark.createDataFrame([(1, 300, "two"), (1, 0, "one"), (3, 253, "z"), (3, 250, "blank"), (3, 0, "y"), (5, 0, "p"), (5, 250, "q"), (5, 290, "r"), (6, 90, "beyond"), (9, 0, "no document")], "id long, position int, title string")
+    want = {
+        1: ["[one] " + "x" * 300, *(f"[two] {c}" for c in chunking.pieces(long.strip(), 500, 50))], 2: chunking.pieces(long, 500, 50), 3: ["[y] " + "a" * 250, "[z] " + "b" * 250],
+        5: ["[p] " + "c" * 250 + "\n\n[q] " + "d" * 40, "[r] " + "e" * 250], 6: ["short"],
+    }
+    got = {}
+    for r in sorted(chunking.chunk_toc(docs, toc).collect()):
+        assert r["chunk_index"] == len(got.setdefault(r["id"], []))
+        got[r["id"]].append(r["text"])
+    assert got == {i: chunking.merge_small(c) if i == 1 else c for i, c in want.items()}
+    routed = {(r["id"], r["strategy"]) for r in chunking.chunk_auto(docs, toc=toc).collect()}
+    assert routed == {(1, "toc"), (2, "recursive"), (3, "toc"), (5, "toc"), (6, "toc")}
+
+
 def test_small_chunks_are_merged():
     assert chunking.merge_small(["x" * 300, "y" * 50, "z" * 300]) == ["x" * 300 + "\n\n" + "y" * 50, "z" * 300]
 
