@@ -186,6 +186,14 @@ def b16_stitch_captions(spark, sf_dir):
     return corpus.stitch_captions(plain, captions).select("id", F.sha2("text", 256).alias("text_sha256"), F.size("image_captions").cast("long").alias("n_captions"))
 
 
+@register()
+def b16_stitch_captions_whole(spark, sf_dir):
+    """All rows, those with captions for both marks among them."""
+    chunks = _illustrated(spark, sf_dir)
+    captions = corpus.images_to_caption(chunks).select(F.col("id").alias("image_id"), F.concat(F.lit("no "), F.substring("id", 2, 9)).alias("caption"))
+    return corpus.stitch_captions(chunks, captions).select("id", "text", F.size("image_captions").cast("long").alias("n_captions"))
+
+
 @register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 9 WHEN doc_id % 3 = 1 THEN doc_id % 8 ELSE doc_id % 7 - 1 END::BIGINT AS page FROM documents")
 def b17_chunk_page(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -314,6 +322,13 @@ def c3_markdown_sections(spark, sf_dir):
     return chunking.sections(docs, chunking.HEADING).select("id", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
 
 
+@register()
+def c3_markdown_sections_whole(spark, sf_dir):
+    """All documents, those with marks or blank lines of their own among them."""
+    docs = _docs(spark, sf_dir, F.replace(F.col("text"), F.lit("\n"), F.lit("\n## ")))
+    return chunking.sections(docs, chunking.HEADING).select("id", "chunk_index", "text")
+
+
 @register()
 def c3_chunk_markdown(spark, sf_dir):
     return chunking.chunk_markdown(_docs(spark, sf_dir, F.replace(F.col("text"), F.lit("\n"), F.lit("\n## "))), preamble=True)
@@ -383,6 +398,13 @@ def i4_document_summaries(spark, sf_dir):
     return views.document_summaries(rows).where(F.col("summary").startswith("summary ") & (F.length("summary") < 14)).join(marked, "source_ref", "left_anti").select("source_ref", "title", "summary", F.array_join("tags", ",").alias("tags"), "n_chunks")
 
 
+@register()
+def i4_document_summaries_whole(spark, sf_dir):
+    """All documents, with titles from headings and summaries from the text where no chunk has one."""
+    rows = _chunk_rows(spark, sf_dir).select("source_ref", "chunk_index", "text", F.lit("Untitled").alias("title"), F.when(F.col("chunk_index") % 3 == 2, F.concat(F.lit("summary "), "chunk_index")).alias("summary"), F.col("lang").alias("doc_type"), F.array().cast("array<string>").alias("tags"))
+    return views.document_summaries(rows).select("source_ref", "title", "summary", F.array_join("tags", ",").alias("tags"), "n_chunks")
+
+
 @register(f"WITH {_CH} SELECT source AS collection, count(*)::BIGINT AS n_chunks FROM ch GROUP BY 1")
 def i5_list_collections(spark, sf_dir):
     return views.list_collections(_chunk_rows(spark, sf_dir).withColumnRenamed("source", "collection"))
