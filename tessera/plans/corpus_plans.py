@@ -160,10 +160,10 @@ def b13_apply_enrichment(spark, sf_dir):
     return done.select("id", "title", "summary", F.array_join("tags", "|").alias("tags"), "enriched_by", "enrich_fallback_reason")
 
 
-def _illustrated(spark, sf_dir) -> DataFrame:
-    """Documents as chunks that refer to two images each, the second of which is known."""
+def _illustrated(spark, sf_dir, head: int | None = None) -> DataFrame:
+    """Documents, or the first characters of each, as chunks that refer to two images each, the second of which is known."""
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.col("text").substr(1, 40), F.lit(" [IMAGE: i"), F.col("doc_id") % 50, F.lit("] and [IMAGE: i"), F.col("doc_id") % 7, F.lit("]"))
+    text = F.concat(F.col("text").substr(1, head) if head else "text", F.lit(" [IMAGE: i"), F.col("doc_id") % 50, F.lit("] and [IMAGE: i"), F.col("doc_id") % 7, F.lit("]"))
     image = F.struct(F.concat(F.lit("i"), F.col("doc_id") % 7).alias("id"), F.concat(F.lit("/img/"), F.col("doc_id") % 7).alias("path"), (F.col("doc_id") % 7 + 1).cast("long").alias("page"))
     return corpus.chunk_images(d.select(F.col("doc_id").alias("id"), text.alias("text"), F.array(image).alias("images")))
 
@@ -180,7 +180,7 @@ def b15_images_to_caption(spark, sf_dir):
 
 @register("SELECT doc_id AS id, sha256(CASE WHEN doc_id % 50 = doc_id % 7 THEN substring(text, 1, 40) || ' ' || m || ' and ' || m ELSE substring(text, 1, 40) || ' [IMAGE: i' || (doc_id % 50) || '] and ' || m END) AS text_sha256, (CASE WHEN doc_id % 50 < 7 THEN 2 ELSE 1 END)::BIGINT AS n_captions FROM (SELECT *, '[IMAGE: i' || (doc_id % 7) || ']' || chr(10) || '(Description: no ' || (doc_id % 7) || ')' AS m FROM documents WHERE doc_id % 50 >= 7 OR doc_id % 50 = doc_id % 7)")
 def b16_stitch_captions(spark, sf_dir):
-    chunks = _illustrated(spark, sf_dir)
+    chunks = _illustrated(spark, sf_dir, 40)
     captions = corpus.images_to_caption(chunks).select(F.col("id").alias("image_id"), F.concat(F.lit("no "), F.substring("id", 2, 9)).alias("caption"))
     plain = chunks.where("id % 50 >= 7 or id % 50 = id % 7")
     return corpus.stitch_captions(plain, captions).select("id", F.sha2("text", 256).alias("text_sha256"), F.size("image_captions").cast("long").alias("n_captions"))
@@ -382,6 +382,12 @@ def h1_detect_formulas(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.detect_formulas(t), "|").alias("formulas"))
 
 
+@register()
+def h1_detect_formulas_whole(spark, sf_dir):
+    t = F.concat("text", F.lit(" $x_"), "doc_id", F.lit("$ and f("), F.col("doc_id") % 9, F.lit(") ≈ y"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.detect_formulas(t), "|").alias("formulas"))
+
+
 _CH = f"{_WIN}, ch AS (SELECT win.*, source, lang FROM win JOIN documents ON doc_id = id)"
 
 
@@ -625,8 +631,8 @@ def c12_chunk_legal(spark, sf_dir):
 @register()
 def c5_to_c7_runs(spark, sf_dir):
     """Tables, code and JSON cut by their own rules, through the router on documents made to fit each."""
-    fenced = F.concat(F.lit("```\n"), F.col("text").substr(1, 80), F.lit("\n```\n"), "text")
-    kinds = F.when(F.col("doc_id") % 3 == 0, fenced).when(F.col("doc_id") % 3 == 1, F.to_json(F.array_repeat(F.struct("lang", "source"), 2))).otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit(" | \n")))
+    fenced = F.concat(F.lit("```\n"), "text", F.lit("\n```\n"), "text")
+    kinds = F.when(F.col("doc_id") % 3 == 0, fenced).when(F.col("doc_id") % 3 == 1, F.to_json(F.array_repeat(F.struct("lang", "source", "text"), 2))).otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit(" | \n")))
     return chunking.chunk_auto(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kinds.alias("text")))
 
 

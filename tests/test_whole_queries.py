@@ -55,3 +55,24 @@ def test_captions_of_all_documents(spark, folder):
         assert got[i]["n_captions"] == sum(k in known for k in refs), i
         end = " and ".join(f"[IMAGE: i{k}]" + (f"\n(Description: no {k})" if k in known else "") for k in refs)
         assert got[i]["text"].endswith(f" {end}"), i
+
+
+def test_captions_stand_behind_whole_texts(spark, folder):
+    got = rows(spark, folder, "b16_stitch_captions_whole", "id")
+    assert all(got[i]["text"].startswith(t + " [IMAGE: i") for i, t in TEXTS.items())
+
+
+def test_formulas_beyond_the_start_are_found(spark, folder):
+    got = rows(spark, folder, "h1_detect_formulas_whole", "doc_id")
+    assert set(got) == set(TEXTS) and {"E = mc2", "g(q)", "x_101", "f(2)"} <= set(got[101]["formulas"].split("|"))
+
+
+def test_whole_texts_are_fenced_and_wrapped(spark, folder):
+    got = {}
+    for r in sorted(corpus_plans.Q["c5_to_c7_runs"](spark, folder).collect()):
+        got.setdefault(r["id"], []).append(r["text"])
+    for i, t in TEXTS.items():
+        if i % 3 == 0:
+            assert f"```\n{t}\n```" in "\n".join(got[i]), i
+        if i % 3 == 1:
+            assert sum(c.count(t.replace("\n", "\\n")) for c in got[i]) == 2, i
