@@ -3,10 +3,12 @@
 Tokens are words, ASCII letters in lower case, and an end after each text. Counts of all training tokens are exact.
 The network predicts the class of a token from the classes of the two before it: frequent words and the end are
 classes of their own, all others share a class by their last bytes. Within a shared class a word's chance follows from
-the counts, less a discount that is left to words never seen. The product is normalised over all words.
+the counts. Words never seen are one more outcome, with the chance that the base model leaves to such a word; what is
+left over is shared out among the known words, so the chances of all outcomes add up to one after every context, and
+the score differs from the base score by the network's doing alone.
 
-With two context words the log-bilinear score is A1[first, next] + A2[second, next] + bias[next], so the normaliser of
-every context comes out of one matrix product, and scoring a token is a few look-ups.
+With two context words the log-bilinear score is (first + second) . word + bias, so the normalisers of all pairs of
+contexts come out of one matrix product, which each worker makes once from the weights.
 
 Counts of frequent words go to the tasks as a bounded table. All rarer words are looked up exactly in a join, by the
 hash of the word; nothing else is shuffled.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,17 +29,21 @@ from . import common as C
 
 HELD_OUT = 10
 #: Classes: the end, then frequent words, then shared ones.
-WORDS, SHARED = 895, 128
+WORDS, SHARED = 3071, 1024
 CLASSES = 1 + WORDS + SHARED
-UNITS = 40
+UNITS = 64
 #: Words whose counts are sent to all tasks, at most.
 TABLE = 1 << 17
 #: Tokens that the weights begin with, about; all training tokens follow in shards of about SHARD.
 TOKENS, SHARD = 600_000, 2_000_000
+#: Tokens that the first learning passes over in all; a small sample is gone over more often.
+PASSED = 2_400_000
 #: Tokens whose n-grams a task counts at once, and parts that the weights are summed in.
 HELD, SLOTS = 3_000_000, 64
-NOISE = 12
-DISCOUNT = 0.5
+#: The first step's size for the weights that the learning begins with, and for the shards that go on from them.
+RATE, SHARD_RATE = 0.5, 0.3
+#: Noise classes drawn for a batch; all its tokens share them.
+NOISE = 256
 END = 0x1234567
 _LN10 = np.log(10)
 
@@ -62,7 +69,11 @@ class Counts:
     total: int
     distinct: int
     class_total: np.ndarray  # per shared class: tokens of rarer words
-    class_words: np.ndarray  # and how many words
+
+    @property
+    def unseen(self) -> float:
+        """The chance that the base model gives a word never seen."""
+        return 0.1 / (self.total + 0.1 * (self.distinct + 1))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each hash's place in the table, and whether it is there."""
@@ -72,18 +83,25 @@ class Counts:
 
 @dataclass
 class Network:
-    first: np.ndarray  # A1: (classes, classes)
-    second: np.ndarray  # A2
+    """Vectors of words and of both contexts, and biases; norm: the log of each context's normaliser, made when first asked for."""
+
+    word: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
     bias: np.ndarray
-    norm: np.ndarray  # log of the normaliser: (classes, classes)
 
+    @cached_property
+    def norm(self) -> np.ndarray:
+        a, b = (c @ self.word.T for c in (self.first, self.second))
+        ma, mb = a.max(1, keepdims=True), b.max(1, keepdims=True)
+        a -= ma
+        b -= mb
+        z = (np.exp(a, out=a) * np.exp(self.bias)) @ np.exp(b, out=b).T
+        return np.log(np.maximum(z, 1e-37), out=z) + ma + mb.T
 
-def normalised(context: list[np.ndarray], word: np.ndarray, bias: np.ndarray) -> Network:
-    """The score tables of a network with word vectors `word` and context vectors `context`, and all normalisers."""
-    a, b = (c @ word.T for c in context)
-    ma, mb = a.max(1, keepdims=True), b.max(1, keepdims=True)
-    z = (np.exp(a - ma) * np.exp(bias)) @ np.exp(b - mb).T
-    return Network(a.astype(np.float32), b.astype(np.float32), bias.astype(np.float32), (np.log(np.maximum(z, 1e-300)) + ma + mb.T).astype(np.float32))
+    def log_chance(self, second: np.ndarray, first: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The log of each class's chance after the two classes before it, the nearer one being `first`."""
+        return np.einsum("ij,ij->i", self.first[first] + self.second[second], self.word[c]) + self.bias[c] - self.norm[first, second]
 
 
 @dataclass
@@ -94,25 +112,24 @@ class Weights:
     squares: list[np.ndarray]
 
     def network(self) -> Network:
-        word, first, second, bias = (v.astype(np.float64) for v in self.values)
-        return normalised([first, second], word, bias)
+        return Network(*(v.astype(np.float32) for v in self.values))
 
 
 def noise(floor: np.ndarray) -> np.ndarray:
-    """The chances that noise is drawn by, from the classes' overall counts."""
-    return (floor + 0.5) / (floor + 0.5).sum()
+    """The chances that noise is drawn by, from the classes' overall counts; a class without a token is never drawn."""
+    return floor / max(floor.sum(), 1)
 
 
 def begun(floor: np.ndarray, seed: int = 3) -> Weights:
     """Weights before any learning; the bias starts at the overall counts."""
     rng, n = np.random.default_rng(seed), len(floor)
-    values = [rng.normal(0, 0.1, (n, UNITS)).astype(np.float32) for _ in range(3)] + [np.log(noise(floor)).astype(np.float32)]
+    values = [rng.normal(0, 0.1, (n, UNITS)).astype(np.float32) for _ in range(3)] + [np.log(np.maximum(noise(floor), 1e-13)).astype(np.float32)]
     return Weights(values, [np.full(v.shape, 1e-4, np.float32) for v in values])
 
 
 def ngrams(classes: np.ndarray) -> np.ndarray:
     """The code of each token with the two before it, in a run of classes in which class 0 ends each text; nothing before an end counts."""
-    c = np.concatenate(([0, 0], classes)).astype(np.int32)
+    c = np.concatenate(([0, 0], classes)).astype(np.int64)
     c1 = c[1:-1]
     return np.where(c1 == 0, 0, c[:-2]) * CLASSES**2 + c1 * CLASSES + c[2:]
 
@@ -120,7 +137,7 @@ def ngrams(classes: np.ndarray) -> np.ndarray:
 def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3) -> Weights:
     """Go on from weights by noise-contrastive steps over n-grams (one code per token), with noise drawn by p."""
     rng = np.random.default_rng(seed)
-    log_p, ladder, n = np.log(p).astype(np.float32), np.cumsum(p), len(p)
+    log_p, ladder, n, log_k = np.log(np.maximum(p, 1e-13)).astype(np.float32), np.cumsum(p), len(p), np.float32(np.log(NOISE))
     word, first, second, bias = values = [v.copy() for v in weights.values]
     squares = [q.copy() for q in weights.squares]
     codes = codes.copy()
@@ -139,10 +156,10 @@ def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate:
         for lo in range(0, len(codes), batch):
             code = codes[lo : lo + batch]
             c2, c1, w = ((code // CLASSES**2).astype(np.int16), (code // CLASSES % CLASSES).astype(np.int16), (code % CLASSES).astype(np.int16))
-            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE)), n - 1).astype(np.int16)  # shared by the batch
+            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1], "right"), n - 1).astype(np.int16)  # shared by the batch
             q, v, far = first[c1] + second[c2], word[w], word[drawn]
-            s_w = np.einsum("ij,ij->i", q, v) + bias[w] - log_p[w] - np.float32(np.log(NOISE))
-            s_n = q @ far.T + bias[drawn] - log_p[drawn] - np.float32(np.log(NOISE))
+            s_w = np.einsum("ij,ij->i", q, v) + bias[w] - log_p[w] - log_k
+            s_n = q @ far.T + (bias[drawn] - log_p[drawn] - log_k)
             g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(code)
             g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / len(code)
             g_q = g_w[:, None] * v + g_n @ far
@@ -154,7 +171,7 @@ def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate:
     return Weights(values, squares)
 
 
-def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 2048, rate: float = 0.08, seed: int = 3) -> Network:
+def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 2048, rate: float = RATE, seed: int = 3) -> Network:
     """Train on one run of classes, in which class 0 ends each text; nothing before an end counts as context.
 
     floor: the classes' overall counts, which noise is drawn from and which the bias starts at.
@@ -203,16 +220,14 @@ def frequent(counts: DataFrame) -> Counts:
     top = counts.where(often).toPandas().sort_values(["count", "hash"], ascending=[False, True], kind="stable")  # at most TABLE rows
     own = np.where(top["hash"] == END, 0, np.cumsum(top["hash"] != END))
     own[own > WORDS] = 0
-    rest = counts.where(~often).groupBy("shared").agg(F.sum("count").alias("t"), F.count("*").alias("n")).collect()
-    class_total, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+    rest = counts.where(~often).groupBy("shared").agg(F.sum("count").alias("t")).collect()
+    class_total = np.zeros(CLASSES)
     for r in rest:
         class_total[r["shared"]] += r["t"]
-        class_words[r["shared"]] += r["n"]
     in_class = (own == 0) & (top["hash"] != END).to_numpy()
     np.add.at(class_total, top["shared"].to_numpy()[in_class], top["count"].to_numpy()[in_class])
-    np.add.at(class_words, top["shared"].to_numpy()[in_class], 1)
     order = np.argsort(top["hash"].to_numpy())
-    return Counts(top["hash"].to_numpy()[order], top["count"].to_numpy()[order], own[order], int(total), int(distinct), class_total, class_words)
+    return Counts(top["hash"].to_numpy()[order], top["count"].to_numpy()[order], own[order], int(total), int(distinct), class_total)
 
 
 def classes_of(counts: Counts, h: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,11 +263,11 @@ def _warm(docs: DataFrame, counts: Counts) -> np.ndarray:
                 place = np.arange(len(codes)) - np.repeat(first, size)
                 order = C.mix(C.mix(np.repeat(ids[lo:hi], size).view(np.uint64)) + place.astype(np.uint64)) >> np.uint64(2)
                 take = order < np.uint64(int(within * (1 << 62)))
-                yield pd.DataFrame({"codes": [codes[take].astype("<i4").tobytes()], "places": [order[take].astype("<i8").tobytes()]})
+                yield pd.DataFrame({"codes": [codes[take].astype("<i8").tobytes()], "places": [order[take].astype("<i8").tobytes()]})
 
     share = int(texts * (1 << 30))
     found = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share).mapInPandas(run, "codes binary, places binary").toPandas()
-    codes, order = np.frombuffer(b"".join(found["codes"]), "<i4"), np.frombuffer(b"".join(found["places"]), "<i8")
+    codes, order = np.frombuffer(b"".join(found["codes"]), "<i8"), np.frombuffer(b"".join(found["places"]), "<i8")
     return codes[np.lexsort((codes, order))][: 2 * TOKENS]
 
 
@@ -263,7 +278,7 @@ def _by_shard(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
         codes, times = np.unique(np.concatenate(held), return_counts=True)
         shard = (C.mix(codes.astype(np.uint64) + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        codes, times, shard = codes[order].astype("<i4"), times[order].astype("<i4"), shard[order]
+        codes, times, shard = codes[order].astype("<i8"), times[order].astype("<i4"), shard[order]
         at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         parts = list(zip(at, [*at[1:], len(shard)], strict=True))
         return pd.DataFrame({"shard": shard[at], "codes": [codes[a:b].tobytes() for a, b in parts], "times": [times[a:b].tobytes() for a, b in parts]})
@@ -273,7 +288,7 @@ def _by_shard(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
         for batch in batches:
             texts = C.encoded(batch["text"])
             for lo, hi in C.slices(texts):
-                held.append(_ngrams_of(texts[lo:hi], counts).astype(np.int32))
+                held.append(_ngrams_of(texts[lo:hi], counts))
                 if sum(map(len, held)) > HELD:
                     yield flush(held)
                     held.clear()
@@ -295,15 +310,16 @@ def train(docs: DataFrame, counts: Counts) -> Network:
     np.add.at(floor, counts.own[own], counts.count[own])
     floor[0] = max(counts.total and (counts.count[counts.hash == END].sum()), 1)
     p = noise(floor)
-    weights = learn(begun(floor), _warm(docs, counts), p, 4, 0.08)
+    sample = _warm(docs, counts)
+    weights = learn(begun(floor), sample, p, int(np.clip(PASSED // max(len(sample), 1), 4, 40)), RATE)
     shards = int(-(-counts.total // SHARD)) or 1
     spread = docs.sparkSession.sparkContext.broadcast(weights)
 
     def tuned(part: pd.DataFrame) -> pd.DataFrame:
-        codes, times = np.frombuffer(b"".join(part["codes"]), "<i4"), np.frombuffer(b"".join(part["times"]), "<i4")
+        codes, times = np.frombuffer(b"".join(part["codes"]), "<i8"), np.frombuffer(b"".join(part["times"]), "<i4")
         order = np.argsort(codes, kind="stable")  # rows come in any order
         codes, times = codes[order], times[order]
-        got = learn(spread.value, np.repeat(codes, times), p, 1, 0.02, seed=int(part["shard"].iloc[0]))
+        got = learn(spread.value, np.repeat(codes, times), p, 1, SHARD_RATE, seed=int(part["shard"].iloc[0]))
         flat = np.concatenate([v.reshape(CLASSES, -1) for v in got.values], 1).astype(np.float64) * times.sum()
         return pd.DataFrame({"slot": np.arange(SLOTS), "tokens": times.sum(), "shard": part["shard"].iloc[0], "sums": [x.tobytes() for x in np.split(flat, SLOTS)]})
 
@@ -331,15 +347,14 @@ def score(docs: DataFrame) -> DataFrame:
     exact = C.cut(_counted(docs))
     counts = frequent(exact)
     net = train(docs, counts)
-    spread = docs.sparkSession.sparkContext.broadcast((counts, net))  # of fixed size: TABLE words, CLASSES squared
+    spread = docs.sparkSession.sparkContext.broadcast((counts, net))  # of fixed size: TABLE words, CLASSES vectors
     base_log = np.log10(counts.total + 0.1 * (counts.distinct + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, net = spread.value
         end = counts.find(np.array([END]))
         end_count = float(counts.count[end[0][0]]) if end[1][0] else 0.0
-        within = np.log10(np.maximum(counts.class_total, 1e-9))
-        in_table = np.log10(np.maximum(counts.count - DISCOUNT, 1e-9))
+        within, in_table = np.log10(np.maximum(counts.class_total, 1e-9)), np.log10(counts.count)
         for batch in batches:
             texts, ids = C.encoded(batch["text"]), batch["doc_id"].to_numpy()
             for lo, hi in C.slices(texts):
@@ -355,12 +370,13 @@ def score(docs: DataFrame) -> DataFrame:
                 second = np.concatenate(([0, 0], row[:-2]))[: len(row)]
                 begin = stop - w.count
                 second[begin] = 0
-                log_class = (net.first[before, row] + net.second[second, row] + net.bias[row] - net.norm[before, second]) / _LN10
+                log_class = net.log_chance(second, before, row) / _LN10
+                # what the words of the table and the ends are worth; a rarer word's own part is kept for the join
+                ours = np.full(len(row), end_count > 0)
+                ours[word_at] = there
                 doc = np.repeat(np.arange(k), w.count + 1)
-                own = c > 0
-                own &= c <= WORDS
-                value = np.bincount(doc, log_class, k)
-                place = there & ~own
+                value = np.bincount(doc[ours], log_class[ours], k)
+                place = there & (c > WORDS)
                 value += np.bincount(w.doc[place], in_table[at[place]] - within[c[place]], k) if place.any() else 0
                 base = np.bincount(w.doc[there], np.log10(counts.count[at[there]] + 0.1), k) if there.any() else np.zeros(k)
                 known = np.bincount(w.doc[there], minlength=k) + (end_count > 0)
@@ -369,31 +385,30 @@ def score(docs: DataFrame) -> DataFrame:
                 head = pd.DataFrame({"key": key, "hash": C.mix(key.view(np.uint64)).view(np.int64), "shared": np.int32(0), "times": np.int32(0), "doc_id": ids[lo:hi], "rows": np.int32(1), "n_tokens": w.count + 1, "known": known, "base": base, "value": value})
                 # rarer words are left to the join
                 far = ~there
-                rare = pd.DataFrame({"key": key[w.doc[far]], "hash": h[far], "shared": s[far].astype(np.int32)}).groupby(["key", "hash", "shared"], sort=False).size().reset_index(name="times")
-                yield pd.concat([head, rare.assign(doc_id=0, rows=0, n_tokens=0, known=0, base=0.0, value=0.0)], ignore_index=True)[names]
+                rare = pd.DataFrame({"key": key[w.doc[far]], "hash": h[far], "shared": s[far].astype(np.int32), "times": np.int32(1), "value": log_class[word_at[far]]})
+                rare = rare.groupby(["key", "hash", "shared"], sort=False, as_index=False).sum()
+                yield pd.concat([head, rare.assign(doc_id=0, rows=0, n_tokens=0, known=0, base=0.0)], ignore_index=True)[names]
 
     schema = "key long, hash long, shared int, times int, doc_id long, rows int, n_tokens long, known long, base double, value double"
     names = [c.split()[0] for c in schema.split(", ")]
     parts = docs.mapInPandas(run, schema)
-    total, words = counts.class_total[WORDS + 1 :], counts.class_words[WORDS + 1 :]
-    of_class = F.col("shared") - WORDS
-    known_log = F.element_at(F.array(*(F.lit(float(np.log10(max(t, 1e-9)))) for t in total)), of_class)
-    unseen_log = F.element_at(F.array(*(F.lit(float(np.log10(DISCOUNT * n / t)) if n else 0.0) for n, t in zip(words, total, strict=True))), of_class)
+    known_log = F.element_at(F.array(*(F.lit(float(np.log10(max(t, 1e-9)))) for t in counts.class_total[WORDS + 1 :])), F.col("shared") - WORDS)
     found = parts.join(exact.select("hash", "count"), "hash", "left")
     times, seen = F.col("times"), F.col("count").isNotNull()
     found = found.select(
         "key", "doc_id", "rows", "n_tokens",
         (F.col("known") + F.when(seen, times).otherwise(0)).alias("known"),
         (F.col("base") + F.when(times > 0, times * F.log10(F.coalesce("count", F.lit(0)) + 0.1)).otherwise(0.0)).alias("base"),
-        (F.col("value") + F.when(times == 0, 0.0).when(seen, times * (F.log10(F.col("count") - DISCOUNT) - known_log)).otherwise(times * unseen_log)).alias("value"),
+        F.when(times == 0, F.col("value")).when(seen, F.col("value") + times * (F.log10("count") - known_log)).otherwise(0.0).alias("value"),
     )
     sums = found.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "value")), F.min("doc_id").alias("low"))
     # equal rows fell together under one key: they share the sums
     out = sums.withColumn("_row", F.explode(F.expr("sequence(1L, rows)")))
     each = lambda c: F.expr(f"{c} div rows")
+    seen_log, unseen_log = (float(np.log10(max(x, 1e-300))) for x in (1 - counts.unseen, counts.unseen))
     return out.select(
         F.when(F.col("doc_id") > 0, F.col("doc_id")).otherwise(F.col("low")).alias("doc_id"),
         each("n_tokens").alias("n_tokens"), each("known").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("rows") - (F.expr("n_tokens div rows")) * F.lit(float(base_log))).alias("base_score"),
-        (F.col("value") / F.col("rows")).alias("score"),
+        ((F.col("value") + F.col("known") * seen_log + (F.col("n_tokens") - F.col("known")) * unseen_log) / F.col("rows")).alias("score"),
     ).withColumn("held_out", C.fold("doc_id", HELD_OUT) == 0)
