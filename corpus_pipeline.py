@@ -19,7 +19,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score well enough."""
-    return pu_classifier.keep_good(docs, pu_classifier.train(docs, table(spark, sf_dir, "labels")))
+    return pu_classifier.keep_good(docs, pu_classifier.train(pu_classifier.features(docs), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -16,6 +17,8 @@ _IS_SPACE[list(SPACE_BYTES)] = True
 #: Texts worked on at once, in bytes; numpy's temporaries take some thirty times this.
 SLICE_BYTES = 1 << 20
 _MULTIPLIERS = 1 << 16
+#: Ids that are sent to all tasks at most, some 30 MB as a hash table.
+FEW_IDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +54,12 @@ def fold(column: str | Column, n: int) -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir for checkpoint(); only where none is named take one of our own."""
+    """Use the folder in spark.checkpoint.dir for checkpoint(). Where none is named, a local session takes one of its own; a cluster has to name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
@@ -64,6 +69,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id is (left_anti: is not) among ids, a table that has been cut.
+
+    Ids are sent to all tasks if they are few enough; beyond that the texts are shuffled once.
+    """
+    ids = ids.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", how).select(docs.columns)
+
+
 def encoded(texts) -> list[bytes]:
     """UTF-8 of each text; null is empty, lone surrogates become '?'."""
     return [b"" if t is None or t != t else t.encode("utf-8", "replace") for t in texts]

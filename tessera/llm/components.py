@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join on the node, so no component is ever gathered in one place, and the number
-of rounds grows with the logarithm of the components' size. A table of few edges is kept in one partition, where the
+of rounds grows with the logarithm of the components' size. Partitions follow the number of edges; in a single one the
 same steps need no shuffle.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Edges up to which one partition holds them all, some 20 MB.
-FEW = 500_000
+#: Edges in a partition, some 20 MB.
+EDGES = 500_000
 
 
 def _edges(*pairs: tuple[Column, Column]) -> Column:
@@ -27,8 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    if links.count() <= FEW:
-        links = cut(links.coalesce(1))
+    links = cut(links.coalesce(1 + links.count() // EDGES))
     last = None
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node moves to the least node of its neighbourhood

@@ -2,13 +2,18 @@
 
 A tree builder reads tags in one pass and supplies those left out: list items, paragraphs, options and table parts end
 where the next one starts, rows and bodies of tables are opened for cells that stand outside them. Elements that a
-browser would not show are skipped. The renderer keeps blocks apart, marks list items and pads table cells to columns.
+browser would not show are skipped: by their kind, their attributes and the page's style sheets as a wide screen reads
+them. The renderer keeps blocks apart, marks list items and pads table cells to columns.
+
+Tree, styles and layout are walked with explicit stacks, so pages may be nested as deep and tables be as wide as they
+like. Selectors of siblings and of states are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -16,6 +21,8 @@ from pyspark.sql import DataFrame
 
 # Fixed values of HTML: names of elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LISTS = frozenset("ul ol menu dir".split())
+TABLE_PARTS = frozenset("caption thead tbody tfoot tr td th".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes template xmp".split())
 UNSHOWN = frozenset("head script style title noscript iframe noembed noframes template datalist audio video canvas object map area base link meta param source track".split())
 BLOCK = frozenset("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav optgroup option search section summary tr".split())
@@ -30,17 +37,18 @@ CLOSES = {
     "body": ({"head"}, set()), "caption": ({"caption"}, {"table"}),
 }
 WALLS = frozenset("table td th caption button".split())
-#: Elements open at once; deeper ones are read as if they were siblings.
-DEPTH = 300
-#: Columns of a table that are aligned, and the widest padding; wider cells only push their row.
-WIDEST, MOST_COLUMNS = 60, 200
+INPUTS = frozenset("submit button reset text search email url tel number".split())
+#: The screen that media rules are read for, in pixels, and the pixels of the relative units.
+SCREEN, PIXELS = 1280, {"px": 1, "em": 16, "rem": 16, "pt": 4 / 3}
+#: Up to this width cells are padded to the others of their column; wider ones only push their row.
+WIDEST = 60
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?(?:([.#])([\w-]+))?\Z")
+_STEP = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[^\]]*\])*)\Z")
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*[\"']?([^\"'\]]*?)[\"']?\s*)?\]")
+_FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)\s*(px|em|rem|pt)\s*\)")
 
 
 class Node:
@@ -58,14 +66,18 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def build(html: str) -> tuple[Node, list[str]]:
-    """The tree of a page, and the texts of its style elements."""
+def build(html: str) -> tuple[Node, list[tuple[str, str]]]:
+    """The tree of a page, and of each style element the media it is for and its text."""
     root = Node("html", {})
     open_, styles, at = [root], [], 0
+    count: Counter[str] = Counter()  # of open elements, by name
 
     def close(tags: set[str], walls: set[str]) -> None:
+        if not any(count[t] for t in tags):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in tags:
+                count.subtract(n.tag for n in open_[i:])
                 del open_[i:]
                 return
             if open_[i].tag in walls:
@@ -74,10 +86,12 @@ def build(html: str) -> tuple[Node, list[str]]:
     def push(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         open_[-1].children.append(node)
-        if len(open_) < DEPTH:
-            open_.append(node)
+        open_.append(node)
+        count[tag] += 1
 
     def start(tag: str, attrs: dict[str, str]) -> None:
+        if tag in TABLE_PARTS and not count["table"]:
+            return  # such a tag is nothing outside a table
         if tag in ENDS_PARAGRAPH:
             close({"p"}, WALLS)
         if rule := CLOSES.get(tag):
@@ -88,10 +102,7 @@ def build(html: str) -> tuple[Node, list[str]]:
             push("tbody", {})
         push(tag, attrs)
 
-    while True:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            break
+    while (m := _TOKEN.search(html, at)) is not None:
         if m.start() > at:
             open_[-1].children.append(html[at : m.start()])
         at = m.end()
@@ -111,17 +122,19 @@ def build(html: str) -> tuple[Node, list[str]]:
                 open_[-1].children.append(node)
                 if tag == "textarea":
                     node.children.append(inner)
+                elif tag == "xmp":  # its text is shown as it stands
+                    node.children.append(inner.replace("&", "&amp;"))
                 elif tag == "style":
-                    styles.append(inner)
+                    styles.append((attrs.get("media", ""), inner))
             else:
                 start(tag, attrs)
                 if m[3].endswith("/") and tag in ("path", "circle", "rect", "use", "g", "line"):
-                    open_.pop()
+                    count[open_.pop().tag] -= 1
         elif m[1]:
             tag = m[1].lower()
             if tag == "br":
                 open_[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in open_):
+            elif tag == "p" and not count["p"]:
                 open_[-1].children.append(Node("p", {}))
             elif tag not in ("html", "body"):
                 close({tag}, set() if tag in WALLS else WALLS)
@@ -130,33 +143,147 @@ def build(html: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def hiding_rules(styles: list[str]) -> tuple[set, set, set]:
-    """Tags, classes and ids (the last two with a tag or None) that the pages' style sheets hide; single simple selectors only."""
-    tags, classes, ids = set(), set(), set()
-    for sheet in styles:
-        for selectors, body in _RULE.findall(sheet):
-            if _HIDES.search(body):
-                for s in selectors.split(","):
-                    if (m := _SIMPLE.match(s.strip())) and s.strip():
-                        tag = None if m[1] in (None, "*") else m[1].lower()
-                        if m[2]:
-                            (classes if m[2] == "." else ids).add((tag, m[3]))
-                        elif tag:
-                            tags.add(tag)
-    return tags, classes, ids
-
-
-def hidden(node: Node, rules: tuple[set, set, set]) -> bool:
-    tag, a = node.tag, node.attrs
-    if tag in UNSHOWN or tag in rules[0] or tag == "dialog" and "open" not in a:
-        return True
-    if not a:
-        return False
-    if "hidden" in a or tag == "input" and a.get("type", "").lower() == "hidden" or _HIDES.search(a.get("style", "")):
+def for_screen(media: str) -> bool:
+    """Whether one of the media queries holds on a screen of SCREEN pixels; unknown features don't hold."""
+
+    def holds(query: str) -> bool:
+        kind, *features = re.split(r"\s+and\s+", query.strip().lower())
+        if kind.startswith("not "):
+            return not holds(" and ".join([kind[4:], *features]))
+        if kind.startswith("("):
+            features.insert(0, kind)
+        elif kind.removeprefix("only ") not in ("", "all", "screen"):
+            return False
+        for f in features:
+            if not (m := _FEATURE.fullmatch(f.strip())):
+                return False
+            edge = float(m[2]) * PIXELS[m[3]]
+            if SCREEN < edge if m[1] == "min" else SCREEN > edge:
+                return False
         return True
-    if rules[1] and any((t, c) in rules[1] for c in a.get("class", "").split() for t in (None, tag)):
+
+    return any(holds(q) for q in media.split(","))
+
+
+def rules_of(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet that hold on a screen, blocks within blocks included."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    out: list[list] = []
+    inside: list[tuple[bool, list | None]] = [(True, None)]  # of each open block: whether its rules hold, and its own rule
+    text = ""
+    for part in re.split(r"([{};])", sheet):
+        if part not in ("{", "}", ";"):
+            text = part
+            continue
+        holds, rule = inside[-1]
+        if part == "{":
+            head = text.strip()
+            if head.startswith("@"):
+                name, _, rest = head[1:].partition(" ")
+                inside.append((holds and (for_screen(rest) if name.lower() == "media" else name.lower() in ("supports", "layer", "container")), None))
+            else:
+                out.append([head, "", holds and rule is None])  # a rule within a rule is left out
+                inside.append((holds, out[-1]))
+        elif rule is not None:
+            rule[1] += ";" + text
+        if part == "}" and len(inside) > 1:
+            inside.pop()
+        text = ""
+    return [(s, d) for s, d, holds in out if holds and s]
+
+
+def declared(text: str) -> dict[str, tuple[str, bool]]:
+    """Of display and visibility what the declarations say, and whether it is important."""
+    out: dict[str, tuple[str, bool]] = {}
+    for d in text.split(";"):
+        name, _, value = d.partition(":")
+        if (name := name.strip().lower()) in ("display", "visibility"):
+            value, _, important = value.strip().lower().partition("!")
+            if name not in out or important or not out[name][1]:
+                out[name] = (value.strip(), bool(important))
+    return out
+
+
+class Styles:
+    """The rules about display and visibility, by what the last step of their selectors asks for."""
+
+    def __init__(self, sheets: list[tuple[str, str]]):
+        self.by: dict[str, list] = {}
+        order = 0
+        for media, sheet in sheets:
+            if not for_screen(media):
+                continue
+            for selectors, text in rules_of(sheet):
+                if said := declared(text):
+                    for s in selectors.split(","):
+                        if steps := self.steps(s):
+                            tag, parts = steps[-1][1]
+                            key = next((p[0] + p[1] for p in parts if p[0]), tag or "*")
+                            weight = tuple(sum(hit(p) for _, (_, ps) in steps for p in ps) for hit in (lambda p: p[0] == "#", lambda p: p[0] != "#")) + (sum(bool(t) for _, (t, _) in steps),)
+                            self.by.setdefault(key, []).append((steps, said, weight, order))
+                            order += 1
+
+    @staticmethod
+    def steps(selector: str) -> list | None:
+        """(whether the step before has to be the parent, (tag or "", parts)) of each step; None for selectors that are left out."""
+        out, child = [], False
+        for word in re.sub(r"\s*>\s*", " > ", selector).split():
+            if word == ">":
+                child = True
+                continue
+            if not (m := _STEP.match(word)):
+                return None
+            out.append((child, ("" if m[1] in (None, "*") else m[1].lower(), _PART.findall(m[2]))))
+            child = False
+        return out
+
+    @staticmethod
+    def fits(step: tuple, node: Node) -> bool:
+        tag, parts = step
+        if tag and tag != node.tag:
+            return False
+        for mark, name, attr, sign, value in parts:
+            if mark == ".":
+                ok = name in node.attrs.get("class", "").split()
+            elif mark == "#":
+                ok = node.attrs.get("id") == name
+            else:
+                has = node.attrs.get(attr.lower())
+                ok = has is not None and {"": True, "=": has == value, "~=": value in has.split(), "^=": has.startswith(value), "$=": has.endswith(value), "*=": value in has, "|=": has == value or has.startswith(value + "-")}[sign]
+            if not ok:
+                return False
         return True
-    return bool(rules[2]) and any((t, a.get("id")) in rules[2] for t in (None, tag))
+
+    def match(self, steps: list, path: list[Node]) -> bool:
+        """Whether the last node of the path is what the selector names."""
+        at = {len(path) - 1} if self.fits(steps[-1][1], path[-1]) else set()
+        for k in range(len(steps) - 1, 0, -1):
+            if not at:
+                break
+            before = {i - 1 for i in at if i} if steps[k][0] else range(max(at))
+            at = {i for i in before if self.fits(steps[k - 1][1], path[i])}
+        return bool(at)
+
+    def shown(self, path: list[Node], visible: bool) -> tuple[bool, bool]:
+        """Whether the last node of the path takes up room, and whether its text is visible, in a parent as visible as said."""
+        node = path[-1]
+        tag, a = node.tag, node.attrs
+        if tag in UNSHOWN or tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
+            return False, False
+        won: dict[str, tuple] = {}
+        if self.by:
+            for key in ("*", tag, *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if "id" in a else [])):
+                for steps, said, weight, order in self.by.get(key, ()):
+                    if self.match(steps, path):
+                        for name, (value, important) in said.items():
+                            won[name] = max(won.get(name, ((),)), ((important, False, *weight, order), value))
+        if "style" in a:
+            for name, (value, important) in declared(a["style"]).items():
+                won[name] = max(won.get(name, ((),)), ((important, True, 0, 0, 0, 0), value))
+        if won.get("display", ((), "none" if "hidden" in a else ""))[1] == "none":
+            return False, False
+        said = won.get("visibility", ((), ""))[1]
+        return True, said == "visible" or visible and said not in ("hidden", "collapse")
 
 
 class Lines:
@@ -180,6 +307,14 @@ class Lines:
         if line:
             self.put(line)
 
+    def end_pre(self) -> None:
+        line = "".join(self.now).rstrip()
+        self.now.clear()
+        if line:
+            self.put(line)
+        elif self.done:
+            self.blank = True
+
     def put(self, line: str) -> None:
         if self.blank and self.done:
             self.done.append("")
@@ -194,156 +329,186 @@ class Lines:
         self.end()
         self.blank = True
 
-
-def render(node: Node, rules: tuple[set, set, set], out: Lines, pre: bool = False) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            text = unescape(child)
-            if pre:
-                first, *rest = text.split("\n")
-                out.now.append(first)
-                for line in rest:
-                    _end_pre(out)
-                    out.now.append(line)
+    def broken(self) -> None:
+        """A line break: ends a line, or leaves an empty one."""
+        if self.now and "".join(self.now).strip(" \t\n\r\f"):
+            self.end()
+        else:
+            self.now.clear()
+            self.blank = self.blank or bool(self.done)
+
+
+class Page:
+    """A walk over the tree. enter() says what an element does before and after its children."""
+
+    def __init__(self, styles: Styles):
+        self.styles = styles
+        self.path: list[Node] = []
+        self.out = Lines()
+        self.pre, self.visible = False, True
+        self.rows: list[list[tuple[str, int, int]]] | None = None  # of the innermost table: text and spans of its cells
+        self.number = 1  # of the next item of the innermost list
+
+    def walk(self, root: Node) -> str:
+        self.path.append(root)
+        room, self.visible = self.styles.shown(self.path, True)
+        todo = [(iter(root.children if room else ()), lambda: None)]
+        while todo:
+            children, leave = todo[-1]
+            child = next(children, None)
+            if child is None:
+                todo.pop()
+                leave()
+                self.path.pop()
+            elif isinstance(child, str):
+                if self.visible:
+                    self.text(unescape(child))
             else:
-                out.text(text)
-            continue
-        tag = child.tag
-        if hidden(child, rules):
-            continue
+                self.path.append(child)
+                room, visible = self.styles.shown(self.path, self.visible)
+                if room:
+                    before, self.visible = (self.out, self.pre, self.visible, self.rows, self.number), visible
+                    kids, after = self.enter(child, self.path[-2])
+                    todo.append((iter(kids), self.leaving(before, after)))
+                else:
+                    self.path.pop()
+        self.out.end()
+        return "\n".join(self.out.done)
+
+    def leaving(self, before: tuple, after: Callable[[], None]) -> Callable[[], None]:
+        def leave() -> None:
+            after()
+            number = self.number
+            self.out, self.pre, self.visible, self.rows, self.number = before
+            if self.path[-1].tag == "li":
+                self.number = number
+
+        return leave
+
+    def text(self, text: str) -> None:
+        if not self.pre:
+            self.out.text(text)
+            return
+        first, *rest = text.split("\n")
+        self.out.now.append(first)
+        for line in rest:
+            self.out.end_pre()
+            self.out.now.append(line)
+
+    def enter(self, node: Node, parent: Node) -> tuple[list, Callable[[], None]]:
+        tag, out = node.tag, self.out
+        if self.rows is not None and tag in TABLE_PARTS and tag != "caption":
+            if tag == "tr":
+                self.rows.append([])
+            elif tag in ("td", "th"):
+                return self.cell(node)
+            # what stands in a row or table but in no cell comes before the table
+            return node.children, lambda: None
+        if parent.tag in LISTS and tag == "li":
+            return self.item(node, parent)
+        if parent.tag in LISTS and tag not in LISTS:
+            out.end()
+            kids, after = self.inner(node)
+            return kids, lambda: (after(), out.end())
+        return self.inner(node)
+
+    def inner(self, node: Node) -> tuple[list, Callable[[], None]]:
+        tag, kids, out = node.tag, node.children, self.out
         if tag == "br":
-            if out.now:
-                out.end()
+            if self.visible:
+                out.end_pre() if self.pre else out.broken()
         elif tag == "hr":
             out.gap()
         elif tag == "input":
-            if child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
-                out.text(f" {child.attrs.get('value', '')} ")
-        elif tag == "pre" or tag == "textarea":
-            out.gap()
-            render(child, rules, out, True)
-            _end_pre(out)
+            if self.visible and node.attrs.get("type", "text").lower() in INPUTS:
+                out.text(f" {node.attrs.get('value', '')} ")
+        elif tag in ("pre", "textarea", "xmp"):
             out.gap()
+            self.pre = True
+            return kids, lambda: (out.end_pre(), out.gap())
         elif tag == "table":
             out.gap()
-            table(child, rules, out)
-            out.gap()
-        elif tag in ("ul", "ol", "menu", "dir"):
-            (out.end if out.indent else out.gap)()
-            listed(child, rules, out)
-            (out.end if out.indent else out.gap)()
-        elif tag == "details" and "open" not in child.attrs:
-            out.end()
-            for c in child.children:
-                if isinstance(c, Node) and c.tag == "summary" and not hidden(c, rules):
-                    render(c, rules, out)
-                    break
+            self.rows = rows = []
+            self.pre = False
+            return kids, lambda: (out.end(), put_rows(rows, out), out.gap())
+        elif tag in LISTS:
+            edge = out.end if out.indent else out.gap
+            edge()
+            start = node.attrs.get("start", "")
+            self.number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+            return kids, edge
+        elif tag == "details" and "open" not in node.attrs:
             out.end()
+            return [c for c in kids if isinstance(c, Node) and c.tag == "summary"][:1], out.end
         elif tag in SPACED:
             out.gap()
-            render(child, rules, out, pre)
-            out.gap()
-        elif tag in BLOCK:
-            out.end()
-            if tag == "dd":
-                out.indent += "  "
-            render(child, rules, out, pre)
+            return kids, out.gap
+        elif tag in BLOCK or tag == "caption":
             out.end()
-            if tag == "dd":
-                out.indent = out.indent[:-2]
-        else:
-            render(child, rules, out, pre)
+            before, out.indent = out.indent, out.indent + ("  " if tag == "dd" else "")
 
+            def after() -> None:
+                out.end()
+                out.indent = before
 
-def _end_pre(out: Lines) -> None:
-    line = "".join(out.now).rstrip()
-    out.now.clear()
-    if line:
-        out.put(line)
-    elif out.done:
-        out.blank = True
+            return kids, after
+        return kids, lambda: None
 
+    def item(self, node: Node, parent: Node) -> tuple[list, Callable[[], None]]:
+        """An item with a dash or its number, indented by the marker."""
+        out = self.out
+        out.end()
+        if re.fullmatch(r"-?\d{1,9}", node.attrs.get("value", "")):
+            self.number = int(node.attrs["value"])
+        before, marker, after_it = out.indent, f"{self.number}. " if parent.tag == "ol" else "- ", self.number + 1
+        out.indent, out.marker = before + " " * len(marker), marker
 
-def listed(node: Node, rules: tuple[set, set, set], out: Lines) -> None:
-    """Items with a dash or their number, indented by the marker; what stands between items is a line of its own."""
-    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
-    for child in node.children:
-        if isinstance(child, str):
-            out.text(unescape(child))
-        elif hidden(child, rules):
-            continue
-        elif child.tag == "li":
+        def after() -> None:
             out.end()
-            if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
-                number = int(child.attrs["value"])
-            before, marker = out.indent, f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            out.indent, out.marker = before + " " * len(marker), marker
-            render(child, rules, out)
-            out.end()
-            out.indent, out.marker = before, ""
-        else:
-            whole = Node("div", {})
-            whole.children.append(child)
-            render(whole, rules, out)
+            out.indent, out.marker, self.number = before, "", after_it
 
+        return node.children, after
 
-def table(node: Node, rules: tuple[set, set, set], out: Lines) -> None:
-    """Rows as lines, each column as wide as its widest cell; spans leave the columns they cover empty."""
-    rows: list[Node] = []
+    def cell(self, node: Node) -> tuple[list, Callable[[], None]]:
+        inner, rows = Lines(), self.rows
+        self.out, self.pre, self.rows = inner, False, None
+        # spans as the standard clamps them
+        wide, deep = (min(int(v), most) if (v := node.attrs.get(k, "")).isascii() and v.isdigit() and int(v[:9]) > 0 else 1 for k, most in (("colspan", 1000), ("rowspan", 65534)))
+
+        def after() -> None:
+            inner.end()
+            if not rows:
+                rows.append([])
+            rows[-1].append((" ".join(x.strip() for x in inner.done if x), wide, deep))
+
+        return node.children, after
 
-    def collect(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                out.text(unescape(c))
-            elif hidden(c, rules):
-                continue
-            elif c.tag == "tr":
-                rows.append(c)
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                collect(c)
-            else:  # captions and what does not belong in a table come before it
-                out.end()
-                render(c, rules, out)
-                out.end()
 
-    collect(node)
-    out.end()
+def put_rows(rows: list[list[tuple[str, int, int]]], out: Lines) -> None:
+    """Rows as lines, each column as wide as its widest cell; spans leave the columns they cover empty."""
     grid: list[dict[int, str]] = []
     taken: dict[int, int] = {}  # column: rows for which a cell from above still covers it
     for row in rows:
         line: dict[int, str] = {}
         fresh: dict[int, int] = {}
         at = 0
-        for cell in row.children:
-            if not isinstance(cell, Node) or cell.tag not in ("td", "th"):
-                loose = cell if isinstance(cell, Node) else None
-                if loose is None or hidden(loose, rules):
-                    continue
-            elif hidden(cell, rules):
-                continue
+        for text, wide, deep in row:
             while taken.get(at, 0) > 0:
                 at += 1
-            inner = Lines()
-            render(cell, rules, inner)
-            inner.end()
-            line[at] = " ".join(x.strip() for x in inner.done if x)
-            wide, deep = (int(v) if re.fullmatch(r"\d{1,3}", v := cell.attrs.get(k, "")) and int(v) > 0 else 1 for k in ("colspan", "rowspan"))
-            for c in range(at, min(at + wide, MOST_COLUMNS)):
-                fresh[c] = deep - 1
+            line[at] = text
+            if deep > 1:
+                fresh.update(dict.fromkeys(range(at, at + wide), deep - 1))
             at += wide
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n for c, n in fresh.items() if n}
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | fresh
         grid.append(line)
     width: dict[int, int] = {}
     for line in grid:
         for c, s in line.items():
             width[c] = max(width.get(c, 0), min(len(s), WIDEST))
-    columns = sorted(width)[:MOST_COLUMNS]
+    columns = sorted(width)
     for line in grid:
-        text = " | ".join(line.get(c, "").ljust(width[c]) for c in columns)
-        extra = [line[c] for c in sorted(line) if c not in width or c > (columns[-1] if columns else -1)]
         if any(line.values()):
-            out.put(" | ".join([text.rstrip(), *extra]) if extra else text.rstrip())
+            out.put(" | ".join(line.get(c, "").ljust(width[c]) for c in columns).rstrip())
 
 
 def visible_text(html: str | None) -> str:
@@ -351,10 +516,7 @@ def visible_text(html: str | None) -> str:
     if not html:
         return ""
     root, styles = build(html.replace("\r\n", "\n").replace("\x00", ""))
-    out = Lines()
-    render(root, hiding_rules(styles), out)
-    out.end()
-    return "\n".join(out.done)
+    return Page(Styles(styles)).walk(root)
 
 
 def extract(pages: DataFrame) -> DataFrame:

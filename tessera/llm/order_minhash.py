@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 K, WORD = 2, 16
 #: log2 of the number of bins.
 BIN_BITS = 6
-#: Bits of a place in the text; beyond 2**24 words places start again from 0.
-_PLACE = 24
+#: Bits of a place in the text: a string holds less than 2**31 bytes, and so at most 2**30 words.
+_PLACE = 30
 #: doc_ids of a bucket, as a power of two: the next document is mostly found within the bucket.
 BUCKET = 10
 

@@ -212,14 +212,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, piece:
     """One row per piece of each document, with its window (sequence_id) and place there.
 
     Null text counts as empty: such a document is its end id alone. Repeated rows are packed as often as they
-    occur; rows without a doc_id are left out. Other columns are ignored. An empty table gives no rows. Groups come from a hash of doc_id and start,
-    so one document of any length is spread over many groups.
+    occur; rows without a doc_id are left out. Other columns are ignored. An empty table gives no rows. Pieces that
+    fill a window have it to themselves and go nowhere; all others are dealt to groups by a hash of doc_id and start, as
+    many groups as these pieces need, so a document of any length is spread over many groups.
     """
     capacity, piece = int(capacity), int(min(piece, capacity))
-    docs = C.identified(docs)
-    rows = docs.mapInPandas(lambda it: tokenize(it, tokenizer_path, capacity, piece), PIECES)
-    groups = max(1, docs.count() * 3 // group_pieces)
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (64 * capacity))), F.lit(groups)))
+    rows = C.cut(C.identified(docs).mapInPandas(lambda it: tokenize(it, tokenizer_path, capacity, piece), PIECES))
+    part = rows.where(F.col("length") < capacity)
+    groups = max(1, part.count() // group_pieces)
+    dealt = part.withColumn("group", F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (64 * capacity))), F.lit(groups)))
     packed = dealt.groupBy("group").applyInPandas(lambda pdf: pack_group(pdf, capacity), f"{PIECES}, group long, window long, offset long")
-    width = 1 << 31
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("group") * F.lit(width) + F.col("window")).alias("sequence_id"), "offset")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    shared = packed.select(*columns, (F.col("group") * F.lit(1 << 31) + F.col("window")).alias("sequence_id"), "offset")
+    # numbers of their own, beyond those of the groups
+    whole = rows.where(F.col("length") == capacity).select(*columns, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(whole)

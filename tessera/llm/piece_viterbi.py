@@ -1,19 +1,25 @@
 """SentencePiece encoding and decoding by a Viterbi search that shares prefixes.
 
-A text's spaces become marks, and each mark opens a word. The distinct words of a batch are sorted, so that they lie
-in the order in which a depth-first walk of their trie meets them; the best scores up to each position depend on the
-prefix alone and are reused from one word to the next as far as both agree.
-
-The pieces' own scores are used, as the unigram model of the library does with the same file; this is the
-segmentation of greatest total score, not the merge order of a byte-pair model.
+A text's spaces become marks, and each run of marks opens a word. The distinct words of a batch are sorted, so that
+they lie in the order in which a depth-first walk of their trie meets them; the forward table up to each position
+depends on the prefix alone and is reused from one word to the next as far as both agree.
+
+The file's scores are merge ranks. Added up they would prefer a few early pieces to the right ones, so a path is scored
+by its steps: two neighbouring pieces score zero if merging by rank leaves the border between them alone, minus
+infinity if not. Exactly one path through a word has no bad step, and it is the one that the merges give: what happens
+on either side of a border that is not crossed depends on the two pieces next to it alone. The ids are those of the
+library with the same file.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
+from math import inf
 from os.path import commonprefix
 
 import numpy as np
@@ -23,16 +29,15 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 MARK = "▁"
-#: What a character outside the vocabulary costs below the least score; it is then written as bytes.
-UNKNOWN_PENALTY = 10.0
-#: Words whose pieces a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose pieces a worker keeps, and pairs whose borders it knows; beyond that it starts anew.
+CACHE_WORDS, CACHE_PAIRS = 600_000, 2_000_000
 #: Characters encoded at once.
 SLICE = 1 << 21
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Pieces:
-    """The vocabulary: normal pieces with their scores, and an id for each byte."""
+    """The vocabulary: normal pieces with their merge ranks, and an id for each byte."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -43,51 +48,89 @@ class Pieces:
         self.byte_of = {i: int(self.text[i][3:5], 16) for i in ids if model.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.special = {i for i in ids if model.is_control(i) or model.is_unknown(i)}
-        self.normal = {self.text[i]: (model.get_score(i), i) for i in ids if i not in self.byte_of and i not in self.special}
-        #: Every ending of a piece; with the piece's score and id where the ending is itself a piece.
-        self.endings = {p[i:]: self.normal.get(p[i:]) for p in self.normal for i in range(len(p))}
-        self.unknown = min(s for s, _ in self.normal.values()) - UNKNOWN_PENALTY
+        self.id = {self.text[i]: i for i in ids if i not in self.byte_of and i not in self.special}
+        self.rank = {p: -model.get_score(i) for p, i in self.id.items()}
+        #: The merges that make up a piece, in order: rank, and the piece's first and last part after it.
+        self.made = {p: steps for p in self.id if (steps := self.merges(p)) is not None}
+        #: Every ending of a piece that merges make; whether it is itself one.
+        self.endings = {p[i:]: p[i:] in self.made for p in self.made for i in range(len(p))}
+        self.borders: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, bytes] = {}
 
-    def segment(self, words: list[str]) -> dict[str, list[int]]:
-        """The pieces of each word; words are walked in sorted order and share what they have in common.
+    def merges(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """How merging by rank, leftmost first among equals, puts the piece together; None if it doesn't come to one part."""
+        parts, out = list(piece), []
+        while len(parts) > 1:
+            rank, at = min((self.rank.get(x + y, inf), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+            if rank == inf:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            out.append((rank, parts[0], parts[-1]))
+        return out
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging the two pieces' characters gives the two pieces: no merge ever crosses the border."""
+        x, y = left[-1], right[0]
+        todo, then = iter(self.made.get(left, ())), iter(self.made.get(right, ()))
+        end = (inf, "", "")
+        step, other = next(todo, end), next(then, end)
+        while True:
+            across = self.rank.get(x + y, inf)
+            if across < step[0] and across <= other[0]:
+                return False
+            if step[0] == other[0] == inf:
+                return True
+            if step[0] <= other[0]:
+                x, step = step[2], next(todo, end)
+            else:
+                y, other = other[1], next(then, end)
 
-        Of equal totals the one whose last piece is longest wins, and so on backwards.
-        """
-        endings, unknown = self.endings, self.unknown
+    def segment(self, words: list[str]) -> dict[str, list[int]]:
+        """The pieces of each word; words are walked in sorted order and share what they have in common."""
+        endings, borders, made = self.endings, self.borders, self.made
         found: dict[str, list[int]] = {}
-        best, back, last = [0.0], [(0, -1)], ""
+        ends: list[str] = [""]  # the last piece of the best path to each position
+        last = ""
         for word in sorted(words):
             at = len(commonprefix((last, word)))
-            del best[at + 1 :], back[at + 1 :]
+            del ends[at + 1 :]
             for end in range(at + 1, len(word) + 1):
-                top, step = best[end - 1] + unknown, (end - 1, -1)
-                for start in range(end - 1, -1, -1):
-                    piece = endings.get(word[start:end], False)
-                    if piece is False:  # no piece ends like this, nor like anything longer
+                fitting, start = [], end - 1
+                while start >= 0 and (whole := endings.get(word[start:end])) is not None:
+                    if whole:
+                        fitting.append(word[start:end])
+                    start -= 1
+                best = word[end - 1]  # a character outside the vocabulary stands for itself
+                for piece in reversed(fitting):
+                    before = ends[end - len(piece)]
+                    if not before:
+                        best = piece
+                        break
+                    if (free := borders.get((before, piece))) is None:
+                        free = borders[before, piece] = self.apart(before, piece)
+                    if free:
+                        best = piece
                         break
-                    if piece and best[start] + piece[0] >= top:
-                        top, step = best[start] + piece[0], (start, piece[1])
-                best.append(top)
-                back.append(step)
+                ends.append(best)
             ids, end = [], len(word)
             while end:
-                start, i = back[end]
-                ids += [i] if i >= 0 else [self.byte_id[b] for b in reversed(word[start:end].encode("utf-8", "replace"))]
-                end = start
+                piece = ends[end]
+                ids += [self.id[piece]] if piece in made else [self.byte_id[b] for b in reversed(piece.encode("utf-8", "replace"))]
+                end -= len(piece)
             found[word] = ids[::-1]
             last = word
+        if len(borders) > CACHE_PAIRS:
+            borders.clear()
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit numbers in the machine's order; an empty text has none."""
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
-        split = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
+        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = set(chain.from_iterable(split))
-        new = [w for w in words if w not in self.kept]
-        for w, ids in self.segment([MARK + w for w in new]).items():
-            self.kept[w[1:]] = array("i", ids).tobytes()
+        for w, ids in self.segment([w for w in words if w not in self.kept]).items():
+            self.kept[w] = array("i", ids).tobytes()
         get = {w: self.kept[w] for w in words}.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -108,6 +151,12 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def load(path: str) -> Pieces:
+    """The vocabulary of a file; a worker reads it once and keeps what it has learnt of words and borders."""
+    return Pieces(path)
+
+
 def _slices(texts: list[str]):
     lo = size = 0
     for i, t in enumerate(texts):
@@ -127,7 +176,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
+        pieces = load(model_path)
         for batch in batches:
             texts, ids = [t or "" for t in batch["text"]], batch["doc_id"].to_numpy()
             for lo, hi in _slices(texts):
@@ -140,7 +189,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of each row's ids; null ids give null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
+        pieces = load(model_path)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if x is None else pieces.decode(x.tolist()) for x in batch["ids"]]})
 
@@ -153,7 +202,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     round_trip says that the decoded ids give the text again, marks being spaces.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
+        pieces = load(model_path)
         is_byte = np.zeros(len(pieces.text), bool)
         is_byte[list(pieces.byte_of)] = True
         for batch in batches:
@@ -166,4 +215,3 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "n_bytes", "round_trip"])
 
     return C.identified(docs).mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, round_trip boolean")
-

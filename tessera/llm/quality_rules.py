@@ -190,21 +190,25 @@ def measured(docs: DataFrame) -> DataFrame:
     return C.identified(docs).mapInPandas(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, test_fold: int = 5) -> DataFrame:
-    """Texts and labels of at most `rows` labelled rows outside the test fold, the same ones in each run.
+def labelled(labels: DataFrame, rows: int, test_fold: int = 5, quality: int | None = None) -> DataFrame:
+    """doc_id and quality of at most `rows` labelled documents outside the test fold, the first by a hash of doc_id.
 
-    Labels that contradict each other for one doc_id are left out, as are null ones.
+    Labels that contradict each other for one doc_id are left out, as are null ones. quality: only of this label.
     """
     known = (
         labels.where(F.col("quality").isin(0, 1) & (C.fold("doc_id", test_fold) != 0))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_high")).where("quality = _high")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "quality")
     )
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # bounded by rows
+    known = known if quality is None else known.where(F.col("quality") == quality)
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees | None:
-    sample = labelled_sample(docs, labels, rows)
+    """Trees grown on at most `rows` labelled documents outside the test fold; None without labels of both kinds.
+
+    Null texts count as empty; a doc_id that is repeated counts once; rows without a doc_id or a label are not used.
+    """
+    sample = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, rows)), "doc_id")  # bounded by rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees | Non
                 yield statistics(texts[lo:hi])[list(MONOTONE)].assign(doc_id=batch["doc_id"].to_numpy()[lo:hi], quality=batch["quality"].to_numpy()[lo:hi])
 
     found = sample.mapInPandas(run, ", ".join([*(f"{c} double" for c in MONOTONE), "doc_id long", "quality int"])).toPandas()
-    found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id").head(rows)
+    found = found.sort_values(["doc_id", *MONOTONE], kind="stable").drop_duplicates("doc_id")
     if found.empty:
         return None
     return grow(found[list(MONOTONE)].to_numpy(), found["quality"].to_numpy().astype(float), list(MONOTONE.values()))
@@ -240,7 +244,10 @@ def judge(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns as they were."""
+    """The rows of docs that the rules keep, with all their columns as they were.
+
+    Null and empty texts go; repeated rows are judged alike, one by one, and rows without a doc_id like all others.
+    """
 
     def keep(texts: list[bytes]) -> np.ndarray:
         s = statistics(texts)

@@ -20,8 +20,8 @@ def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pu_classifier.score(docs, pu_classifier.train(docs, table(spark, sf_dir, "labels")))
+    stats = pu_classifier.features(table(spark, sf_dir, "documents"))
+    return pu_classifier.score(stats, pu_classifier.train(stats, table(spark, sf_dir, "labels")))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,14 @@
+import os
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
+import pytest
+
 from tessera.llm import html_layout, quotes
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_layout_of_blocks_lists_and_tables():
     page = """<html><head><title>no</title><style>.gone, #x {display:none} p {color:red}</style></head><body>
@@ -19,13 +28,82 @@ def test_spans_and_stray_cells_keep_columns():
 
 
 def test_broken_pages_give_text():
-    assert html_layout.visible_text("<p>a<div>b</p>c</div></x><td>d") == "a\nb\n\nc\nd" or html_layout.visible_text("<p>a<div>b</p>c</div></x><td>d").split()[:3] == ["a", "b", "c"]
+    assert html_layout.visible_text("<p>a<div>b</p>c</div></x><td>d") == "a\n\nb\n\nc\nd"
     assert html_layout.visible_text(None) == html_layout.visible_text("") == html_layout.visible_text("<script>x") == ""
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     assert html_layout.visible_text(deep) == "deep"
     assert html_layout.visible_text('<a "b <c') == '<a "b <c'
 
 
+def test_text_that_is_easily_lost_or_shown():
+    shown = html_layout.visible_text
+    assert shown("<table>one<tr>loose<td>x<tr><b>two</b></table>") == "oneloosetwo\nx"
+    assert shown("<xmp>a <b> &lt;</xmp>") == "a <b> &lt;"
+    assert shown("<style>@media print {.n {display:none}} @media (max-width: 600px) {p {display:none}} @media screen and (min-width:50em) {i {display:none}}</style><p class=n>a<p>b<i>c</i>") == "a\n\nb"
+    assert shown("<style media=print>p {display:none}</style><p>a") == "a"
+    assert shown("<style>.n p.x > b[title] {display:none} #i.j {visibility:hidden} .n + p {display:none}</style><div class=n><p class=x>a<b title=t>no</b><b>c</b></div><p id=i class=j>no<p>d") == "ac\n\nd"
+    assert shown("<style>p {display:none} .on {display:block}</style><p>no<p class=on>a<p class=on style='display:none'>no<p class='on' hidden>b") == "a\n\nb"
+    assert shown("<div style='visibility:hidden'>no<b style='visibility:visible'>a</b><i>no</i></div>b") == "a\nb"
+    assert shown("a<br><br>b<br>c<br><br><br>d") == "a\n\nb\nc\n\nd"
+    assert shown("<style>/* p{display:none} */ a { b { display:none } } @font-face { display: none }</style><p>x<b>y</b>") == "xy"
+
+
+def test_deep_and_wide_pages_keep_their_layout():
+    n = 3000
+    deep = "<div>" * n + "<ul><li>" * n + "x" + "</ul>" * n + "<p>after"
+    assert html_layout.visible_text(deep).split("\n") == [" " * (2 * n - 2) + "- x", "", "after"]
+    nested = "<table><tr><td>" * n + "core" + "</table>" * n + "end"
+    assert html_layout.visible_text(nested) == "core\n\nend"
+    wide = "<table>" + "<tr>" + "<td>a" * 900 + "<tr>" + "<td>bb" * 900 + "</table>"
+    assert html_layout.visible_text(wide).split("\n") == [" | ".join(["a "] * 900).rstrip(), " | ".join(["bb"] * 900)]
+    long = "<p>" + "word <b>bold</b> &amp; " * 200_000
+    assert len(html_layout.visible_text(long)) == 200_000 * 12 - 1
+
+
+class Reader(HTMLParser):
+    """The words of a page outside hidden elements, by the standard library's parser and a stack of names."""
+
+    HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+    def __init__(self, hidden_classes):
+        super().__init__()
+        self.open, self.words, self.hidden_classes = [], [], hidden_classes
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        gone = tag in html_layout.UNSHOWN or "hidden" in a or bool(self.HIDES.search(a.get("style") or "")) or bool(set((a.get("class") or "").split()) & self.hidden_classes)
+        if tag == "input" and not gone and a.get("type", "text") in html_layout.INPUTS:
+            self.words.append(a.get("value") or "")
+        if tag not in html_layout.VOID:
+            self.open.append((tag, gone))
+        self.words.append(" " if tag in html_layout.BLOCK | html_layout.SPACED | {"br", "td", "th", "caption", "input"} else "")
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+        self.words.append(" " if tag in html_layout.BLOCK | html_layout.SPACED | {"td", "th", "caption"} else "")
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.open):
+            self.words.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_words_equal_a_plain_reading_of_the_tables_pages(spark):
+    rows = html_layout.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    marks = re.compile(r"^\s*(?:- |\d+\. )+|(?<!\S)\|(?!\S)", re.M)
+    for r in rows:
+        html = pages[r["page_id"]] or ""
+        reader = Reader({c for rule in re.findall(r"([^{}]+)\{[^{}]*display\s*:\s*none[^{}]*\}", "".join(re.findall(r"<style.*?</style>", html, re.S))) for c in re.findall(r"\.([\w-]+)", rule)})
+        reader.feed(html)
+        reader.close()
+        words = "".join(reader.words).split()
+        assert Counter(marks.sub(" ", r["text"]).split()) == Counter(marks.sub(" ", " ".join(words)).split()), r["page_id"]
+    assert len(rows) == sum(k is not None for k in pages)
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", 9), (1, "u", "<p>x</p>", 9), (2, None, None, 9), (None, "u", "x", 9)], "page_id long, url string, html string, text int")
     got = html_layout.extract(pages)

@@ -70,16 +70,46 @@ def labelled(spark, docs):
     return spark.createDataFrame([(i, 0 if i in bad else 1, 0) for i in (*range(1, 5), 10, 14, 15, 16, 17, 18, 19, 20)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
 
 
+def docs_text(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def test_shards_of_all_unlabelled_rows_are_learned_from(spark, monkeypatch):
+    """Rows that the start never sees move the weights, whatever their ids; the same ones in each run."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(1, 1, (600, 14)), rng.normal(-1, 1, (600, 14))])
+    stats = spark.createDataFrame([(*map(float, row), int(i)) for i, row in enumerate(x)], ", ".join([*(f"{c} double" for c in pu_classifier.INPUTS), "doc_id long"]))
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 300)] + [(5, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(pu_classifier, "START", 100)
+    monkeypatch.setattr(pu_classifier, "SHARD", 200)
+    seen = []
+    fit = pu_classifier.fit
+    monkeypatch.setattr(pu_classifier, "fit", lambda pos, unl, prior, **k: seen.append((len(pos), len(unl))) or fit(pos, unl, prior, **k))
+    net = pu_classifier.train(stats, labels)
+    trusted = [i for i in range(300) if i != 5 and zlib.crc32(str(i).encode()) % 5]
+    assert seen[-1][0] == len(trusted) and 60 < seen[-1][1] < 150
+    again = pu_classifier.train(stats.repartition(7), labels)
+    np.testing.assert_allclose(net.w1, again.w1, atol=1e-9)
+    rows = pu_classifier.score(stats, net).collect()
+    assert len(rows) == 1200 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] < 600) for r in rows]) > 0.95
+
+
 def test_rules_and_classifier_on_awkward_rows(spark, docs, no_docs):
     labels = labelled(spark, docs)
     trees = quality_rules.train(docs, labels)
     kept = quality_rules.keep_good(docs, trees)
     assert kept.columns == docs.columns and {1, 2, 10, 18} <= {r["doc_id"] for r in kept.collect()}
-    net = pu_classifier.train(docs, labels)
-    scored = pu_classifier.score(docs, net).collect()
+    stats = pu_classifier.features(docs)
+    net = pu_classifier.train(stats, labels)
+    scored = pu_classifier.score(stats, net).collect()
     assert len(scored) == docs.where("doc_id is not null").count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in scored)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in scored)
-    assert pu_classifier.train(no_docs, labels) is None and pu_classifier.score(no_docs, None).count() == 0 and pu_classifier.keep_good(docs, None).count() == docs.count()
+    by = defaultdict(set)
+    for r in scored:
+        by[docs_text(docs)[r["doc_id"]]].add(r["score"])
+    assert all(len(x) == 1 for x in by.values())  # equal texts, equal scores
+    nothing = pu_classifier.features(no_docs)
+    assert pu_classifier.train(nothing, labels) is None and pu_classifier.score(nothing, None).count() == 0 and pu_classifier.keep_good(docs, None).count() == docs.count()
 
 
 def test_positive_unlabelled_learning_finds_prior_and_classes():
@@ -302,24 +332,48 @@ def test_parity_sketch_bounds_the_difference(a, more):
     assert differ <= len(a ^ b)
 
 
-def test_piece_segmentation_equals_brute_force():
-    pieces = piece_viterbi.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    for word in ("▁the", "▁thththonwh", "▁réaile", "▁", "▁a中\n文b", "▁Xx\U0001f600", "▁information"):
-        ids = pieces.segment([word])[word]
-        best = [0.0] + [-1e300] * len(word)
-        for e in range(1, len(word) + 1):
-            best[e] = best[e - 1] + pieces.unknown
-            for s in range(e):
-                if word[s:e] in pieces.normal:
-                    best[e] = max(best[e], best[s] + pieces.normal[word[s:e]][0])
-        total, k = 0.0, 0
-        while k < len(ids):
-            if ids[k] in pieces.byte_of:
-                first = pieces.byte_of[ids[k]]
-                total, k = total + pieces.unknown, k + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
-            else:
-                total, k = total + pieces.normal[pieces.text[ids[k]]][0], k + 1
-        assert total == best[-1], word
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@given(st.text(alphabet=st.sampled_from("  ▁▁aeths-=.0\n\t\x00éßе中ﬁ\U0001f600"), max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_pieces_are_those_of_the_library(text):
+    pieces = piece_viterbi.load(public_tokenizers.path("piece_bpe_32k.model"))
+    assert np.frombuffer(pieces.encode([text])[0], np.int32).tolist() == library().encode(text)
+
+
+def test_piece_segmentation_equals_merging():
+    """Merging by rank, step by step, and the only path without a bad border, by trying all, give the same."""
+    pieces = piece_viterbi.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def paths(word):
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces.made or k == 1:
+                yield from ([word[:k], *rest] for rest in (paths(word[k:]) if k < len(word) else [[]]))
+
+    for word in ("▁the", "▁thththonwh", "▁réaile", "▁", "▁▁▁▁▁a", "▁a中\nb", "▁Xx\U0001f600", "▁inform"):
+        parts = list(word)
+        while True:
+            best = min(((pieces.rank.get(x + y, np.inf), k) for k, (x, y) in enumerate(zip(parts, parts[1:]))), default=(np.inf, 0))
+            if best[0] == np.inf:
+                break
+            parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
+        good = [p for p in paths(word) if all(pieces.apart(x, y) for x, y in zip(p, p[1:]))]
+        assert good == [parts], word
+        ids = [i for p in parts for i in ([pieces.id[p]] if p in pieces.id else [pieces.byte_id[b] for b in p.encode()])]
+        assert pieces.segment([word])[word] == ids
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pieces_of_the_tables_are_those_of_the_library(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = {i: ids for i, ids in zip(texts, library().encode([t or "" for t in texts.values()], num_threads=1))}
+    got = piece_viterbi.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(got) == len(want) and all(r["ids"] == want[r["doc_id"]] for r in got)
 
 
 def test_shared_prefixes_change_nothing():
