@@ -64,12 +64,17 @@ def set_hash(grams: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def band(n: int) -> int:
+    """The band of a set of n members: it holds the sizes from 2 ** band on that are less than twice as much."""
+    return n.bit_length() - 1
+
+
 def bands(n: int) -> list[tuple[int, int]]:
     """(band, damage): the bands in which a set of n members can meet a partner, and how far it may differ from it.
 
-    A band holds the sizes from 2 ** band on that are less than twice as much. A partner has at most 4 n / 3 members.
+    A partner has at most 4 n / 3 members.
     """
-    own = n.bit_length() - 1
+    own = band(n)
     most, beyond = 4 * n // 3, 2 << own
     out = [(own, (n + min(most, beyond - 1)) // 7)]
     return out + [(own + 1, (n + most) // 7)] if most >= beyond else out
@@ -83,21 +88,22 @@ def sketch(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return place[at][word != 0], word[word != 0]
 
 
-def folded(place: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """The sketch with 2 ** FOLD neighbouring segments XORed into one: differences can only cancel."""
-    out = np.zeros(1 << max(bits - FOLD, 0), np.uint64)
-    np.bitwise_xor.at(out, (place >> np.uint64(min(FOLD, bits))).astype(np.int64), word)
+def parity(grams: np.ndarray, of_band: int) -> np.ndarray:
+    """The short sketch of a band as 64-bit words: 2 ** FOLD neighbouring segments XORed into one; differences can only cancel."""
+    place, word = sketch(grams, of_band)
+    out = np.zeros(1 << max(of_band - FOLD, 0), np.uint64)
+    np.bitwise_xor.at(out, (place >> np.uint64(min(FOLD, of_band))).astype(np.int64), word)
     return out
 
 
 def doublings(grams: np.ndarray) -> list[tuple[int, int]]:
     """(band, times): how often a band's 2 ** band segments are doubled until more are non-zero than a link may damage."""
     out = []
-    for band, damage in bands(len(grams)):
+    for b, damage in bands(len(grams)):
         times = 0
-        while len(sketch(grams, band + times)[0]) <= damage:
+        while len(sketch(grams, b + times)[0]) <= damage:
             times += 1
-        out.append((band, times))
+        out.append((b, times))
     return out
 
 
@@ -114,9 +120,9 @@ def _over_sets(docs: DataFrame, rows, schema: dict[str, str], n: int) -> DataFra
     return docs.mapInPandas(run, ", ".join(f"{k} {v}" for k, v in schema.items()))
 
 
-def _keys(band: int, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _keys(of_band: int, place: np.ndarray, word: np.ndarray) -> np.ndarray:
     """A 63-bit hash of each segment: its band, place and bits."""
-    return C.mix(C.mix(place * np.uint64(64) + np.uint64(band)) ^ word) >> np.uint64(1)
+    return C.mix(C.mix(place * np.uint64(64) + np.uint64(of_band)) ^ word) >> np.uint64(1)
 
 
 def _sharing(docs: DataFrame, bits: dict[int, int], n: int, key_bits: int) -> DataFrame:
@@ -134,8 +140,8 @@ def _sharing(docs: DataFrame, bits: dict[int, int], n: int, key_bits: int) -> Da
             if not len(grams) or (fp := set_hash(grams)[0]) in seen:
                 continue
             seen.add(fp)
-            for k, (band, damage) in enumerate(bands(len(grams))):
-                mine = _keys(band, *sketch(grams, bits[band]))
+            for k, (b, damage) in enumerate(bands(len(grams))):
+                mine = _keys(b, *sketch(grams, bits[b]))
                 tag = (fp & ((1 << TAG_BITS) - 1)) * 2 + k
                 # in front of a sketch's segments a row that says how many of them have to be shared
                 keys.append(np.concatenate(([-1 - tag], (mine >> np.uint64(63 - key_bits)).view(np.int64))))
@@ -218,7 +224,7 @@ def _joined(docs: DataFrame, classes: DataFrame, bits: dict[int, int], n: int) -
         some = [(i, g, [(b, d, *sketch(g, bits[b])) for b, d in bands(len(g))]) for i, g in zip(ids, sets, strict=True) if len(g)]
         return (
             np.array([i for i, _, _ in some], np.int64), [len(g) for _, g, _ in some], [g.view(np.int64) for _, g, _ in some],
-            [[{"band": b, "damage": d, "keys": _keys(b, p, w).view(np.int64), "folded": folded(p, w, bits[b]).view(np.int64)} for b, d, p, w in x] for _, _, x in some],
+            [[{"band": b, "damage": d, "keys": _keys(b, p, w).view(np.int64), "folded": parity(g, b).view(np.int64)} for b, d, p, w in x] for _, g, x in some],
         )
 
     schema = {"doc_id": "long", "n": "long", "grams": "array<long>", "sketches": "array<struct<band: int, damage: int, keys: array<long>, folded: array<long>>>"}

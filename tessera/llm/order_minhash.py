@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 K, WORD = 2, 16
 #: log2 of the number of bins.
 BIN_BITS = 6
-#: Bits of a place in the text: a string holds less than 2**31 bytes, and so at most 2**30 words.
-_PLACE = 30
+#: Bits of a hash by which k-mers are told apart and ranked.
+HASH_BITS = 39
 #: doc_ids of a bucket, as a power of two: the next document is mostly found within the bucket.
 BUCKET = 10
 
@@ -30,30 +30,28 @@ def fingerprints(df: DataFrame, text: str, out: str) -> DataFrame:
     is looked at there more than once, so Catalyst leaves it to be evaluated once a row.
     """
     w, h, g, s, r, v, q = (f"{_PREFIX}{c}" for c in "whgsrvq")
-    place = (1 << _PLACE) - 1
     kmer = ", ".join(f"get({h}, i + {j})" for j in range(K))
-    shift = 63 - BIN_BITS
+    spare, shift = 64 - HASH_BITS, HASH_BITS - BIN_BITS
     df = df.withColumn(w, F.expr(f"filter(split(regexp_replace(coalesce({text}, ''), '(\\\\S{{{WORD}}})(?=\\\\S)', '$1 '), '\\\\s+'), x -> x <> '')"))
     df = df.withColumn(h, F.expr(f"transform({w}, x -> xxhash64(x))"))
     df = df.withColumn(g, F.expr(f"if(size({h}) = 0, cast(array() as array<bigint>), transform(sequence(0, greatest(size({h}) - {K}, 0)), i -> xxhash64({kmer})))"))
     # equal k-mers stand together, in text order
-    df = df.withColumn(s, F.expr(f"sort_array(transform({g}, (x, i) -> (shiftleft(shiftrightunsigned(x, {_PLACE + 1}), {_PLACE}) | (i & {place}))))"))
+    df = df.withColumn(s, F.expr(f"sort_array(transform({g}, (x, i) -> struct(shiftrightunsigned(x, {spare}) as hash, i as place)))"))
     # where each run of equal k-mers starts: a running maximum by doubling, as many rounds as the repeats need
-    start = f"transform({s}, (x, i) -> if(i > 0 and shiftright(get({s}, i - 1), {_PLACE}) = shiftright(x, {_PLACE}), -1, i))"
-    df = df.withColumn(r, F.expr(start))
+    df = df.withColumn(r, F.expr(f"transform({s}, (x, i) -> if(i > 0 and get({s}, i - 1).hash = x.hash, -1, i))"))
     repeats = f"size(filter({r}, x -> x < 0))"
     rounds = f"cast(ceil(log2({repeats} + 1)) as int)"
     double = f"transform(a, (x, i) -> greatest(x, coalesce(get(a, i - shiftleft(1, t - 1)), -1)))"
     df = df.withColumn(r, F.expr(f"if({repeats} = 0, {r}, aggregate(sequence(1, greatest({rounds}, 1)), {r}, (a, t) -> {double}))"))
-    rank = f"shiftleft(shiftrightunsigned(xxhash64(shiftright(x, {_PLACE}), n), {_PLACE + 1}), {_PLACE}) | (x & {place})"
+    rank = f"struct(shiftrightunsigned(xxhash64(x.hash, n), {spare}) as hash, x.place as place)"
     df = df.withColumn(v, F.expr(f"zip_with({s}, transform({r}, (x, i) -> i - x), (x, n) -> {rank})"))
     df = df.withColumn(q, F.expr(f"sort_array({v})"))
-    same = f"shiftright(get({q}, i {{}} 1), {shift}) = shiftright(x, {shift})"
-    pair = f"if({same.format('+')}, get({q}, i + 1), -1L)"
-    chosen = f"filter(transform({q}, (x, i) -> if(coalesce({same.format('-')}, false), null, struct(x as a, {pair} as b))), p -> p is not null)"
-    first, second = (f"get({g}, cast({f}(p.a & {place}, p.b & {place}) as int))" for f in ("least", "greatest"))
-    code = f"if(p.b < 0, xxhash64(get({g}, cast(p.a & {place} as int))), xxhash64({first}, {second}))"
-    signature = f"transform({chosen}, p -> shiftleft(shiftright(p.a, {shift}), 32) | ({code} & 4294967295L))"
+    same = f"shiftright(get({q}, i {{}} 1).hash, {shift}) = shiftright(x.hash, {shift})"
+    pair = f"if({same.format('+')}, get({q}, i + 1).place, -1)"
+    chosen = f"filter(transform({q}, (x, i) -> if(coalesce({same.format('-')}, false), null, struct(x.hash as hash, x.place as a, {pair} as b))), p -> p is not null)"
+    first, second = (f"get({g}, {f}(p.a, p.b))" for f in ("least", "greatest"))
+    code = f"if(p.b < 0, xxhash64(get({g}, p.a)), xxhash64({first}, {second}))"
+    signature = f"transform({chosen}, p -> shiftleft(shiftright(p.hash, {shift}), 32) | ({code} & 4294967295L))"
     return df.withColumn(out, F.expr(signature)).drop(w, h, g, s, r, v, q)
 
 
