@@ -15,11 +15,16 @@ def _col(c: str | Column) -> Column:
 
 def tokens(text: str | Column, min_len: int = 2) -> Column:
     """Lower-case terms in text order: hyphenated words stay whole, runs of Han characters become pairs."""
-    low = F.lower(F.coalesce(_col(text), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(_WORD), 0)
-    mixed = F.regexp_extract_all(low, F.lit(rf"\p{{IsHan}}+|{_PLAIN}"), 0)
+    return spelled(F.lower(F.coalesce(_col(text), F.lit(""))), min_len)
+
+
+def spelled(text: str | Column, min_len: int = 1) -> Column:
+    """The terms as the text spells them."""
+    t = _col(text)
+    words = F.regexp_extract_all(t, F.lit(_WORD), 0)
+    mixed = F.regexp_extract_all(t, F.lit(rf"\p{{IsHan}}+|{_PLAIN}"), 0)
     pairs = F.flatten(F.transform(mixed, lambda t: F.when(t.rlike(r"^\p{IsHan}{3,}$"), F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: t.substr(i, F.lit(2)))).otherwise(F.array(t))))
-    return F.filter(F.when(low.rlike(r"\p{IsHan}"), pairs).otherwise(words), lambda t: F.length(t) >= min_len)
+    return F.filter(F.when(t.rlike(r"\p{IsHan}"), pairs).otherwise(words), lambda w: F.length(w) >= min_len)
 
 
 def doc_title(text: str | Column) -> Column:

@@ -1,7 +1,8 @@
 """Term statistics, BM25 tables and scoring.
 
-postings(term, id, tf) is the one large table; terms(term, df, idf), lengths(id, doc_length) and the corpus totals follow
-from it. Postings are never shuffled by anything but their term.
+counted() cuts each text into terms once and counts them within its row, so no occurrence is ever shuffled. Its rows give
+postings(id, term, tf, doc_length), the one large table, and lengths(id, doc_length); terms(term, df, idf) and the corpus
+totals follow. A posting knows its text's length, so scoring joins postings with the terms asked for and nothing else.
 """
 
 from __future__ import annotations
@@ -16,15 +17,37 @@ from ..functions.text import tokens
 K1, B = 1.5, 0.75
 
 
+def counted(chunks: DataFrame, id_col: str, text_col: str, min_len: int = 2) -> DataFrame:
+    """(id, doc_length, counts: array of (term, tf)) of every chunk; an id names one chunk.
+
+    Sorted terms are counted by where each run of equal ones starts. No loop looks into another column, so that nothing
+    is worked out again for each element, however Catalyst merges the steps.
+    """
+    found = chunks.select(F.col(id_col).alias("id"), F.sort_array(tokens(text_col, min_len)).alias("t"))
+    starts = F.expr("filter(transform(zip_with(t, slice(concat(array(cast(null as string)), t), 1, size(t)), (x, y) -> not (x <=> y)), (new, i) -> if(new, i, null)), p -> p is not null)")
+    found = found.withColumn("at", starts)
+    tf = "zip_with(at, concat(slice(at, 2, size(at)), array(size(t))), (lo, hi) -> cast(hi - lo as long))"
+    counts = F.expr(f"filter(zip_with(array_distinct(t), {tf}, (term, tf) -> struct(term as term, tf as tf)), c -> c.term is not null)")
+    return found.select("id", F.size("t").cast("long").alias("doc_length"), counts.alias("counts"))
+
+
 def postings(chunks: DataFrame, id_col: str, text_col: str, min_len: int = 2) -> DataFrame:
-    """(id, term, tf)."""
-    return chunks.select(F.col(id_col).alias("id"), F.explode(tokens(text_col, min_len)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, doc_length)."""
+    return postings_of(counted(chunks, id_col, text_col, min_len))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """The postings of counted rows; the outer form, for the inner one has Catalyst count all terms beforehand as a filter."""
+    return rows.select("id", F.inline_outer("counts"), "doc_length").where("term is not null")
 
 
 def lengths(chunks: DataFrame, id_col: str, text_col: str, min_len: int = 2) -> DataFrame:
     """(id, doc_length, unique_terms) of every chunk, those without terms too."""
-    found = chunks.select(F.col(id_col).alias("id"), tokens(text_col, min_len).alias("t"))
-    return found.select("id", F.size("t").cast("long").alias("doc_length"), F.size(F.array_distinct("t")).cast("long").alias("unique_terms"))
+    return lengths_of(counted(chunks, id_col, text_col, min_len))
+
+
+def lengths_of(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "doc_length", F.size("counts").cast("long").alias("unique_terms"))
 
 
 def corpus_stats(posts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -64,7 +87,7 @@ def top_k(index: Index, query_terms: DataFrame, k: int = 20) -> DataFrame:
     wanted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
     tf, size = F.col("tf"), F.col("doc_length") / F.lit(index.avg_doc_length or 1.0)
     part = F.col("times") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * size))
-    hits = index.postings.join(wanted.join(index.terms, "term"), "term").join(index.lengths, "id")
+    hits = index.postings.join(wanted.join(index.terms, "term"), "term")
     scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, k)
 
@@ -88,7 +111,7 @@ def add_documents(posts: DataFrame, sizes: DataFrame, new_posts: DataFrame, new_
 
 def top_terms(posts: DataFrame, n: int = 10) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("tf"), "term")
-    return posts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+    return posts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("id", "term", "tf", "rank")
 
 
 def check_term_stats(stats: DataFrame) -> DataFrame:

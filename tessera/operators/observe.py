@@ -65,6 +65,14 @@ def trace_rows(results: DataFrame, stage: str) -> DataFrame:
     return results.groupBy("qid").agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_list(hit)).alias("hits")).select("qid", F.lit(stage).alias("stage"), "n_hits", "hits")
 
 
+def append_messages(history: DataFrame, new: DataFrame) -> DataFrame:
+    """History (session, turn, role, text) and new messages (session, seq, role, text), numbered on in order of seq."""
+    last = history.groupBy("session").agg(F.max("turn").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    numbered = new.withColumn("_place", place).join(last, "session", "left").withColumn("turn", (F.coalesce("_last", F.lit(-1)) + F.col("_place")).cast("long"))
+    return history.select("session", "turn", "role", "text").unionByName(numbered.select("session", "turn", "role", "text"))
+
+
 def recent_messages(messages: DataFrame, n: int = 10, session: str = "session", order: tuple[str, ...] = ("turn",)) -> DataFrame:
     """The last n messages of each session, oldest first in each."""
     newest = Window.partitionBy(session).orderBy(*(F.desc(c) for c in order))

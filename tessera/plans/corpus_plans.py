@@ -571,6 +571,13 @@ def l8_latency(spark, sf_dir):
     return observe.latency(observe.stage_timings(_traces(spark, sf_dir)))
 
 
+@register("SELECT conv_id AS session, turn::BIGINT AS turn, role, sha256(text) AS text_sha256 FROM conversations WHERE turn < 2 UNION ALL SELECT conv_id, (coalesce(l, -1) + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT, role, sha256(text) FROM (SELECT *, max(turn) FILTER (turn < 2) OVER (PARTITION BY conv_id) AS l FROM conversations) WHERE turn >= 2")
+def m1_append_messages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    both = observe.append_messages(c.where("turn < 2"), c.where("turn >= 2").withColumnRenamed("turn", "seq"))
+    return both.select("session", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
 @register("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3")
 def m2_recent_messages(spark, sf_dir):
     return observe.recent_messages(table(spark, sf_dir, "conversations"), 3, "conv_id").select("conv_id", "turn", "role")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, evaluate, query, search, views
+from ..operators import bm25, evaluate, observe, query, search, views
+from ..sources.readers import spread
 
 Q, SQL = {}, {}
 _WORD = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
@@ -56,8 +57,8 @@ _TRUTH = "truth AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN do
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    docs = table(spark, sf_dir, "documents")
-    return bm25.build(bm25.postings(docs, "doc_id", "text").persist(), bm25.lengths(docs, "doc_id", "text").persist())
+    rows = bm25.counted(spread(table(spark, sf_dir, "documents")), "doc_id", "text").persist()
+    return bm25.build(bm25.postings_of(rows), bm25.lengths_of(rows))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +73,8 @@ def dense_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, id): documents that hold a benchmark text. The benchmark is a stated query set that meets all documents."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
-    return docs.join(F.broadcast(items), F.contains("text", "item")).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"))
+    """(qid, id): documents that hold a benchmark text."""
+    return search.holders(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
 
 
 @register(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
@@ -85,14 +85,14 @@ def d1_tokens(spark, sf_dir):
 @register(f"WITH {_POSTS}, {_LENS} SELECT lens.id, doc_length, coalesce(u, 0)::BIGINT AS unique_terms, coalesce(s, 0)::BIGINT AS tf_squares FROM lens LEFT JOIN (SELECT id, count(*) AS u, sum(tf * tf) AS s FROM posts GROUP BY 1) p ON p.id = lens.id")
 def d2_term_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    squares = bm25.postings(docs, "doc_id", "text").groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("tf_squares"))
-    return bm25.lengths(docs, "doc_id", "text").join(squares, "id", "left").select("id", "doc_length", "unique_terms", F.coalesce("tf_squares", F.lit(0)).alias("tf_squares"))
+    squares = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c["tf"] * c["tf"])
+    return bm25.counted(spread(docs), "doc_id", "text").select("id", "doc_length", F.size("counts").cast("long").alias("unique_terms"), squares.alias("tf_squares"))
 
 
 @register(f"WITH {_POSTS}, {_LENS} SELECT (SELECT count(*) FROM lens)::BIGINT AS num_docs, (SELECT round(avg(doc_length), 6) FROM lens) AS avg_doc_length, (SELECT count(DISTINCT term) FROM posts)::BIGINT AS total_terms")
 def d3_corpus_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return bm25.corpus_stats(bm25.postings(docs, "doc_id", "text"), bm25.lengths(docs, "doc_id", "text")).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+    rows = bm25.counted(spread(table(spark, sf_dir, "documents")), "doc_id", "text").persist()
+    return bm25.corpus_stats(bm25.postings_of(rows), bm25.lengths_of(rows)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
 
 
 @register(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idfs")
@@ -108,7 +108,8 @@ def d5_bm25_top_k(spark, sf_dir):
 def _incremental(spark, sf_dir, back: bool):
     """The index after documents of src0 and src1 were removed, and, on request, added again."""
     docs = table(spark, sf_dir, "documents")
-    posts, sizes = bm25.postings(docs, "doc_id", "text"), bm25.lengths(docs, "doc_id", "text")
+    rows = bm25.counted(spread(docs), "doc_id", "text").persist()
+    posts, sizes = bm25.postings_of(rows), bm25.lengths_of(rows)
     some = docs.where(F.col("source").isin("src0", "src1"))
     left = bm25.remove_documents(posts, sizes, some.select(F.col("doc_id").alias("id")))
     if back:
@@ -129,14 +130,14 @@ def d7_remove_documents(spark, sf_dir):
 @register(f"WITH {_POSTS}, {_LENS} SELECT coalesce(reason, 'fine') AS reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN tf > 40 THEN 'bad frequency' END AS reason FROM posts JOIN lens USING (id)) GROUP BY 1")
 def d8_check_term_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    stats = bm25.postings(docs, "doc_id", "text").join(bm25.lengths(docs, "doc_id", "text"), "id")
+    stats = bm25.postings(spread(docs), "doc_id", "text")
     checked = bm25.check_term_stats(stats.withColumn("tf", F.when(F.col("tf") > 40, 0).otherwise(F.col("tf"))))
     return checked.groupBy(F.coalesce("reason", F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {_POSTS} SELECT id, term, tf, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tf DESC, term) AS rank FROM posts) WHERE rank <= 10")
 def b25_top_terms(spark, sf_dir):
-    return bm25.top_terms(bm25.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), 10)
+    return bm25.top_terms(bm25.postings(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), 10)
 
 
 @register("SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark")
@@ -241,6 +242,16 @@ def f12_filter_results(spark, sf_dir):
 _HYBRID = f"{_INDEX}, {_ASKED}, {_SPARSE}, {_DENSE}, paths AS (SELECT qid, id, rank, score, 0 AS p FROM dense UNION ALL SELECT qid, id, rank, score, 1 FROM sparse), np AS (SELECT qid, count(DISTINCT p) AS n FROM paths GROUP BY 1), hy AS (SELECT qid, id, round(sum(CASE WHEN n = 1 THEN score ELSE 1::double / (60 + rank) END), 6) AS score FROM paths JOIN np USING (qid) GROUP BY 1, 2)"
 
 
+_BEFORE = _SPARSE.replace("FROM qt JOIN posts USING (term)", "FROM qt JOIN posts USING (term) JOIN (SELECT doc_id FROM documents WHERE source = 'src3' AND lang = 'en') f ON f.doc_id = posts.id")
+
+
+@register(f"WITH {_INDEX}, {_ASKED}, {_BEFORE} SELECT qid, rank, id, score FROM sparse")
+def f12_filter_before(spark, sf_dir):
+    index, (vectors, _) = index_of(spark, sf_dir), dense_queries(spark, sf_dir)
+    fit = search.filter_results(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("collection"), "lang"), collection="src3", lang="en")
+    return bm25.top_k(search.within(index, vectors, fit.select("id"))[0], query_terms(spark, sf_dir), 20)
+
+
 def _hybrid(spark, sf_dir, k: int = 10):
     return search.hybrid_search(index_of(spark, sf_dir), *dense_queries(spark, sf_dir), query_terms(spark, sf_dir), k=k)
 
@@ -250,6 +261,77 @@ def f13_hybrid_search(spark, sf_dir):
     return _hybrid(spark, sf_dir)
 
 
+@register(f"WITH {_HYBRID}, r AS ({_RANKED.format('hy')}) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score FROM r JOIN documents ON doc_id = id WHERE lang = 'en'")
+def f13_hybrid_filtered(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return search.hybrid_search(index_of(spark, sf_dir), *dense_queries(spark, sf_dir), query_terms(spark, sf_dir), chunks=docs, filters={"lang": "en"})
+
+
+def _searched(spark, sf_dir):
+    """Candidates and trace of the whole search of benchmark texts, reranked by the length of documents, some queries apart."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    asked = asked.join(vectors.select(F.col("id").alias("qid"), F.col("vector").alias("qvec")), "qid", "left")
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("rerank_score"))
+    fetched, shown = search.fetch_size(30, 5, True)
+    return search.search_pipeline(index_of(spark, sf_dir), vectors, asked, fetched, scores=lambda c: c.where("qid % 4 <> 0").select("qid", "id").join(sizes, "id"), rerank_k=shown)
+
+
+_FREE = "(SELECT item_id, regexp_replace(text, '([\\p{L}\\p{N}_]+):([^\\s]+)', '', 'g') AS text FROM benchmark)"
+_SEARCHED = f"""{_HYBRID.replace("FROM benchmark))", f"FROM {_FREE}))")}, r AS ({_RANKED.format('hy')}), j AS (SELECT qid, r.id, rank, score, CASE WHEN qid % 4 <> 0 THEN n_chars::DOUBLE END AS v FROM r LEFT JOIN documents ON doc_id = r.id),
+fin AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY v DESC NULLS LAST, rank, id) AS rank, id, coalesce(v, score) AS score FROM (SELECT *, bool_or(v IS NOT NULL) OVER (PARTITION BY qid) AS has FROM j) WHERE v IS NOT NULL OR NOT has) WHERE rank <= 5)"""
+
+
+@register(f"WITH {_SEARCHED} SELECT qid, rank, id, score FROM fin")
+def f16_search_pipeline(spark, sf_dir):
+    return _searched(spark, sf_dir)[0]
+
+
+@register(f"WITH {_SEARCHED}, {_KEYWORDS.replace('kw AS', 'kw2 AS')} SELECT item_id AS qid, (1 + (len(k) > 0)::INT)::BIGINT AS n_rewrites, (SELECT count(*) FROM dense d WHERE d.qid = item_id)::BIGINT AS dense_hits, (SELECT count(*) FROM sparse s WHERE s.qid = item_id)::BIGINT AS sparse_hits, (SELECT count(*) FROM r WHERE r.qid = item_id)::BIGINT AS merged_hits, (SELECT count(*) FROM fin WHERE fin.qid = item_id)::BIGINT AS reranked_hits FROM benchmark JOIN kw2 ON kw2.qid = item_id")
+def f16_hit_counts(spark, sf_dir):
+    counts = ["dense_hits", "sparse_hits", "merged_hits", "reranked_hits"]
+    return _searched(spark, sf_dir)[1].select("qid", F.size("rewrites").cast("long").alias("n_rewrites"), *counts)
+
+
+def _with_formulas(spark, sf_dir):
+    """Ten sparse hits of each benchmark text; documents with an even id have their source as a formula, written as JSON."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.format_string('[{"id": "%s", "latex": "%s"}]', "source", "source")).alias("formulas"))
+    return search.sparse_top_k(index_of(spark, sf_dir), docs.withColumn("formulas", search.parse_formulas("formulas")), query_terms(spark, sf_dir), 10)
+
+
+_FITS = "(contains(source, 'src1') OR contains('src1', source))"
+
+
+@register(f"WITH {_INDEX}, {_ASKED}, {_SPARSE} SELECT qid, rank, id FROM sparse JOIN documents ON doc_id = id WHERE rank <= 10 AND (doc_id % 2 <> 0 OR {_FITS})")
+def h3_formula_hits(spark, sf_dir):
+    return search.formula_hits(_with_formulas(spark, sf_dir), F.lit("SRC1")).select("qid", "rank", "id")
+
+
+@register(f"WITH {_INDEX}, {_ASKED}, {_SPARSE}, h AS (SELECT qid, rank, id FROM sparse JOIN documents ON doc_id = id WHERE rank <= 10 AND (doc_id % 2 <> 0 OR {_FITS})), p AS (SELECT qid, id, 1::double / (60 + rank) AS part FROM sparse WHERE rank <= 10 UNION ALL SELECT qid, id, 1.5::double / (60 + rank) FROM h), m AS (SELECT qid, id, round(sum(part), 6) AS score FROM p GROUP BY 1, 2) {_RANKED.format('m')}")
+def h4_merge_formula_hits(spark, sf_dir):
+    hits = _with_formulas(spark, sf_dir)
+    return search.merge_formula_hits(hits, search.formula_hits(hits, F.lit("SRC1")))
+
+
+@register(f"WITH {_INDEX}, {_ASKED}, {_SPARSE} SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM sparse JOIN documents ON doc_id = id WHERE rank <= 10 AND doc_id % 2 = 0 AND {_FITS}) WHERE rank <= 5")
+def h6_formula_related(spark, sf_dir):
+    return search.formula_related(_with_formulas(spark, sf_dir), F.lit("SRC1"), 5).select("qid", "id", "rank")
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END::BIGINT AS n, CASE WHEN doc_id % 4 < 2 THEN lang END AS latex FROM documents")
+def h2_parse_formulas(spark, sf_dir):
+    made = F.format_string('{"id": "%s", "latex": "%s", "page": 3}', "source", "lang")
+    cases = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("["), made, F.lit(", "), made, F.lit("]"))).when(F.col("doc_id") % 4 == 1, made).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("{"), made))
+    found = table(spark, sf_dir, "documents").select("doc_id", search.parse_formulas(cases).alias("f"))
+    return found.select("doc_id", F.size("f").cast("long").alias("n"), F.get("f", 0)["latex"].alias("latex"))
+
+
+@register(f"WITH {_INDEX}, {_ASKED}, {_SPARSE} SELECT qid, 'sparse' AS stage, count(*)::BIGINT AS n_hits, string_agg(id, ',' ORDER BY rank) AS hits FROM sparse GROUP BY 1")
+def l9_trace_rows(spark, sf_dir):
+    rows = observe.trace_rows(bm25.top_k(index_of(spark, sf_dir), query_terms(spark, sf_dir), 20), "sparse")
+    return rows.withColumn("hits", F.array_join(F.transform("hits", lambda h: h["id"].cast("string")), ","))
+
+
 @register("SELECT item_id AS qid, CASE WHEN item_id % 40 < 30 AND ('src' || (item_id % 40)) IN (SELECT source FROM documents) THEN 'src' || (item_id % 40) ELSE 'default' END AS collection FROM benchmark")
 def f14_resolve_collection(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 40 < 30, F.concat(F.lit("src"), F.col("item_id") % 40)).otherwise("none").alias("collection"))

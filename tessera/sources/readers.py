@@ -77,6 +77,12 @@ def append_traces(traces: DataFrame, path: str) -> None:
     traces.write.mode("append").json(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt to all of them; a larger one stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def upsert_chunks(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """The existing rows whose key is not among the new ones, and the new ones; repeated new keys count once."""
     fresh = new.dropDuplicates([key])
