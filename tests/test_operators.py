@@ -44,6 +44,12 @@ def test_filters_last_one_wins(spark):
     assert df["filters"] == {"collection": "b", "doc_type": "pdf", "k": "v"} and df["tags"] == ["x", "y"] and df["rest"] == "find this"
 
 
+def test_chinese_keywords_are_cut_as_the_index_cuts_them(spark):
+    assert one(spark, query.keywords("t"), t="如何学习机器 Spark-SQL 的") == ["学习", "习机", "机器", "Spark-SQL"]
+    found = one(spark, T.tokens("t"), t="学习机器 Spark-SQL")
+    assert found == ["学习", "习机", "机器", "spark-sql"]
+
+
 def test_keywords_keep_first_spelling(spark):
     assert one(spark, query.keywords("t"), t="How to use Spark spark SPARK with RDD") == ["Spark", "RDD"]
 
