@@ -44,6 +44,8 @@ HELD, SLOTS = 3_000_000, 64
 RATE, SHARD_RATE = 0.5, 0.3
 #: Noise classes drawn for a batch; all its tokens share them.
 NOISE = 256
+#: Occurrences of one n-gram in a shard that are learned as one row with their number as its weight, at most.
+TOGETHER = 8
 END = 0x1234567
 _LN10 = np.log(10)
 
@@ -101,7 +103,13 @@ class Network:
 
     def log_chance(self, second: np.ndarray, first: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The log of each class's chance after the two classes before it, the nearer one being `first`."""
-        return np.einsum("ij,ij->i", self.first[first] + self.second[second], self.word[c]) + self.bias[c] - self.norm[first, second]
+        out = self.bias[c] - self.norm[first, second]
+        for lo in range(0, len(out), 4096):  # blocks that stay in the processor's cache
+            at = slice(lo, lo + 4096)
+            context = self.first[first[at]]
+            context += self.second[second[at]]
+            out[at] += np.einsum("ij,ij->i", context, self.word[c[at]])
+        return out
 
 
 @dataclass
@@ -134,34 +142,59 @@ def ngrams(classes: np.ndarray) -> np.ndarray:
     return np.where(c1 == 0, 0, c[:-2]) * CLASSES**2 + c1 * CLASSES + c[2:]
 
 
-def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3) -> Weights:
-    """Go on from weights by noise-contrastive steps over n-grams (one code per token), with noise drawn by p."""
+def together(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows for n-grams with their numbers, in order of code: one for up to TOGETHER occurrences, and each row's weight."""
+    order = np.argsort(codes, kind="stable")
+    codes, times = codes[order], times[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    codes, times = codes[first], np.add.reduceat(times, first)
+    rows = -(-times // TOGETHER)
+    return np.repeat(codes, rows), np.repeat((times / rows).astype(np.float32), rows)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3, times: np.ndarray | None = None) -> Weights:
+    """Go on from weights by noise-contrastive steps over n-grams, with noise drawn by p.
+
+    times: how many tokens each code stands for; one if it is left out.
+    """
     rng = np.random.default_rng(seed)
     log_p, ladder, n, log_k = np.log(np.maximum(p, 1e-13)).astype(np.float32), np.cumsum(p), len(p), np.float32(np.log(NOISE))
     word, first, second, bias = values = [v.copy() for v in weights.values]
     squares = [q.copy() for q in weights.squares]
-    codes = codes.copy()
+    times = np.ones(len(codes), np.float32) if times is None else times
+    scores = np.empty((batch, NOISE), np.float32)
 
     def move(k: int, rows: np.ndarray, grad: np.ndarray, step: float) -> None:
         order = np.argsort(rows, kind="stable")
         rows, grad = rows[order], grad[order]
         at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         grad, rows = np.add.reduceat(grad, at, 0), rows[at]
-        squares[k][rows] += grad * grad
-        values[k][rows] -= np.float32(step) * grad / np.sqrt(squares[k][rows])
+        square = squares[k][rows] + grad * grad
+        squares[k][rows] = square
+        values[k][rows] -= np.float32(step) * grad / np.sqrt(square)
 
     for epoch in range(epochs):
-        rng.shuffle(codes)
+        order = rng.permutation(len(codes))
         step = rate * (1 - epoch / epochs)
         for lo in range(0, len(codes), batch):
-            code = codes[lo : lo + batch]
+            at = order[lo : lo + batch]
+            code, share = codes[at], times[at] / times[at].sum()
             c2, c1, w = ((code // CLASSES**2).astype(np.int16), (code // CLASSES % CLASSES).astype(np.int16), (code % CLASSES).astype(np.int16))
             drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1], "right"), n - 1).astype(np.int16)  # shared by the batch
             q, v, far = first[c1] + second[c2], word[w], word[drawn]
-            s_w = np.einsum("ij,ij->i", q, v) + bias[w] - log_p[w] - log_k
-            s_n = q @ far.T + (bias[drawn] - log_p[drawn] - log_k)
-            g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(code)
-            g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / len(code)
+            g_w = (_sigmoid(np.einsum("ij,ij->i", q, v) + bias[w] - log_p[w] - log_k) - 1) * share
+            g_n = np.matmul(q, far.T, out=scores[: len(code)])
+            g_n += bias[drawn] - log_p[drawn] - log_k
+            _sigmoid(g_n)
+            g_n *= share[:, None]
             g_q = g_w[:, None] * v + g_n @ far
             rows = np.concatenate((w, drawn))
             move(0, rows, np.concatenate((g_w[:, None] * q, g_n.T @ q)), step)
@@ -317,9 +350,8 @@ def train(docs: DataFrame, counts: Counts) -> Network:
 
     def tuned(part: pd.DataFrame) -> pd.DataFrame:
         codes, times = np.frombuffer(b"".join(part["codes"]), "<i8"), np.frombuffer(b"".join(part["times"]), "<i4")
-        order = np.argsort(codes, kind="stable")  # rows come in any order
-        codes, times = codes[order], times[order]
-        got = learn(spread.value, np.repeat(codes, times), p, 1, SHARD_RATE, seed=int(part["shard"].iloc[0]))
+        rows, weight = together(codes, times)
+        got = learn(spread.value, rows, p, 1, SHARD_RATE, seed=int(part["shard"].iloc[0]), times=weight)
         flat = np.concatenate([v.reshape(CLASSES, -1) for v in got.values], 1).astype(np.float64) * times.sum()
         return pd.DataFrame({"slot": np.arange(SLOTS), "tokens": times.sum(), "shard": part["shard"].iloc[0], "sums": [x.tobytes() for x in np.split(flat, SLOTS)]})
 
