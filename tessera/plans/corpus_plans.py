@@ -160,10 +160,10 @@ def b13_apply_enrichment(spark, sf_dir):
     return done.select("id", "title", "summary", F.array_join("tags", "|").alias("tags"), "enriched_by", "enrich_fallback_reason")
 
 
-def _illustrated(spark, sf_dir, head: int | None = None) -> DataFrame:
-    """Documents, or the first characters of each, as chunks that refer to two images each, the second of which is known."""
+def _illustrated(spark, sf_dir) -> DataFrame:
+    """Documents as chunks that refer to two images each, the second of which is known."""
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.col("text").substr(1, head) if head else "text", F.lit(" [IMAGE: i"), F.col("doc_id") % 50, F.lit("] and [IMAGE: i"), F.col("doc_id") % 7, F.lit("]"))
+    text = F.concat("text", F.lit(" [IMAGE: i"), F.col("doc_id") % 50, F.lit("] and [IMAGE: i"), F.col("doc_id") % 7, F.lit("]"))
     image = F.struct(F.concat(F.lit("i"), F.col("doc_id") % 7).alias("id"), F.concat(F.lit("/img/"), F.col("doc_id") % 7).alias("path"), (F.col("doc_id") % 7 + 1).cast("long").alias("page"))
     return corpus.chunk_images(d.select(F.col("doc_id").alias("id"), text.alias("text"), F.array(image).alias("images")))
 
@@ -178,20 +178,21 @@ def b15_images_to_caption(spark, sf_dir):
     return corpus.images_to_caption(_illustrated(spark, sf_dir))
 
 
-@register("SELECT doc_id AS id, sha256(CASE WHEN doc_id % 50 = doc_id % 7 THEN substring(text, 1, 40) || ' ' || m || ' and ' || m ELSE substring(text, 1, 40) || ' [IMAGE: i' || (doc_id % 50) || '] and ' || m END) AS text_sha256, (CASE WHEN doc_id % 50 < 7 THEN 2 ELSE 1 END)::BIGINT AS n_captions FROM (SELECT *, '[IMAGE: i' || (doc_id % 7) || ']' || chr(10) || '(Description: no ' || (doc_id % 7) || ')' AS m FROM documents WHERE doc_id % 50 >= 7 OR doc_id % 50 = doc_id % 7)")
-def b16_stitch_captions(spark, sf_dir):
-    chunks = _illustrated(spark, sf_dir, 40)
+def _captioned(spark, sf_dir) -> DataFrame:
+    chunks = _illustrated(spark, sf_dir)
     captions = corpus.images_to_caption(chunks).select(F.col("id").alias("image_id"), F.concat(F.lit("no "), F.substring("id", 2, 9)).alias("caption"))
-    plain = chunks.where("id % 50 >= 7 or id % 50 = id % 7")
-    return corpus.stitch_captions(plain, captions).select("id", F.sha2("text", 256).alias("text_sha256"), F.size("image_captions").cast("long").alias("n_captions"))
+    return corpus.stitch_captions(chunks, captions).select("id", "text", F.size("image_captions").cast("long").alias("n_captions"))
+
+
+@register("WITH known AS (SELECT DISTINCT doc_id % 7 AS k FROM documents), m AS (SELECT doc_id, text, doc_id % 50 AS x, doc_id % 7 AS y, doc_id % 50 IN (SELECT k FROM known) AS paired FROM documents) SELECT doc_id AS id, sha256(text || ' [IMAGE: i' || x || ']' || CASE WHEN paired THEN chr(10) || '(Description: no ' || x || ')' ELSE '' END || ' and [IMAGE: i' || y || ']' || chr(10) || '(Description: no ' || y || ')') AS text_sha256, (CASE WHEN paired THEN 2 ELSE 1 END)::BIGINT AS n_captions FROM m")
+def b16_stitch_captions(spark, sf_dir):
+    return _captioned(spark, sf_dir).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 @register()
 def b16_stitch_captions_whole(spark, sf_dir):
-    """All rows, those with captions for both marks among them."""
-    chunks = _illustrated(spark, sf_dir)
-    captions = corpus.images_to_caption(chunks).select(F.col("id").alias("image_id"), F.concat(F.lit("no "), F.substring("id", 2, 9)).alias("caption"))
-    return corpus.stitch_captions(chunks, captions).select("id", "text", F.size("image_captions").cast("long").alias("n_captions"))
+    """The stitched texts themselves."""
+    return _captioned(spark, sf_dir)
 
 
 @register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 9 WHEN doc_id % 3 = 1 THEN doc_id % 8 ELSE doc_id % 7 - 1 END::BIGINT AS page FROM documents")
@@ -373,12 +374,12 @@ def c16_inherit(spark, sf_dir):
     return chunking.inherit(chunks_of(spark, sf_dir), docs, ["lang", "source"]).select("id", "chunk_index", "lang", "source", "source_ref")
 
 
-_MATH = "substring(text, 1, 60) || ' $x_' || doc_id || '$ and f(' || (doc_id % 9) || ') ≈ y'"
+_MATH = "text || ' $x_' || doc_id || '$ and f(' || (doc_id % 9) || ') ≈ y'"
 
 
 @register(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\$([^$]+)\\$', 1) || regexp_extract_all(t, '\\$\\$([^$]+)\\$\\$', 1) || regexp_extract_all(t, '([A-Za-z]\\s*=\\s*[A-Za-z0-9^_+\\-*/()]+)', 1) || regexp_extract_all(t, '([A-Za-z][A-Za-z0-9]*\\s*\\([^)]*\\))', 1) || regexp_extract_all(t, '(\\\\?[A-Za-z]+\\s*[{T.MATH_SIGNS}]\\s*[A-Za-z0-9]+)', 1))), '|') AS formulas FROM (SELECT doc_id, {_MATH} AS t FROM documents)")
 def h1_detect_formulas(spark, sf_dir):
-    t = F.concat(F.col("text").substr(1, 60), F.lit(" $x_"), "doc_id", F.lit("$ and f("), F.col("doc_id") % 9, F.lit(") ≈ y"))
+    t = F.concat("text", F.lit(" $x_"), "doc_id", F.lit("$ and f("), F.col("doc_id") % 9, F.lit(") ≈ y"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.detect_formulas(t), "|").alias("formulas"))
 
 
