@@ -32,7 +32,8 @@ def doc_title(text: str | Column) -> Column:
     lines = F.split(_col(text), "\n")
     heading = F.filter(F.slice(lines, 1, 20), lambda x: F.trim(x).startswith("# "))
     shown = F.filter(F.slice(lines, 1, 10), lambda x: F.trim(x) != "")
-    return F.coalesce(F.trim(F.get(heading, 0).substr(3, 100_000)), F.trim(F.get(shown, 0)))
+    first = F.get(heading, 0)
+    return F.coalesce(F.trim(first.substr(F.lit(3), F.length(first))), F.trim(F.get(shown, 0)))
 
 
 def doc_id(content: str | Column) -> Column:
