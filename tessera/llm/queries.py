@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_layout, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes
+from . import exact_dedup, html_layout, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(table(spark, sf_dir, "documents"), {"text_sha256": F.sha2(exact_dedup.normalised(), 256)})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, pipeline]
+    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, op12_exact_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -93,6 +97,12 @@ same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g)) AS class_id
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id, coalesce(same.class_id, w.doc_id) AS class_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.x = w.doc_id LEFT JOIN same ON same.doc_id = w.doc_id"""
 
+#: Groups of equal texts; of repeated rows under one id one stays.
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size,
+row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM t"""
+
 _LINES = r"string_split(regexp_replace(text, '\r\n', chr(10), 'g'), chr(10))"
 _NORMAL = r"trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g'))"
 _INTRO = quotes.INTRODUCES.replace("(?i)", "")
@@ -121,4 +131,4 @@ FROM k LEFT JOIN best USING (key) LEFT JOIN root ON root.conv_id = k.conv_id AND
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are held against brute-force versions in tests/llm."""
-    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL}
+    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op12_exact_dedup": OP12_SQL}
