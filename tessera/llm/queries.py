@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_layout, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes
+from . import exact_dedup, html_layout, lexical_scan, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"), {"text_sha256": F.sha2(exact_dedup.normalised(), 256)})
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, op12_exact_dedup, pipeline]
+    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, op11_lexical_scan, op12_exact_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -97,6 +101,18 @@ same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g)) AS class_id
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id, coalesce(same.class_id, w.doc_id) AS class_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.x = w.doc_id LEFT JOIN same ON same.doc_id = w.doc_id"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Integer scores of all documents that hold a term of an item.
+OP11_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM w),
+b AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+c AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM b) GROUP BY 1, 2),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM c, s GROUP BY 1),
+m AS (SELECT k, doc_id, 100 - 90 + ((90 * len(ws) * n_docs) // n_terms) AS m FROM w, s WHERE doc_id IS NOT NULL AND len(ws) > 0),
+p AS (SELECT item_id, doc_id, k, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM b JOIN c USING (term) JOIN f USING (term) JOIN m USING (k) GROUP BY 1, 2, 3)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0) WHERE rank <= 10"""
+
 #: Groups of equal texts; of repeated rows under one id one stays.
 OP12_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -131,4 +147,4 @@ FROM k LEFT JOIN best USING (key) LEFT JOIN root ON root.conv_id = k.conv_id AND
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are held against brute-force versions in tests/llm."""
-    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op11_lexical_scan": OP11_SQL, "op12_exact_dedup": OP12_SQL}

@@ -1,14 +1,15 @@
 """Exact duplicates, ranked lexical search and the audit of sources, against brute force and DuckDB."""
 
+import math
 import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, queries
+from tessera.llm import exact_dedup, lexical_scan, queries
 
 SF = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
@@ -69,3 +70,65 @@ def test_one_row_of_equal_texts_stays(docs, no_docs):
     assert exact_dedup.keep_first(no_docs).count() == exact_dedup.decide(no_docs).count() == 0
     clash = docs.withColumn("_slot", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("_whole", F.lit("x"))
     assert exact_dedup.keep_first(clash).columns == clash.columns and exact_dedup.decide(clash).count() == docs.count()
+
+
+def brute_search(docs, items, k):
+    term = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: term.findall((t or "").translate(lower))
+    words = [(i, Counter(cut(t)), len(cut(t))) for i, t in docs]
+    texts, terms = sum(n > 0 for _, _, n in words), sum(n for _, _, n in words)
+    df = Counter(t for _, c, _ in words for t in c)
+    wanted = defaultdict(set)
+    for i, t in items:
+        wanted[i] |= set(cut(t))
+    out = []
+    for item, asked in wanted.items():
+        scores = []
+        for i, c, n in words:
+            m = 10 + 90 * n * texts // max(1, terms)
+            s = sum(math.floor(1000 * math.log((2 * texts + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in asked if t in c)
+            if s > 0 and i is not None:
+                scores.append((-s, i))
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k]) if item is not None]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def asked(spark, texts):
+    rows = [(n, " ".join(texts[i].split(" ")[:30])) for n, i in enumerate((1, 10, 18, 19, 20, 13, 15, 12))]
+    return rows + [(50, None), (51, ""), (52, "nowhere at-all"), (53, "HELLO hello same"), (53, "line; WORD"), (None, "hello")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_lexical_search_equals_its_sql(spark):
+    equal_to_sql(spark, "op11_lexical_scan")
+
+
+@pytest.mark.parametrize("block,cells,piece", [(1 << 17, 1 << 21, 1 << 20), (20, 30, 40)])
+def test_lexical_search_equals_brute_force(spark, docs, asked, monkeypatch, block, cells, piece):
+    """Also with small blocks of items, few scores at once and texts cut into pieces."""
+    monkeypatch.setattr(lexical_scan, "BLOCK", block)
+    monkeypatch.setattr(lexical_scan, "CELLS", cells)
+    monkeypatch.setattr(lexical_scan, "PIECE", piece)
+    items = spark.createDataFrame(asked, "item_id long, text string").withColumn("term", F.lit(1)).withColumn("doc_id", F.lit(2))
+    given = docs.withColumn("item_id", F.lit(1)).withColumn("score", F.lit("x"))
+    got = lexical_scan.search(given, items, 5)
+    assert [t for _, t in got.dtypes] == ["bigint", "int", "bigint", "bigint"]
+    want = brute_search([(r["doc_id"], r["text"]) for r in given.collect()], asked, 5)
+    assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_lexical_search_without_texts_or_items(spark, docs, no_docs, asked):
+    items = spark.createDataFrame(asked, "item_id long, text string")
+    assert lexical_scan.search(no_docs, items).count() == lexical_scan.search(docs, items.where("item_id > 99")).count() == 0
+    assert lexical_scan.search(docs, items.where("item_id = 50")).columns == ["item_id", "rank", "doc_id", "score"]
+    named = lexical_scan.search(docs, items.select(F.concat(F.lit("q"), "item_id").alias("item_id"), "text"), 1)
+    assert dict(named.dtypes)["item_id"] == "string" and named.count() > 5
+
+
+def test_terms_are_counted_as_whole_words():
+    automaton = lexical_scan.Block([1], [b"a", "\u00e9a".encode(), b"b2"], None, None).automaton()
+    sizes, text, term, times = lexical_scan.read([b"A a-a ab B2,b2 \xc3\xa9a", None, b"", b"  ;", b"a"], automaton)
+    assert sizes.tolist() == [7, 0, 0, 0, 1]
+    assert sorted(zip(text.tolist(), term.tolist(), times.tolist(), strict=True)) == [(0, 0, 3), (0, 1, 1), (0, 2, 2), (4, 0, 1)]
