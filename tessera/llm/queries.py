@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_layout, lexical_scan, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes
+from . import exact_dedup, html_layout, lexical_scan, neural_lm, ngram_join, order_minhash, packing, piece_viterbi, pii, pu_classifier, quality_rules, quotes, source_audit
 from .common import table
 
 
@@ -76,6 +76,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"), {"text_sha256": F.sha2(exact_dedup.normalised(), 256)})
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, op11_lexical_scan, op12_exact_dedup, pipeline]
+    found = [op1_quote_linking, op2_html_layout, op3_pu_classifier, op4_order_minhash, op5_quality_rules, op6_neural_lm, op7_ngram_jaccard, op8_piece_viterbi, op9_pii, op10_packing, op11_lexical_scan, op12_exact_dedup, op13_source_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -119,6 +123,26 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size,
 row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM t"""
 
+_LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_F = "((p - q) * (p - q)) // (p + q)"
+_P = "(1 + (1000000000::HUGEINT * ({n} + 2)) // ({all} + 2 * v))::BIGINT"
+#: Shares of all kept terms in every group and language; '' stands for null.
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS} AS ws FROM documents),
+t AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, source, t.term, count(*)::BIGINT AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+lv AS (SELECT lang, count(*)::BIGINT AS v FROM kept GROUP BY 1),
+ln AS (SELECT lang, term, sum(n)::BIGINT AS n, sum(sum(n)) OVER (PARTITION BY lang)::BIGINT AS a FROM c GROUP BY 1, 2),
+q AS (SELECT lang, term, {_P.format(n="n", all="a")} AS q FROM ln JOIN lv USING (lang)),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS a FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, {_P.format(n="coalesce(c.n, 0)", all="a")} AS p FROM gn JOIN kept ON kept.lang = gn.lang JOIN lv ON lv.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+s AS (SELECT lang, source, item, sum({_F})::BIGINT AS value FROM (SELECT x.lang, x.source, y.source AS item, x.p, y.p AS q FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source) GROUP BY 1, 2, 3),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ({_F})::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10"""
+
 _LINES = r"string_split(regexp_replace(text, '\r\n', chr(10), 'g'), chr(10))"
 _NORMAL = r"trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g'))"
 _INTRO = quotes.INTRODUCES.replace("(?i)", "")
@@ -147,4 +171,4 @@ FROM k LEFT JOIN best USING (key) LEFT JOIN root ON root.conv_id = k.conv_id AND
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are held against brute-force versions in tests/llm."""
-    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op11_lexical_scan": OP11_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op1_quote_linking": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op11_lexical_scan": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_source_audit": OP13_SQL}

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, lexical_scan, queries
+from tessera.llm import exact_dedup, lexical_scan, queries, source_audit
 
 SF = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
@@ -132,3 +132,57 @@ def test_terms_are_counted_as_whole_words():
     sizes, text, term, times = lexical_scan.read([b"A a-a ab B2,b2 \xc3\xa9a", None, b"", b"  ;", b"a"], automaton)
     assert sizes.tolist() == [7, 0, 0, 0, 1]
     assert sorted(zip(text.tolist(), term.tolist(), times.tolist(), strict=True)) == [(0, 0, 3), (0, 1, 1), (0, 2, 2), (4, 0, 1)]
+
+
+def brute_audit(rows, least=10, top=10):
+    term = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = [(g or "", s or "", term.findall((t or "").translate(lower))) for t, g, s in rows]
+    out = []
+    for lang in {g for g, _, _ in docs}:
+        df = Counter(w for g, _, ws in docs if g == lang for w in set(ws))
+        kept = [w for w, n in df.items() if n >= least]
+        count = defaultdict(Counter)
+        for g, s, ws in docs:
+            if g == lang:
+                count[s].update(w for w in ws if df[w] >= least)
+        whole = sum(count.values(), Counter())
+        share = lambda c, w: 1 + 10**9 * (c[w] + 2) // (sum(c.values()) + 2 * len(kept))  # noqa: B023, E731
+        far = lambda p, q: (p - q) ** 2 // (p + q)
+        for s in count:
+            pairs = [(-sum(far(share(count[s], w), share(count[o], w)) for w in kept), o.encode()) for o in count if o != s]
+            terms = [(-far(share(count[s], w), share(whole, w)), w.encode()) for w in kept if count[s][w] > 0 and share(count[s], w) > share(whole, w)]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, item.decode(), -value, r + 1) for r, (value, item) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_source_audit_equals_its_sql(spark):
+    equal_to_sql(spark, "op13_source_audit")
+
+
+@pytest.mark.parametrize("values,slots,pairs", [(None, 1 << 20, 1 << 22), (7, 2, 0)])
+def test_source_audit_equals_brute_force(spark, docs, texts, monkeypatch, values, slots, pairs):
+    """Also with seven digests for all terms, which are split then, and with slots and sums that hold next to nothing."""
+    monkeypatch.setattr(source_audit, "SLOTS", slots)
+    monkeypatch.setattr(source_audit, "PAIRS", pairs)
+    rows = [(texts[n % 20 + 1][: 400 + n] if texts[n % 20 + 1] else None, ("en", "fr", None)[n % 3], f"s{n % 4}" if n % 5 else None) for n in range(120)]
+    rows += [("Zwei zwei \u00c9 \u00e9 ZWEI", "de", "a")] * 12 + [("eins", "de", "b")] * 9 + [("", "de", "c"), (None, "xx", "only"), (None, "xx", "other")]
+    given = spark.createDataFrame(rows, "text string, lang string, source string").withColumns({"term": F.lit(1), "key": F.lit("k"), "part": F.lit(0)}).repartition(5)
+    digest = F.xxhash64 if values is None else lambda t: F.pmod(F.xxhash64(t), F.lit(values))
+    got = source_audit.audit(given, digest=digest)
+    assert got.dtypes == [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")]
+    want = brute_audit(rows)
+    assert len({r[2] for r in want}) == 2 and sorted(map(tuple, got.collect())) == want
+
+
+def test_source_audit_of_nothing(no_docs, docs):
+    assert source_audit.audit(no_docs).count() == 0
+    assert source_audit.audit(docs, least=1).where("part = 'term'").count() <= 20
+
+
+def test_shares_are_exact_for_large_counts(spark):
+    rows = [(0, 0, 0), (5, 7, 3), (10**12, 3 * 10**14, 10**9), (2**61, 2**62, 5)]
+    got = spark.createDataFrame(rows, "n long, terms long, kinds long").select(source_audit._share("n", "terms", "kinds").alias("p")).collect()
+    assert [r["p"] for r in got] == [None] + [1 + 10**9 * (n + 2) // (t + 2 * k) for n, t, k in rows[1:]]
