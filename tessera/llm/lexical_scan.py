@@ -34,7 +34,7 @@ PIECE = 1 << 20
 BLANK = 32
 _IS_TERM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _READ = bytes((c + 32 if 65 <= c <= 90 else c) if _IS_TERM[c] else BLANK for c in range(256))
-_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _STATS = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 #: Numbers beside the terms' own: texts with a term, and terms with repeats.
 TEXTS, TERMS = -1, -2
@@ -62,7 +62,7 @@ class Block:
 
 def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, term as bytes), each pair once; a row without an id or text has none, texts under one id are one item."""
-    found = items.where("item_id is not null").select("item_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TERM), F.lit(0))).alias("term"))
+    found = items.where("item_id is not null").select("item_id", F.explode(F.array_remove(F.split("text", _BETWEEN), "")).alias("term"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return found.select("item_id", F.translate("term", upper, lower).cast("binary").alias("term")).distinct()
 

@@ -23,7 +23,8 @@ TOP = 10
 SLOTS = 1 << 20
 #: Pairs of sources whose sums a task holds; with more it hands them on after each batch.
 PAIRS = 1 << 22
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms. Splitting there is some ten times as fast as extracting matches, each of which copies the text.
+_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Digest = Callable[[Column], Column]
 
@@ -36,7 +37,7 @@ def lowered(text: Column) -> Column:
 def _worded(docs: DataFrame) -> DataFrame:
     """(lang, source, terms) of every row; null counts as ''."""
     plain = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), lowered(F.coalesce("text", F.lit(""))).alias("text"))
-    return plain.select("lang", "source", F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("terms"))
+    return plain.select("lang", "source", F.array_remove(F.split("text", _BETWEEN), "").alias("terms"))
 
 
 def _counted(docs: DataFrame, key: Digest, least: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
@@ -44,7 +45,8 @@ def _counted(docs: DataFrame, key: Digest, least: int, keep: Callable[[DataFrame
     keys = _worded(docs).select("lang", "source", F.sort_array(F.transform("terms", lambda t: key(t))).alias("keys"))
     # a key counts for its document where it differs from the one before it
     pairs = F.zip_with("keys", F.concat(F.array(F.lit(None)), F.slice("keys", F.lit(1), F.size("keys"))), lambda x, before: F.struct(x.alias("key"), F.when(x == before, 0).otherwise(1).alias("new")))
-    rows = keep(keys.select("lang", "source", F.inline(pairs)).where("key is not null"))
+    # the outer form: for the inner one Catalyst works out all pairs beforehand as a filter
+    rows = keep(keys.select("lang", "source", F.inline_outer(pairs)).where("key is not null"))
     by_source = rows.groupBy("lang", "source", "key").agg(F.count("*").alias("n"), F.sum("new").alias("df"))
     by_key = by_source.groupBy("lang", "key").agg(F.sum("df").alias("df"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("at"))
     return by_key.where(F.col("df") >= least).drop("df")
@@ -62,8 +64,9 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, digest: Digest = F.xxha
     key is a term's digest; part is empty, or the term itself where its digest is another's too.
     """
     rows = cut(_counted(docs, digest, least))
-    seen = _worded(docs).select("lang", F.explode(F.array_distinct("terms")).alias("term")).withColumn("key", digest(F.col("term")))
-    least_and_greatest = _among(seen, rows, F.col("key")).groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    seen = _worded(docs).select("lang", F.explode_outer("terms").alias("term")).where("term is not null").withColumn("key", digest(F.col("term")))
+    # distinct first: least and greatest texts are kept by sorting, a task's terms by hashing
+    least_and_greatest = _among(seen, rows, F.col("key")).distinct().groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"))
     names = cut(least_and_greatest.join(rows.select("lang", "key"), ["lang", "key"]))
     alone, shared = names.where("term = last"), names.where("term <> last").select("lang", "key")
     whole, texts = rows.join(alone.select("lang", "key"), ["lang", "key"]).withColumn("part", F.lit("")), alone.select("lang", "key", F.lit("").alias("part"), "term")
