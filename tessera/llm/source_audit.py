@@ -1,21 +1,23 @@
 """How the sources of a language differ in their words, with term texts brought in late.
 
-Terms are shuffled as 64-bit digests with their counts, never as strings. Only the terms that stay, those in enough
-documents, are read once more with their texts: the least and the greatest text of each digest, which differ where two
-terms share it. Such a digest is split: its terms are counted again by their texts, and each goes on as a key of its own.
-Texts are joined back for the ranked terms alone. Counts, shares and differences are whole numbers throughout.
+Each task counts the terms of its texts batch by batch and stores them as 64-bit digests with their counts, the term's
+text beside. Only digests and counts are shuffled to find the terms that stay, those in enough documents. Then the texts
+of these alone are read from the store: the least and the greatest text of each digest, which differ where two terms
+share it. Such a digest is split: its terms are summed again by their texts, and each goes on as a key of its own. In the
+result texts are joined back for the ranked terms only. Counts, shares and differences are whole numbers throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Words, cut, encoded, mix, shared_checkpoints, slices, small_batches
 
 LEAST_DOCS = 10
 TOP = 10
@@ -23,58 +25,108 @@ TOP = 10
 SLOTS = 1 << 20
 #: Pairs of sources whose sums a task holds; with more it hands them on after each batch.
 PAIRS = 1 << 22
-#: What stands between terms. Splitting there is some ten times as fast as extracting matches, each of which copies the text.
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-Digest = Callable[[Column], Column]
+#: Bytes of texts whose terms are counted together; a longer text alone.
+RUN = 1 << 23
+#: Letters and all bytes of other scripts belong to terms; capitals are lowered, what stands between becomes blank.
+_READ = bytes((c + 32 if c < 96 else c) if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_COUNTS = "lang string, source string, key long, n long, df long, term string"
+Digest = Callable[[np.ndarray], np.ndarray]
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in small letters; where a text is ASCII, by the faster way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+def _plain(h: np.ndarray) -> np.ndarray:
+    return h
 
 
-def _worded(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every row; null counts as ''."""
-    plain = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), lowered(F.coalesce("text", F.lit(""))).alias("text"))
-    return plain.select("lang", "source", F.array_remove(F.split("text", _BETWEEN), "").alias("terms"))
+def _terms(texts: list[bytes], group: np.ndarray, digest: Digest) -> tuple[np.ndarray, ...]:
+    """Group, digest, occurrences, documents and text of each distinct term of each group; texts in one go.
 
-
-def _counted(docs: DataFrame, key: Digest, least: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """(lang, key, total, at: array of (source, n)) of the keys in at least so many documents of a language."""
-    keys = _worded(docs).select("lang", "source", F.sort_array(F.transform("terms", lambda t: key(t))).alias("keys"))
-    # a key counts for its document where it differs from the one before it
-    pairs = F.zip_with("keys", F.concat(F.array(F.lit(None)), F.slice("keys", F.lit(1), F.size("keys"))), lambda x, before: F.struct(x.alias("key"), F.when(x == before, 0).otherwise(1).alias("new")))
-    # the outer form: for the inner one Catalyst works out all pairs beforehand as a filter
-    rows = keep(keys.select("lang", "source", F.inline_outer(pairs)).where("key is not null"))
-    by_source = rows.groupBy("lang", "source", "key").agg(F.count("*").alias("n"), F.sum("new").alias("df"))
-    by_key = by_source.groupBy("lang", "key").agg(F.sum("df").alias("df"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("at"))
-    return by_key.where(F.col("df") >= least).drop("df")
+    Terms are told apart by their whole hash and a second one, so that two of one digest are two rows here.
+    """
+    runs, at, owner, hashes, sizes = [], [], [], [], []
+    base = 0
+    for lo, hi in slices(texts):
+        w = Words([t.translate(_READ) for t in texts[lo:hi]])
+        runs.append(w.buf)
+        at.append(w.start + base)
+        owner.append(w.doc + lo)
+        hashes.append(w.hashes())
+        sizes.append(w.end - w.start)
+        base += len(w.buf)
+    buf, at, owner, h, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs, at, owner, hashes, sizes))
+    if not len(h):
+        return (np.zeros(0, np.int64),) * 4 + (pa.array([], pa.string()),)
+    of = group[owner]
+    whole = mix(h.astype(np.uint64) ^ mix(of.astype(np.uint64)))
+    order = np.argsort(whole, kind="stable")  # documents stay in order within a term
+    whole, owner, of, size, at, h = whole[order], owner[order], of[order], size[order], at[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (whole[1:] != whole[:-1]) | (of[1:] != of[:-1]) | (size[1:] != size[:-1])
+    first = np.flatnonzero(new)
+    fresh = new.copy()
+    fresh[1:] |= owner[1:] != owner[:-1]
+    n, df = np.diff(np.append(first, len(h))), np.add.reduceat(fresh, first, dtype=np.int64)
+    start, length = at[first], size[first]
+    ends = np.cumsum(length)
+    letters = buf[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
+    texts_of = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append([0], ends).astype(np.int64)), pa.py_buffer(letters.tobytes()))
+    return of[first], digest(h[first]).view(np.int64), n, df, texts_of.cast(pa.string())
+
+
+def _counted(docs: DataFrame, digest: Digest) -> DataFrame:
+    """(lang, source, key, n, df, term) of every run of texts, stored in the shared folder: the strings' only copy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = encoded(batch.column("text").to_pylist())
+            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            number: dict[tuple[str, str], int] = {}
+            group = np.array([number.setdefault(g, len(number)) for g in zip(langs, sources, strict=True)], np.int64)
+            names = [pa.array([g[x] for g in number], pa.string()) for x in (0, 1)]
+            for lo, hi in slices(texts, RUN):
+                of, key, n, df, terms = _terms(texts[lo:hi], group[lo:hi], digest)
+                yield pa.record_batch([names[0].take(pa.array(of)), names[1].take(pa.array(of)), pa.array(key), pa.array(n), pa.array(df), terms], names=["lang", "source", "key", "n", "df", "term"])
+
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared_checkpoints(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/terms-{uuid.uuid4().hex}"
+    plain = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    plain.mapInArrow(run, _COUNTS).write.parquet(folder)
+    return spark.read.schema(_COUNTS).parquet(folder)
+
+
+def _among(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose digest may be among kept(lang, key); the tasks get slots of digests, SLOTS at most."""
+    slot = F.pmod(F.xxhash64("lang", "key"), F.lit(SLOTS)).alias("_slot")
+    return rows.withColumn("_slot", slot).join(F.broadcast(kept.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
 
 
-def _among(rows: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
-    """The rows whose digest may be among kept(lang, key); the tasks get slots of digests, SLOTS at most."""
-    slot = lambda c: F.pmod(F.xxhash64("lang", c), F.lit(SLOTS)).alias("_slot")
-    return rows.withColumn("_slot", slot(digest)).join(F.broadcast(kept.select(slot(F.col("key"))).distinct()), "_slot", "left_semi").drop("_slot")
+def _kept(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(lang, source, keys, n, total) of the keys in at least so many documents of a language; total is the language's n."""
+    sums = counts.groupBy("lang", *keys).agg(F.sum("df").alias("df"), F.sum("n").alias("total"))
+    totals = cut(sums.where(F.col("df") >= least).drop("df"))
+    return _among(counts, totals).groupBy("lang", "source", *keys).agg(F.sum("n").alias("n")).join(totals, ["lang", *keys])
 
 
-def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, digest: Digest = F.xxhash64) -> tuple[DataFrame, DataFrame]:
-    """(lang, key, part, total, at) of the terms that stay, and (lang, key, part, term): their texts.
+def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, digest: Digest = _plain) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, key, part, n, total) of the terms that stay, and (lang, key, part, term): their texts.
 
     key is a term's digest; part is empty, or the term itself where its digest is another's too.
     """
-    rows = cut(_counted(docs, digest, least))
-    seen = _worded(docs).select("lang", F.explode_outer("terms").alias("term")).where("term is not null").withColumn("key", digest(F.col("term")))
-    # distinct first: least and greatest texts are kept by sorting, a task's terms by hashing
-    least_and_greatest = _among(seen, rows, F.col("key")).distinct().groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"))
-    names = cut(least_and_greatest.join(rows.select("lang", "key"), ["lang", "key"]))
+    counts = _counted(docs, digest)
+    rows = cut(_kept(counts, ["key"], least))
+    kinds = rows.select("lang", "key").distinct()
+    # each text once per digest first: least and greatest texts are kept by sorting, a task's texts by hashing
+    seen = _among(counts.select("lang", "key", "term"), kinds).groupBy("lang", "key", "term").agg(F.count("*").alias("times"))
+    names = seen.groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"), F.sum("times").alias("times"))
+    names = cut(names.join(kinds, ["lang", "key"]))
     alone, shared = names.where("term = last"), names.where("term <> last").select("lang", "key")
     whole, texts = rows.join(alone.select("lang", "key"), ["lang", "key"]).withColumn("part", F.lit("")), alone.select("lang", "key", F.lit("").alias("part"), "term")
     if not shared.isEmpty():
-        again = _counted(docs, lambda t: t, least, lambda r: _among(r, shared, digest(F.col("key")))).withColumnsRenamed({"key": "part"}).withColumn("key", digest(F.col("part")))
-        split = cut(again.join(shared, ["lang", "key"], "left_semi"))
-        whole, texts = whole.unionByName(split), texts.unionByName(split.select("lang", "key", "part", F.col("part").alias("term")))
-    return cut(whole.select("lang", "key", "part", "total", "at")), texts
+        of_shared = _among(counts, shared).join(shared, ["lang", "key"], "left_semi")
+        split = cut(_kept(of_shared.withColumnRenamed("term", "part"), ["key", "part"], least))
+        whole, texts = whole.unionByName(split), texts.unionByName(split.select("lang", "key", "part", F.col("part").alias("term")).distinct())
+    return cut(whole.select("lang", "source", "key", "part", "n", "total")), texts
 
 
 def _share(n: str, all_terms: str, kinds: str) -> Column:
@@ -125,23 +177,24 @@ def _pair_sums(rows: DataFrame) -> DataFrame:
     return sums.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, digest: Digest = F.xxhash64) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, digest: Digest = _plain) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from the others of its language, and its own terms.
 
     Null text, lang and source count as ''. Every occurring (lang, source) is a group, also one without terms; each row of
     docs is a document, repeated ones too; texts are read whole. Part 'pair' lists every other source of the language, part
     'term' the terms that the group uses more than its language does. Ties go by item; no row gives no result. Other
-    columns of docs play no part. digest maps terms to whole numbers; results are the same whatever it is.
+    columns of docs play no part. digest maps 64-bit hashes of terms to their
+    digests; results are the same whatever it is.
     """
     rows, texts = kept_terms(docs, least, digest)
     groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    vocabulary = rows.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("total").alias("lang_terms"))
-    sums = rows.select("lang", F.explode("at").alias("a")).groupBy("lang", "a.source").agg(F.sum("a.n").alias("terms"))
+    vocabulary = rows.select("lang", "key", "part", "total").distinct().groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("total").alias("lang_terms"))
+    sums = rows.groupBy("lang", "source").agg(F.sum("n").alias("terms"))
     groups = groups.join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left").na.fill(0, ["terms", "kinds", "lang_terms"])
     numbered = groups.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).withColumn("z", _share("0", "terms", "kinds"))
     numbered = cut(numbered)
 
-    used = rows.select("lang", "key", "part", "total", F.inline("at")).join(numbered, ["lang", "source"])
+    used = rows.join(numbered, ["lang", "source"])
     used = used.withColumn("p", _share("n", "terms", "kinds")).withColumn("q", _share("total", "lang_terms", "kinds"))
     langs = numbered.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("no", "z", "source"))).alias("all"))
     by_term = used.groupBy("lang", "key", "part").agg(F.collect_list(F.struct("no", "p")).alias("at"))
