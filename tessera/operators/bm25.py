@@ -7,7 +7,7 @@ totals follow. A posting knows its text's length, so scoring joins postings with
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +70,22 @@ class Index:
     k1: float = K1
     b: float = B
 
+    def within(self, ids: DataFrame) -> Index:
+        """The chunks in ids(id) alone; terms keep the weights of the whole corpus."""
+        return replace(self, postings=self.postings.join(ids, "id", "left_semi"))
+
+    def search(self, query_terms: DataFrame, k: int = 20) -> DataFrame:
+        """(qid, rank, id, score) of the k best chunks per query.
+
+        query_terms: (qid, term); a term counts as often as it is listed. Ties on six digits fall by id.
+        """
+        wanted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
+        tf, size = F.col("tf"), F.col("doc_length") / F.lit(self.avg_doc_length or 1.0)
+        part = F.col("times") * F.col("idf") * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size))
+        hits = self.postings.join(wanted.join(self.terms, "term"), "term")
+        scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+        return ranked(scored, k)
+
 
 def build(posts: DataFrame, sizes: DataFrame, k1: float = K1, b: float = B) -> Index:
     if k1 <= 0 or not 0 <= b <= 1:
@@ -80,16 +96,8 @@ def build(posts: DataFrame, sizes: DataFrame, k1: float = K1, b: float = B) -> I
 
 
 def top_k(index: Index, query_terms: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, rank, id, score) of the k best chunks per query.
-
-    query_terms: (qid, term); a term counts as often as it is listed. Ties on six digits fall by id.
-    """
-    wanted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    tf, size = F.col("tf"), F.col("doc_length") / F.lit(index.avg_doc_length or 1.0)
-    part = F.col("times") * F.col("idf") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * size))
-    hits = index.postings.join(wanted.join(index.terms, "term"), "term")
-    scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, k)
+    """The k best chunks per query, as Index.search gives them."""
+    return index.search(query_terms, k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

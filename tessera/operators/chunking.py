@@ -140,20 +140,22 @@ def packed(parts: list[str], size: int, joint: str = "\n") -> list[str]:
 
 
 def table_runs(text: str, size: int, least: int = 50) -> list[str]:
-    """Lines of a table stay together up to `least` characters and beyond, other lines up to size."""
-    out: list[str] = []
-    run: list[str] = []
-    kind = None
-    for line in text.split("\n"):
-        mine = "|" in line or "\t" in line
-        length = sum(map(len, run)) + len(run)
-        if run and (mine != kind and (kind is False or length >= least) or length + len(line) > size):
-            out.append("\n".join(run))
-            run = []
-        run.append(line)
-        kind = mine
-    out.append("\n".join(run))
-    return [x.strip() for x in out if x.strip()]
+    """Runs of lines, each without blanks at its ends and blank lines left out.
+
+    A run is a text line with the table lines after it, or table lines alone; a text line always opens one. A run is
+    full, and the next line opens another, once a table line brings it to `least` characters, or a text line to size.
+    Text lines thus stand alone until merge_small() joins them. Without any line the text is cut as usual.
+    """
+    out: list[list[str]] = []
+    room = 0  # characters that the last run may still take; none: it is full
+    for line in filter(None, map(str.strip, text.split("\n"))):
+        of_table = "|" in line or "\t" in line
+        if not of_table or room <= 0:
+            out.append([])
+            room = least
+        out[-1].append(line)
+        room = room - len(line) if of_table or len(line) < size else 0
+    return ["\n".join(run) for run in out] or pieces(text, size, 0)
 
 
 def code_blocks(text: str, size: int, overlap: int) -> list[str]:
@@ -164,40 +166,98 @@ def code_blocks(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[\]{},:]', re.S)
+
+
+def json_members(text: str) -> list[tuple[int, int]] | None:
+    """Where the elements of a JSON array, or the members of an object, start and end in the text.
+
+    One pass over strings and brackets; an object's member reaches from its key to the end of its value. None if the text
+    is neither, does not close what it opens, or goes on after it.
+    """
+    start = len(text) - len(text.lstrip())
+    opener = text[start : start + 1]
+    if opener not in ("[", "{"):
+        return None
+    closing = {"[": "]", "{": "}"}
+    spans, opened, at = [], [closing[opener]], start + 1
+    for m in _JSON_TOKEN.finditer(text, start + 1):
+        c = text[m.start()]
+        if c in "[{":
+            opened.append(closing[c])
+        elif c in "]}":
+            if opened.pop() != c:
+                return None
+        if not opened or (c == "," and len(opened) == 1):
+            if body := text[at : m.start()].strip():
+                first = at + text[at : m.start()].index(body[0])
+                spans.append((first, first + len(body)))
+            at = m.end()
+            if not opened:
+                return spans if not text[at:].strip() else None
+    return None
+
+
 def json_parts(text: str, size: int) -> list[str]:
-    """Objects of an array packed up to size; an object cut at its keys."""
-    import json
+    """Slices of the text: elements of an array packed up to size as "[a, b]", an object's members one by one.
 
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return pieces(text, size, 0)
-    if isinstance(value, list):
-        return packed([json.dumps(v, ensure_ascii=False) for v in value], size)
-    if isinstance(value, dict):
-        return packed([json.dumps({k: v}, ensure_ascii=False) for k, v in value.items()], size)
-    return [text]
+    A longer element or member is cut as any text, so no chunk is over size. The last member of an object brings the
+    closing brace. Objects of fewer than two members and what is not JSON are cut as any text.
+    """
+    spans = json_members(text)
+    if not spans or (text.lstrip()[0] == "{" and len(spans) < 2):
+        return pieces(text.strip(), size, 0)
+    if text.lstrip()[0] == "{":
+        spans[-1] = (spans[-1][0], len(text.rstrip()))
+        return [c for lo, hi in spans for c in ([text[lo:hi]] if hi - lo <= size else pieces(text[lo:hi], size, 0))]
+    out: list[str] = []
+    pack: list[str] = []
+    for lo, hi in spans:
+        if pack and sum(map(len, pack)) + 2 * len(pack) + hi - lo + 2 > size:
+            out.append(f"[{', '.join(pack)}]")
+            pack = []
+        if hi - lo + 2 > size:
+            out += pieces(text[lo:hi], size, 0)
+        else:
+            pack.append(text[lo:hi])
+    return [*out, f"[{', '.join(pack)}]"] if pack else out
 
 
 def merge_small(chunks: list[str], least: int = SMALL, size: int = SIZE, factor: float = MERGE) -> list[str]:
-    """Chunks below `least` join the one before if that stays within factor * size (or they are tiny), else the next."""
-    out: list[str] = []
-    waiting = ""
+    """A chunk below `least` characters joins the one before it, or else the one after it, by a line feed.
+
+    Two chunks may be joined if together they stay within factor * size, or if the small one has less than half of
+    `least`. What has taken in the chunk after it is settled, whatever its length; a chunk that can join neither stays.
+    Blanks at the ends of a chunk do not count. Lengths are kept as sums, so the work grows with the text. The state runs
+    from chunk to chunk with all that was put out so far, which a fold of columns would copy at each step.
+    """
+
+    def size_of(parts: list[str], total: int) -> int:
+        return total + len(parts) - 1 - (len(parts[0]) - len(parts[0].lstrip())) - (len(parts[-1]) - len(parts[-1].rstrip()))
+
+    def may_join(first: list[str], total: int, then: str, small: str) -> bool:
+        return size_of([first[0], *[""] * (len(first) - 1), then], total + len(then)) <= factor * size or len(small.strip()) < least // 2
+
+    out: list[list[str]] = []
+    total = 0  # characters of the last of out
+    waiting = None
     for c in chunks:
-        if waiting:
-            c, waiting = f"{waiting}\n\n{c}", ""
-        if len(c) >= least:
-            out.append(c)
-        elif out and (len(out[-1]) + len(c) <= factor * size or len(c) < 100):
-            out[-1] = f"{out[-1]}\n\n{c}"
+        if waiting is not None:
+            small, waiting = waiting, None
+            taken = may_join([small], len(small), c, small)
+            out.append([small, c] if taken else [small])
+            total = len(small) + len(c) * taken
+            if taken:
+                continue
+        if len(c.strip()) >= least:
+            out.append([c])
+            total = len(c)
+        elif out and may_join(out[-1], total, c, c):
+            out[-1].append(c)
+            total += len(c)
         else:
             waiting = c
-    if waiting:
-        if out:
-            out[-1] = f"{out[-1]}\n\n{waiting}"
-        else:
-            out.append(waiting)
-    return out
+    return ["\n".join(parts) for parts in out] + ([] if waiting is None else [waiting])
 
 
 def chunk_toc(docs: DataFrame, toc: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, evaluate, observe, query, search, views
-from ..sources.readers import spread
+from ..operators import bm25, evaluate, observe, passages, query, search, stored_index, vector_index, views
+from ..sources.readers import content_key, shared_folder, spread
 
 Q, SQL = {}, {}
 _WORD = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
@@ -56,9 +58,10 @@ _ASKED = f"{_KEYWORDS}, {_QTERMS}"
 _TRUTH = "truth AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    rows = bm25.counted(spread(table(spark, sf_dir, "documents")), "doc_id", "text").persist()
-    return bm25.build(bm25.postings_of(rows), bm25.lengths_of(rows))
+def index_of(spark: SparkSession, sf_dir: str) -> stored_index.StoredIndex:
+    """The stored index of the documents as they are now; the first query that asks for it writes it."""
+    folder = f"{shared_folder(spark)}/index-{stored_index.FORMAT}-{content_key(spark, f'{sf_dir}/documents.parquet')}"
+    return stored_index.open_index(spark, folder) or stored_index.build_index(bm25.counted(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), folder)
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def dense_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, id): documents that hold a benchmark text."""
-    return search.holders(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
+    return passages.holders(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
 
 
 @register(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
@@ -106,15 +109,12 @@ def d5_bm25_top_k(spark, sf_dir):
 
 
 def _incremental(spark, sf_dir, back: bool):
-    """The index after documents of src0 and src1 were removed, and, on request, added again."""
+    """The index after documents of src0 and src1 were hidden, and, on request, added again; the stored one stays as it is."""
     docs = table(spark, sf_dir, "documents")
-    rows = bm25.counted(spread(docs), "doc_id", "text").persist()
-    posts, sizes = bm25.postings_of(rows), bm25.lengths_of(rows)
     some = docs.where(F.col("source").isin("src0", "src1"))
-    left = bm25.remove_documents(posts, sizes, some.select(F.col("doc_id").alias("id")))
-    if back:
-        left = bm25.add_documents(*left, bm25.postings(some, "doc_id", "text"), bm25.lengths(some, "doc_id", "text"))
-    return bm25.build(left[0].persist(), left[1].persist())
+    folder = f"{shared_folder(spark)}/branch-{uuid.uuid4().hex}"
+    index = stored_index.remove_documents(stored_index.branch(index_of(spark, sf_dir), folder), some.select(F.col("doc_id").alias("id")))
+    return stored_index.add_documents(index, bm25.counted(spread(some), "doc_id", "text")) if back else index
 
 
 @register(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idfs")
@@ -176,6 +176,31 @@ def f2_dense_lsh(spark, sf_dir):
     return search.dense_top_k_lsh(*dense_queries(spark, sf_dir), 20)
 
 
+def every_fiftieth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those whose id is divisible by 50 as queries."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors, vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+
+
+_FIFTIETH = _DENSE.replace("SELECT q.item_id AS qid", "SELECT e.vec_id AS qid").replace("FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v", "FROM embeddings e, embeddings v WHERE e.vec_id % 50 = 0")
+
+
+@register(f"WITH {_FIFTIETH} SELECT qid, rank, id, score FROM dense")
+def f1_dense_every_fiftieth(spark, sf_dir):
+    return search.dense_top_k(*every_fiftieth(spark, sf_dir), 20)
+
+
+def vector_index_of(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The stored cells of the embeddings as they are now; the first query that asks for them writes them."""
+    folder = f"{shared_folder(spark)}/vectors-{vector_index.FORMAT}-{content_key(spark, f'{sf_dir}/embeddings.parquet')}"
+    return vector_index.open_vector_index(spark, folder) or vector_index.build_vector_index(every_fiftieth(spark, sf_dir)[0], folder)
+
+
+@register()
+def f2_dense_cells(spark, sf_dir):
+    return vector_index.approximate_top_k(vector_index_of(spark, sf_dir), every_fiftieth(spark, sf_dir)[1], 20)
+
+
 @register("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'src1'")
 def f3_where(spark, sf_dir):
     return search.filter_results(table(spark, sf_dir, "documents"), lang="en", source="src1").select("doc_id", "n_chars")

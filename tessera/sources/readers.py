@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,3 +129,26 @@ def append_history(runs: DataFrame, path: str) -> None:
 
 def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
     return runs.orderBy(F.desc("timestamp"), "run_id").limit(n)
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is named, a local session gets one of its own; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="tessera-")
+    return _OWN[sc.applicationId]
+
+
+def content_key(spark: SparkSession, path: str) -> str:
+    """A name for the files below path as they are now: it changes with any file's path, length or time. Nothing is read but the listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    n, mixed = files.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    return f"{n}-{int(mixed) & (1 << 64) - 1:016x}"
