@@ -1,5 +1,7 @@
 import os
+import random
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -104,6 +106,81 @@ def test_words_equal_a_plain_reading_of_the_tables_pages(spark):
     assert len(rows) == sum(k is not None for k in pages)
 
 
+BROKEN = {
+    "tag": lambda n: "<title" * n, "quote": lambda n: '<a "' * n, "end tag": lambda n: '</a"' * n, "declaration": lambda n: "<!" * n, "quotes": lambda n: "<a '\"<b \"'" * n,
+    "nested": lambda n: "<style>div div{display:block} div p .x{display:none}</style>" + "<div>" * n + "x", "far end": lambda n: "<b><table><tr><td>" + "<span>" * n + "</b>" * n,
+    "selector": lambda n: "<style>" + "(" * n + "{display:none}[a=" + " " * n + "{display:none}</style><p>x", "attributes": lambda n: "<a " + "x " * n + ">y",
+    "numbers": lambda n: "&#" + "1" * n + ";&#" + "0" * n + "65;", "table": lambda n: "<table>" + "<tr><td>a<td>b" * (n // 10) + "<tr><td>" + "x" * n + "<td>y</table>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_time_grows_with_length(name):
+    begun = time.process_time()
+    html_layout.visible_text(BROKEN[name](20_000))
+    assert time.process_time() - begun < 3
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<span style="display:block">a</span><span style="display:block">b</span>', "a\nb"),
+        ("<style>li{display:inline}</style><ul><li>a</li> <li>b</li></ul>", "a b"),
+        ("<style>li{display:inline-block}</style><ul><li>a</li><li>b</li></ul>", "a b"),
+        ('<div style="white-space:pre">a  b\n  c</div>d', "a  b\n  c\nd"),
+        ("<style>p:not(.k), p:first-child, h1 + p {display:none}</style><div><p>1</p><p class=k>2</p><h1>h</h1><p class=k>3</p><p class=k>4</p></div>", "2\n\nh\n\n4"),
+        ("<style>.a ~ i {display:none} div > b:last-child{display:none}</style><div><b>1</b><i>2</i><u class=a></u><i>3</i><b>4</b></div>", "12"),
+        ("<style>i:not(.a, .b){display:none}</style><i>1</i><i class=a>2</i><i class=b>3</i>", "23"),
+        ("<style>a:hover, a:visited{display:none}</style><a>x</a>", "x"),
+        ("<table><tr><td>" + "w" * 70 + "<td>b<tr><td>c<td>d</table>", "w" * 70 + " | b\nc" + " " * 69 + " | d"),
+        ('<a href="foo>text</a> more', "text more"), ("x <b and c", "x <b and c"), ('<a"b c">z</a>', "z"), ("<p title='>'>q", "q"),
+        ("a<!-- c > <b>x</b> --> d <b", "a d <b"), ("<b <!-- hidden", "<b"), ("&#99999999999999999999; &#0000065;", "\ufffd A"),
+    ],
+)
+def test_rendering(html, text):
+    assert html_layout.visible_text(html) == text
+
+
+def test_steps_equal_a_walk_back():
+    """Bits of selectors against the plain definition of combinators, on random trees."""
+    draw = random.Random(3)
+    for _ in range(60):
+        root = html_layout.Node("html", {})
+        nodes, over = [root], {root: None}
+        for _ in range(25):
+            parent = draw.choice(nodes)
+            node = html_layout.Node(draw.choice("abi"), {"class": draw.choice(["", "k", "m", "k m"])})
+            parent.children.append(node)
+            nodes.append(node)
+            over[node] = parent
+        parts = [(draw.choice(["a", "b", "i", ".k", ".m", "a.k", "*"]), draw.choice([" ", " > ", " + ", " ~ "])) for _ in range(3)]
+        selector = "".join(x + y for x, y in parts[:-1]) + parts[-1][0]
+        styles = html_layout.Styles([("", selector + "{display:none}")])
+
+        def fits(node, k):
+            name, _, kind = parts[k][0].partition(".")
+            if name not in ("", "*", node.tag) or kind and kind not in node.attrs.get("class", "").split():
+                return False
+            if k == 0:
+                return True
+            sign, parent = parts[k - 1][1].strip(), over[node]
+            if parent is None:
+                return False
+            before = parent.children[: parent.children.index(node)]
+            above = []
+            while parent is not None:
+                above.append(parent)
+                parent = over[parent]
+            return any(fits(x, k - 1) for x in {"": above, ">": above[:1], "+": before[-1:], "~": before}[sign])
+
+        def visit(path):
+            assert styles.shown(path, True)[0] == (not fits(path[-1], 2)), selector
+            for child in path[-1].children:
+                visit([*path, child])
+
+        visit([root])
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", 9), (1, "u", "<p>x</p>", 9), (2, None, None, 9), (None, "u", "x", 9)], "page_id long, url string, html string, text int")
     got = html_layout.extract(pages)
