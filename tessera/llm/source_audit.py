@@ -1,10 +1,11 @@
 """How the sources of a language differ in their words, with term texts brought in late.
 
-Each task counts the terms of its texts batch by batch and stores them as 64-bit digests with their counts, the term's
-text beside. Only digests and counts are shuffled to find the terms that stay, those in enough documents. Then the texts
-of these alone are read from the store: the least and the greatest text of each digest, which differ where two terms
-share it. Such a digest is split: its terms are summed again by their texts, and each goes on as a key of its own. In the
-result texts are joined back for the ranked terms only. Counts, shares and differences are whole numbers throughout.
+Each task counts the terms of its texts and stores them as 64-bit digests with their counts, the term's text beside.
+Only digests and counts are shuffled: once to find the terms that may stay, those in enough documents, and once, these
+alone, to bring a term's counts of all sources into one row. Then the texts of these terms are read from the store: the
+least and the greatest text of each digest, which differ where two terms share it. Such a digest is split: its terms are
+summed again by their texts, and each goes on as a key of its own. In the result texts are joined back for the ranked
+terms only. Counts, shares and differences are whole numbers throughout.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, encoded, mix, shared_checkpoints, slices, small_batches
+from .common import Words, encoded, mix, shared_checkpoints, slices, small_batches
 
 LEAST_DOCS = 10
 TOP = 10
@@ -27,6 +29,8 @@ SLOTS = 1 << 20
 PAIRS = 1 << 22
 #: Bytes of texts whose terms are counted together; a longer text alone.
 RUN = 1 << 23
+#: Rows of counted terms that a task holds; with half as many left after equal ones are merged it hands them on.
+HELD = 1 << 20
 #: Letters and all bytes of other scripts belong to terms; capitals are lowered, what stands between becomes blank.
 _READ = bytes((c + 32 if c < 96 else c) if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _COUNTS = "lang string, source string, key long, n long, df long, term string"
@@ -37,8 +41,8 @@ def _plain(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _terms(texts: list[bytes], group: np.ndarray, digest: Digest) -> tuple[np.ndarray, ...]:
-    """Group, digest, occurrences, documents and text of each distinct term of each group; texts in one go.
+def _terms(texts: list[bytes], group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Group, hash, occurrences, documents and text of each distinct term of each group; texts in one go.
 
     Terms are told apart by their whole hash and a second one, so that two of one digest are two rows here.
     """
@@ -54,7 +58,7 @@ def _terms(texts: list[bytes], group: np.ndarray, digest: Digest) -> tuple[np.nd
         base += len(w.buf)
     buf, at, owner, h, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs, at, owner, hashes, sizes))
     if not len(h):
-        return (np.zeros(0, np.int64),) * 4 + (pa.array([], pa.string()),)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
     of = group[owner]
     whole = mix(h.astype(np.uint64) ^ mix(of.astype(np.uint64)))
     order = np.argsort(whole, kind="stable")  # documents stay in order within a term
@@ -69,30 +73,66 @@ def _terms(texts: list[bytes], group: np.ndarray, digest: Digest) -> tuple[np.nd
     ends = np.cumsum(length)
     letters = buf[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
     texts_of = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append([0], ends).astype(np.int64)), pa.py_buffer(letters.tobytes()))
-    return of[first], digest(h[first]).view(np.int64), n, df, texts_of.cast(pa.string())
+    return of[first], h[first], n, df, texts_of.cast(pa.string())
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """The rows of several _terms(), those of one group and term summed; their documents differ."""
+    of, h, n, df = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    if not len(of):
+        return parts[0]
+    terms = pa.concat_arrays([p[4] for p in parts])
+    size = pc.binary_length(terms).to_numpy(zero_copy_only=False)
+    whole = mix(h ^ mix(of.astype(np.uint64)))
+    order = np.argsort(whole, kind="stable")
+    new = np.ones(len(of), bool)
+    new[1:] = (np.diff(whole[order]) != 0) | (np.diff(of[order]) != 0) | (np.diff(size[order]) != 0)
+    first = np.flatnonzero(new)
+    return of[order[first]], h[order[first]], np.add.reduceat(n[order], first), np.add.reduceat(df[order], first), terms.take(pa.array(order[first]))
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, of which Spark knows the size."""
+    spark = rows.sparkSession
+    shared_checkpoints(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def _counted(docs: DataFrame, digest: Digest) -> DataFrame:
-    """(lang, source, key, n, df, term) of every run of texts, stored in the shared folder: the strings' only copy."""
+    """(lang, source, key, n, df, term) of a task's texts, stored in the shared folder: the strings' only copy.
+
+    A term has a row for each group and HELD rows of a task, whatever its number of occurrences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[tuple[str, str], int] = {}
+        held: list[tuple] = []
+
+        def handed_on() -> pa.RecordBatch:
+            of, h, n, df, terms = held.pop()
+            names = [pa.array([g[x] for g in number], pa.string()).take(pa.array(of)) for x in (0, 1)]
+            number.clear()
+            return pa.record_batch([*names, pa.array(digest(h).view(np.int64)), pa.array(n), pa.array(df), terms], names=["lang", "source", "key", "n", "df", "term"])
+
         for batch in batches:
             texts = encoded(batch.column("text").to_pylist())
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            number: dict[tuple[str, str], int] = {}
-            group = np.array([number.setdefault(g, len(number)) for g in zip(langs, sources, strict=True)], np.int64)
-            names = [pa.array([g[x] for g in number], pa.string()) for x in (0, 1)]
+            groups = list(zip(langs, sources, strict=True))
             for lo, hi in slices(texts, RUN):
-                of, key, n, df, terms = _terms(texts[lo:hi], group[lo:hi], digest)
-                yield pa.record_batch([names[0].take(pa.array(of)), names[1].take(pa.array(of)), pa.array(key), pa.array(n), pa.array(df), terms], names=["lang", "source", "key", "n", "df", "term"])
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/terms-{uuid.uuid4().hex}"
+                held.append(_terms(texts[lo:hi], np.array([number.setdefault(g, len(number)) for g in groups[lo:hi]], np.int64)))
+                if sum(len(p[0]) for p in held) > HELD:
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield handed_on()
+        if held:
+            held[:] = [_merged(held)]
+            yield handed_on()
+
+    small_batches(docs.sparkSession)
     plain = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    plain.mapInArrow(run, _COUNTS).write.parquet(folder)
-    return spark.read.schema(_COUNTS).parquet(folder)
+    return _stored(plain.mapInArrow(run, _COUNTS), "terms")
 
 
 def _among(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -102,36 +142,47 @@ def _among(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _kept(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(lang, source, keys, n, total) of the keys in at least so many documents of a language; total is the language's n."""
-    sums = counts.groupBy("lang", *keys).agg(F.sum("df").alias("df"), F.sum("n").alias("total"))
-    totals = cut(sums.where(F.col("df") >= least).drop("df"))
-    return _among(counts, totals).groupBy("lang", "source", *keys).agg(F.sum("n").alias("n")).join(totals, ["lang", *keys])
+    """(lang, keys, total, used) of the keys in at least so many documents of a language; used: (source, n) of each source.
+
+    Of the other keys nearly all stay behind before the counts by source are shuffled, once, by language and key.
+    """
+    sums = counts.groupBy("lang", *keys).agg(F.sum("df").alias("df"))
+    rows = _among(counts, sums.where(F.col("df") >= least)).select("lang", "source", *keys, "n", "df").repartition("lang", *keys)
+    by_source = rows.groupBy("lang", *keys, "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    used = F.collect_list(F.struct("source", "n")).alias("used")
+    terms = by_source.groupBy("lang", *keys).agg(F.sum("df").alias("df"), F.sum("n").alias("total"), used).where(F.col("df") >= least)
+    return _stored(terms.drop("df"), "kept")
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, digest: Digest = _plain) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, key, part, n, total) of the terms that stay, and (lang, key, part, term): their texts.
+    """(lang, key, part, total, used) of the terms that stay, and (lang, key, part, term): their texts.
 
-    key is a term's digest; part is empty, or the term itself where its digest is another's too.
+    key is a term's digest; part is empty, or the term itself where its digest is another's too; used: array of (source, n).
     """
     counts = _counted(docs, digest)
-    rows = cut(_kept(counts, ["key"], least))
-    kinds = rows.select("lang", "key").distinct()
+    rows = _kept(counts, ["key"], least)
+    kinds = rows.select("lang", "key")
     # each text once per digest first: least and greatest texts are kept by sorting, a task's texts by hashing
-    seen = _among(counts.select("lang", "key", "term"), kinds).groupBy("lang", "key", "term").agg(F.count("*").alias("times"))
-    names = seen.groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"), F.sum("times").alias("times"))
-    names = cut(names.join(kinds, ["lang", "key"]))
+    seen = _among(counts.select("lang", "key", "term"), kinds).distinct()
+    names = seen.groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    names = _stored(names.join(kinds, ["lang", "key"], "left_semi"), "names")
     alone, shared = names.where("term = last"), names.where("term <> last").select("lang", "key")
-    whole, texts = rows.join(alone.select("lang", "key"), ["lang", "key"]).withColumn("part", F.lit("")), alone.select("lang", "key", F.lit("").alias("part"), "term")
-    if not shared.isEmpty():
-        of_shared = _among(counts, shared).join(shared, ["lang", "key"], "left_semi")
-        split = cut(_kept(of_shared.withColumnRenamed("term", "part"), ["key", "part"], least))
-        whole, texts = whole.unionByName(split), texts.unionByName(split.select("lang", "key", "part", F.col("part").alias("term")).distinct())
-    return cut(whole.select("lang", "source", "key", "part", "n", "total")), texts
+    texts = alone.select("lang", "key", F.lit("").alias("part"), "term")
+    if shared.isEmpty():
+        return rows.withColumn("part", F.lit("")), texts
+    of_shared = _among(counts, shared).join(shared, ["lang", "key"], "left_semi")
+    split = _kept(of_shared.withColumnRenamed("term", "part"), ["key", "part"], least)
+    whole = rows.join(shared, ["lang", "key"], "left_anti").withColumn("part", F.lit(""))
+    return whole.unionByName(split), texts.unionByName(split.select("lang", "key", "part", F.col("part").alias("term")))
 
 
-def _share(n: str, all_terms: str, kinds: str) -> Column:
+def _share_text(n: str, all_terms: str, kinds: str) -> str:
     """1 + floor(10^9 (n + 2) / (all_terms + 2 kinds)), exact for any 64-bit counts; null where there are no kinds."""
-    return F.expr(f"if({kinds} = 0, null, 1 + (cast(1000000000 as decimal(10, 0)) * cast({n} + 2 as decimal(20, 0))) div cast({all_terms} + 2 * {kinds} as decimal(20, 0)))")
+    return f"if({kinds} = 0, null, 1 + (cast(1000000000 as decimal(10, 0)) * cast({n} + 2 as decimal(20, 0))) div cast({all_terms} + 2 * {kinds} as decimal(20, 0)))"
+
+
+def _share(n: str, all_terms: str, kinds: str) -> Column:
+    return F.expr(_share_text(n, all_terms, kinds))
 
 
 def _difference(p: str, q: str) -> Column:
@@ -188,22 +239,24 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, digest: Dige
     """
     rows, texts = kept_terms(docs, least, digest)
     groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    vocabulary = rows.select("lang", "key", "part", "total").distinct().groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("total").alias("lang_terms"))
-    sums = rows.groupBy("lang", "source").agg(F.sum("n").alias("terms"))
+    vocabulary = rows.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("total").alias("lang_terms"))
+    sums = rows.select("lang", F.inline("used")).groupBy("lang", "source").agg(F.sum("n").alias("terms"))
     groups = groups.join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left").na.fill(0, ["terms", "kinds", "lang_terms"])
     numbered = groups.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).withColumn("z", _share("0", "terms", "kinds"))
-    numbered = cut(numbered)
-
-    used = rows.join(numbered, ["lang", "source"])
-    used = used.withColumn("p", _share("n", "terms", "kinds")).withColumn("q", _share("total", "lang_terms", "kinds"))
-    langs = numbered.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("no", "z", "source"))).alias("all"))
-    by_term = used.groupBy("lang", "key", "part").agg(F.collect_list(F.struct("no", "p")).alias("at"))
-    sums = _pair_sums(by_term.join(langs.select("lang", F.col("all.z").alias("zs")), "lang").select("lang", "at", "zs"))
+    # a row a language, stored: Spark sends it to all tasks while it is small enough for that
+    langs = numbered.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("no", "z", "source", "terms"))).alias("all"), F.first("kinds").alias("kinds"), F.first("lang_terms").alias("lang_terms"))
+    langs = _stored(langs, "langs")
+
+    of = F.map_from_arrays("all.source", F.transform("all", lambda x: F.struct(x["no"].alias("no"), x["terms"].alias("terms")))).alias("of")
+    used = rows.join(langs.select("lang", of, F.col("all.z").alias("zs"), "kinds", "lang_terms"), "lang")
+    p = F.expr(f"transform(transform(used, x -> struct(x.source, x.n, of[x.source] as g)), x -> struct(x.g.no as no, {_share_text('x.n', 'x.g.terms', 'kinds')} as p, x.source as source))")
+    used = used.select("lang", "key", "part", "zs", p.alias("at"), _share("total", "lang_terms", "kinds").alias("q"))
+    sums = _pair_sums(used.select("lang", F.transform("at", lambda x: F.struct(x["no"].alias("no"), x["p"].alias("p"))).alias("at"), "zs"))
     both = langs.select("lang", "all", F.explode("all").alias("a")).select("lang", "a", F.explode("all").alias("b")).where("a.no <> b.no")
     both = both.select("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), F.least("a.no", "b.no").cast("long").alias("i"), F.greatest("a.no", "b.no").cast("long").alias("j"))
     pairs = both.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
-    above = used.where("p > q").select("lang", "source", "key", "part", _difference("p", "q").alias("value"))
+    above = used.select("lang", "key", "part", "q", F.inline("at")).where("p > q").select("lang", "source", "key", "part", _difference("p", "q").alias("value"))
     # all that may be among the first, ties with the last one too; only these get their texts
     first = above.withColumn("_r", F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))).where(F.col("_r") <= top)
     named = first.join(texts, ["lang", "key", "part"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
