@@ -162,9 +162,10 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, digest: Digest = _plain
     counts = _counted(docs, digest)
     rows = _kept(counts, ["key"], least)
     kinds = rows.select("lang", "key")
-    # each text once per digest first: least and greatest texts are kept by sorting, a task's texts by hashing
-    seen = _among(counts.select("lang", "key", "term"), kinds).distinct()
-    names = seen.groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    # each text once per digest first: least and greatest texts are kept by sorting, a task's texts by hashing; the
+    # number of rows keeps this step in the plan, which would leave it out as needless for least and greatest
+    seen = _among(counts.select("lang", "key", "term"), kinds).groupBy("lang", "key", "term").agg(F.count("*").alias("times"))
+    names = seen.groupBy("lang", "key").agg(F.min("term").alias("term"), F.max("term").alias("last"), F.sum("times").alias("times"))
     names = _stored(names.join(kinds, ["lang", "key"], "left_semi"), "names")
     alone, shared = names.where("term = last"), names.where("term <> last").select("lang", "key")
     texts = alone.select("lang", "key", F.lit("").alias("part"), "term")
@@ -249,7 +250,8 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, digest: Dige
 
     of = F.map_from_arrays("all.source", F.transform("all", lambda x: F.struct(x["no"].alias("no"), x["terms"].alias("terms")))).alias("of")
     used = rows.join(langs.select("lang", of, F.col("all.z").alias("zs"), "kinds", "lang_terms"), "lang")
-    p = F.expr(f"transform(transform(used, x -> struct(x.source, x.n, of[x.source] as g)), x -> struct(x.g.no as no, {_share_text('x.n', 'x.g.terms', 'kinds')} as p, x.source as source))")
+    grouped = "transform(used, x -> struct(x.source, x.n, of[x.source] as g))"
+    p = F.expr(f"transform({grouped}, x -> struct(x.g.no as no, {_share_text('x.n', 'x.g.terms', 'kinds')} as p, x.source as source))")
     used = used.select("lang", "key", "part", "zs", p.alias("at"), _share("total", "lang_terms", "kinds").alias("q"))
     sums = _pair_sums(used.select("lang", F.transform("at", lambda x: F.struct(x["no"].alias("no"), x["p"].alias("p"))).alias("at"), "zs"))
     both = langs.select("lang", "all", F.explode("all").alias("a")).select("lang", "a", F.explode("all").alias("b")).where("a.no <> b.no")
