@@ -113,7 +113,7 @@ def test_toc_chunks_cover_every_document(spark):
     toc = spark.createDataFrame([(1, 300, "two"), (1, 0, "one"), (3, 253, "z"), (3, 250, "blank"), (3, 0, "y"), (5, 0, "p"), (5, 250, "q"), (5, 290, "r"), (6, 90, "beyond"), (9, 0, "no document")], "id long, position int, title string")
     want = {
         1: ["[one] " + "x" * 300, *(f"[two] {c}" for c in chunking.pieces(long.strip(), 500, 50))], 2: chunking.pieces(long, 500, 50), 3: ["[y] " + "a" * 250, "[z] " + "b" * 250],
-        5: ["[p] " + "c" * 250 + "\n\n[q] " + "d" * 40, "[r] " + "e" * 250], 6: ["short"],
+        5: ["[p] " + "c" * 250 + "\n[q] " + "d" * 40, "[r] " + "e" * 250], 6: ["short"],
     }
     got = {}
     for r in sorted(chunking.chunk_toc(docs, toc).collect()):
@@ -125,7 +125,7 @@ def test_toc_chunks_cover_every_document(spark):
 
 
 def test_small_chunks_are_merged():
-    assert chunking.merge_small(["x" * 300, "y" * 50, "z" * 300]) == ["x" * 300 + "\n\n" + "y" * 50, "z" * 300]
+    assert chunking.merge_small(["x" * 300, "y" * 50, "z" * 300]) == ["x" * 300 + "\n" + "y" * 50, "z" * 300]
 
 
 def test_bm25_full_build_equals_incremental(spark):
