@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,6 @@ _IS_SPACE[list(SPACE_BYTES)] = True
 #: Texts worked on at once, in bytes; numpy's temporaries take some thirty times this.
 SLICE_BYTES = 1 << 20
 _MULTIPLIERS = 1 << 16
-#: Ids that are sent to all tasks at most, some 30 MB as a hash table.
-FEW_IDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,13 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def rows_of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose doc_id is (left_anti: is not) among ids, a table that has been cut.
-
-    Ids are sent to all tasks if they are few enough; beyond that the texts are shuffled once.
-    """
-    ids = ids.select("doc_id").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", how).select(docs.columns)
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, in a folder for each value of the columns `by`: a read of one value leaves the others alone."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def encoded(texts) -> list[bytes]:

@@ -34,18 +34,18 @@ CLASSES = 1 + WORDS + SHARED
 UNITS = 64
 #: Words whose counts are sent to all tasks, at most.
 TABLE = 1 << 17
-#: Tokens that the weights begin with, about; all training tokens follow in shards of about SHARD.
+#: Tokens that the weights begin with, about; all training tokens follow in shards of about SHARD, in rounds.
 TOKENS, SHARD = 600_000, 2_000_000
 #: Tokens that the first learning passes over in all; a small sample is gone over more often.
 PASSED = 2_400_000
-#: Tokens whose n-grams a task counts at once, and parts that the weights are summed in.
-HELD, SLOTS = 3_000_000, 64
+#: Tokens of one text that go to a shard together, and those that a task holds before it sends them on.
+PIECE, HELD = 1 << 16, 3_000_000
+#: Parts that the weights are summed in, and shards summed at once.
+SLOTS, SUMMED = 64, 64
 #: The first step's size for the weights that the learning begins with, and for the shards that go on from them.
 RATE, SHARD_RATE = 0.5, 0.3
 #: Noise classes drawn for a batch; all its tokens share them.
 NOISE = 256
-#: Occurrences of one n-gram in a shard that are learned as one row with their number as its weight, at most.
-TOGETHER = 8
 END = 0x1234567
 _LN10 = np.log(10)
 
@@ -135,48 +135,48 @@ def begun(floor: np.ndarray, seed: int = 3) -> Weights:
     return Weights(values, [np.full(v.shape, 1e-4, np.float32) for v in values])
 
 
-def ngrams(classes: np.ndarray) -> np.ndarray:
-    """The code of each token with the two before it, in a run of classes in which class 0 ends each text; nothing before an end counts."""
-    c = np.concatenate(([0, 0], classes)).astype(np.int64)
+def ngrams(classes: np.ndarray, lead: tuple[int, int] | np.ndarray = (0, 0)) -> np.ndarray:
+    """The code of each token with the two before it, in a run of classes in which class 0 ends each text; nothing before an end counts.
+
+    lead: the two classes before the run.
+    """
+    c = np.concatenate((lead, classes)).astype(np.int64)
     c1 = c[1:-1]
     return np.where(c1 == 0, 0, c[:-2]) * CLASSES**2 + c1 * CLASSES + c[2:]
 
 
-def together(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows for n-grams with their numbers, in order of code: one for up to TOGETHER occurrences, and each row's weight."""
-    order = np.argsort(codes, kind="stable")
-    codes, times = codes[order], times[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    codes, times = codes[first], np.add.reduceat(times, first)
-    rows = -(-times // TOGETHER)
-    return np.repeat(codes, rows), np.repeat((times / rows).astype(np.float32), rows)
+def summed_by(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sum of the gradients of each."""
+    order = np.argsort(rows, kind="stable")
+    rows, grad = rows[order], grad[order]
+    at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    size = np.diff(np.append(at, len(rows)))
+    out = grad[at]
+    for k in range(1, 8):  # most rows come once or a few times: added side by side, without a loop over columns
+        more = np.flatnonzero(size > k)
+        out[more] += grad[at[more] + k]
+    for k in np.flatnonzero(size > 8):
+        out[k] += grad[at[k] + 8 : at[k] + size[k]].sum(0)
+    return rows[at], out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
-    np.clip(x, -30, 30, out=x)
+    np.maximum(x, -30, out=x)
     np.exp(np.negative(x, out=x), out=x)
     x += 1
-    return np.divide(1, x, out=x)
-
+    return np.reciprocal(x, out=x)
 
-def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3, times: np.ndarray | None = None) -> Weights:
-    """Go on from weights by noise-contrastive steps over n-grams, with noise drawn by p.
 
-    times: how many tokens each code stands for; one if it is left out.
-    """
+def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3) -> Weights:
+    """Go on from weights by noise-contrastive steps over n-grams, each occurrence a row, with noise drawn by p."""
     rng = np.random.default_rng(seed)
     log_p, ladder, n, log_k = np.log(np.maximum(p, 1e-13)).astype(np.float32), np.cumsum(p), len(p), np.float32(np.log(NOISE))
     word, first, second, bias = values = [v.copy() for v in weights.values]
     squares = [q.copy() for q in weights.squares]
-    times = np.ones(len(codes), np.float32) if times is None else times
     scores = np.empty((batch, NOISE), np.float32)
 
     def move(k: int, rows: np.ndarray, grad: np.ndarray, step: float) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows, grad = rows[order], grad[order]
-        at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        grad, rows = np.add.reduceat(grad, at, 0), rows[at]
         square = squares[k][rows] + grad * grad
         squares[k][rows] = square
         values[k][rows] -= np.float32(step) * grad / np.sqrt(square)
@@ -185,22 +185,30 @@ def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate:
         order = rng.permutation(len(codes))
         step = rate * (1 - epoch / epochs)
         for lo in range(0, len(codes), batch):
-            at = order[lo : lo + batch]
-            code, share = codes[at], times[at] / times[at].sum()
-            c2, c1, w = ((code // CLASSES**2).astype(np.int16), (code // CLASSES % CLASSES).astype(np.int16), (code % CLASSES).astype(np.int16))
-            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1], "right"), n - 1).astype(np.int16)  # shared by the batch
-            q, v, far = first[c1] + second[c2], word[w], word[drawn]
-            g_w = (_sigmoid(np.einsum("ij,ij->i", q, v) + bias[w] - log_p[w] - log_k) - 1) * share
+            code = codes[order[lo : lo + batch]]
+            c2, c1, w = code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES
+            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1], "right"), n - 1)  # shared by the batch
+            q, v, far = first[c1], word[w], word[drawn]
+            q += second[c2]
+            share = np.float32(1 / len(code))
+            g_w = _sigmoid(np.einsum("ij,ij->i", q, v) + (bias[w] - log_p[w] - log_k)) - 1
+            g_w *= share
             g_n = np.matmul(q, far.T, out=scores[: len(code)])
             g_n += bias[drawn] - log_p[drawn] - log_k
             _sigmoid(g_n)
-            g_n *= share[:, None]
-            g_q = g_w[:, None] * v + g_n @ far
-            rows = np.concatenate((w, drawn))
-            move(0, rows, np.concatenate((g_w[:, None] * q, g_n.T @ q)), step)
-            move(3, rows, np.concatenate((g_w, g_n.sum(0))), step)
-            move(1, c1, g_q, step)
-            move(2, c2, g_q, step)
+            g_n *= share
+            g_q = g_n @ far
+            g_q += g_w[:, None] * v
+            # the bias goes along as one more column
+            grad = np.empty((len(code) + NOISE, UNITS + 1), np.float32)
+            np.multiply(g_w[:, None], q, out=grad[: len(code), :UNITS])
+            np.matmul(g_n.T, q, out=grad[len(code) :, :UNITS])
+            grad[: len(code), UNITS], grad[len(code) :, UNITS] = g_w, g_n.sum(0)
+            rows, grad = summed_by(np.concatenate((w, drawn)), grad)
+            move(0, rows, grad[:, :UNITS], step)
+            move(3, rows, grad[:, UNITS], step)
+            move(1, *summed_by(c1, g_q), step)
+            move(2, *summed_by(c2, g_q), step)
     return Weights(values, squares)
 
 
@@ -270,12 +278,12 @@ def classes_of(counts: Counts, h: np.ndarray, shared: np.ndarray) -> tuple[np.nd
     return np.where(own > 0, own, shared), at, there
 
 
-def _ngrams_of(texts: list[bytes], counts: Counts) -> np.ndarray:
-    """The codes of all n-grams of whole texts, ends included, in text order."""
+def _runs_of(texts: list[bytes], counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of whole texts one after another, each with its end, and where each text stops."""
     w, h, s = word_table(texts)
     row = np.zeros(len(h) + len(texts), np.int64)
     row[np.arange(len(h)) + w.doc] = classes_of(counts, h, s)[0]
-    return ngrams(row)
+    return row, np.cumsum(w.count + 1)
 
 
 def _warm(docs: DataFrame, counts: Counts) -> np.ndarray:
@@ -288,7 +296,7 @@ def _warm(docs: DataFrame, counts: Counts) -> np.ndarray:
         for batch in batches:
             encoded, ids = C.encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
             for lo, hi in C.slices(encoded):
-                codes = _ngrams_of(encoded[lo:hi], counts)
+                codes = ngrams(_runs_of(encoded[lo:hi], counts)[0])
                 # a text's place in the slice would depend on the partitions; its id and the place in the text don't
                 end = np.flatnonzero(codes % CLASSES == 0)
                 first = np.concatenate(([0], end[:-1] + 1))
@@ -305,37 +313,104 @@ def _warm(docs: DataFrame, counts: Counts) -> np.ndarray:
 
 
 def _by_shard(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
-    """(shard, codes, times): how often each n-gram occurs in all the texts, dealt to shards by its hash; an n-gram has a row per task at least."""
+    """(shard, classes): runs of classes of the texts, dealt to shards by hash; the first two classes of a run are what stands before it.
 
-    def flush(held: list[np.ndarray]) -> pd.DataFrame:
-        codes, times = np.unique(np.concatenate(held), return_counts=True)
-        shard = (C.mix(codes.astype(np.uint64) + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        codes, times, shard = codes[order].astype("<i8"), times[order].astype("<i4"), shard[order]
-        at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
-        parts = list(zip(at, [*at[1:], len(shard)], strict=True))
-        return pd.DataFrame({"shard": shard[at], "codes": [codes[a:b].tobytes() for a, b in parts], "times": [times[a:b].tobytes() for a, b in parts]})
+    Whole texts are dealt; one of more than PIECE tokens is dealt in pieces. Repeated rows are dealt apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+        none = np.zeros(2, np.int64)
+
+        def flush() -> pd.DataFrame:
+            return pd.DataFrame({"shard": list(held), "classes": [np.concatenate((none, *x)).astype("<i2").tobytes() for x in held.values()]})
+
         for batch in batches:
-            texts = C.encoded(batch["text"])
+            texts, ids = C.encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
+            again = batch.groupby("doc_id").cumcount().to_numpy(np.uint64)
+            key = C.mix(C.mix(ids.view(np.uint64)) + again)
             for lo, hi in C.slices(texts):
-                held.append(_ngrams_of(texts[lo:hi], counts))
-                if sum(map(len, held)) > HELD:
-                    yield flush(held)
+                row, stop = _runs_of(texts[lo:hi], counts)
+                for k, (a, b) in enumerate(zip(np.append(0, stop[:-1]), stop, strict=True)):
+                    pieces = np.arange(a, b, PIECE)
+                    shard = (C.mix(key[lo + k] + np.arange(len(pieces), dtype=np.uint64)) % np.uint64(shards)).astype(np.int64)
+                    if len(pieces) == 1:
+                        held.setdefault(int(shard[0]), []).append(row[a:b])
+                        continue
+                    text = np.concatenate((none, row[a:b])).astype("<i2")  # a piece that stops short of the end stands alone
+                    yield pd.DataFrame({"shard": shard, "classes": [text[x - a : x - a + PIECE + 2].tobytes() for x in pieces]})
+                size += len(row)
+                if size > HELD:
+                    yield flush()
                     held.clear()
+                    size = 0
         if held:
-            yield flush(held)
+            yield flush()
+
+    return docs.mapInPandas(run, "shard long, classes binary")
+
+
+def _touched(codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How often each class was moved as a word (as often by noise as chance has it), as a nearer and as a farther context."""
+    places = (codes % CLASSES, codes // CLASSES % CLASSES, codes // CLASSES**2)
+    out = np.stack([np.bincount(c, minlength=CLASSES) for c in places], 1).astype(np.float64)
+    out[:, 0] += len(codes) * p
+    return out
+
+
+#: Which of the three counts of _touched each column of the values goes by: a word's vector, both contexts, the bias.
+_BY = np.repeat([0, 1, 2, 0], [UNITS, UNITS, UNITS, 1])
+
+
+def _flat(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([v.reshape(CLASSES, -1) for v in parts], 1).astype(np.float64)
+
 
-    return docs.mapInPandas(run, "shard long, codes binary, times binary")
+def _split(flat: np.ndarray) -> list[np.ndarray]:
+    flat = flat.astype(np.float32)
+    return [flat[:, :UNITS], flat[:, UNITS : 2 * UNITS], flat[:, 2 * UNITS : 3 * UNITS], flat[:, 3 * UNITS]]
+
+
+def _averaged(shards: DataFrame, weights: Weights, p: np.ndarray) -> Weights:
+    """Weights after one round: each shard goes on from weights over all its tokens, and what it changes in a class counts as often as it met the class.
+
+    So a shard that never met a class doesn't thin out what others learned of it.
+    """
+    spread = shards.sparkSession.sparkContext.broadcast(weights)
+
+    def tuned(part: pd.DataFrame) -> pd.DataFrame:
+        runs = [np.frombuffer(x, "<i2") for x in part["classes"]]
+        codes = np.sort(np.concatenate([ngrams(r[2:], r[:2]) for r in runs]))  # the same order however the rows came
+        old, number = spread.value, int(part["shard"].iloc[0])
+        got, n = learn(old, codes, p, 1, SHARD_RATE, seed=number), _touched(codes, p)
+        change = [(_flat(new) - _flat(was)) * n[:, _BY] for new, was in ((got.values, old.values), (got.squares, old.squares))]
+        sums = np.concatenate((*change, n), 1).astype(np.float32)
+        return pd.DataFrame({"slot": np.arange(SLOTS), "part": number // SUMMED, "shard": number, "sums": [x.astype(np.float64).tobytes() for x in np.split(sums, SLOTS)]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        return part.iloc[:1].assign(sums=[sum(np.frombuffer(x) for x in part["sums"]).tobytes()])
+
+    schema = "slot long, part long, shard long, sums binary"
+    sums = shards.groupBy("shard").applyInPandas(tuned, schema).groupBy("slot", "part").applyInPandas(summed, schema)
+    found = sums.groupBy("slot").applyInPandas(summed, schema).toPandas().sort_values("slot")  # SLOTS rows of fixed size
+    spread.unpersist()
+    if not len(found):
+        return weights
+    flat = np.concatenate([np.frombuffer(x).reshape(CLASSES // SLOTS, -1) for x in found["sums"]])
+    wide = len(_BY)
+    n = np.maximum(flat[:, 2 * wide :], 1e-9)[:, _BY]
+    return Weights(_split(_flat(weights.values) + flat[:, :wide] / n), _split(_flat(weights.squares) + flat[:, wide : 2 * wide] / n))
 
 
 def train(docs: DataFrame, counts: Counts) -> Network:
     """A network from all training tokens, the same in each run.
 
-    The weights begin with a bounded sample of tokens. From there each shard of the n-grams learns from every token it
-    holds, and the shards' weights are averaged by their tokens. Only sums of fixed size come back.
+    The weights begin with a bounded sample of tokens. Then every occurrence of every token is learned from once, in
+    shards of about SHARD tokens of whole texts. The shards take turns in rounds, about as many rounds as shards in
+    each, so that both grow with the corpus; a round's shards start from the average that the round before left.
+    Only sums of fixed size come back.
     """
     docs = docs.where(C.fold("doc_id", HELD_OUT) != 0)
     floor = counts.class_total.copy()
@@ -346,26 +421,10 @@ def train(docs: DataFrame, counts: Counts) -> Network:
     sample = _warm(docs, counts)
     weights = learn(begun(floor), sample, p, int(np.clip(PASSED // max(len(sample), 1), 4, 40)), RATE)
     shards = int(-(-counts.total // SHARD)) or 1
-    spread = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def tuned(part: pd.DataFrame) -> pd.DataFrame:
-        codes, times = np.frombuffer(b"".join(part["codes"]), "<i8"), np.frombuffer(b"".join(part["times"]), "<i4")
-        rows, weight = together(codes, times)
-        got = learn(spread.value, rows, p, 1, SHARD_RATE, seed=int(part["shard"].iloc[0]), times=weight)
-        flat = np.concatenate([v.reshape(CLASSES, -1) for v in got.values], 1).astype(np.float64) * times.sum()
-        return pd.DataFrame({"slot": np.arange(SLOTS), "tokens": times.sum(), "shard": part["shard"].iloc[0], "sums": [x.tobytes() for x in np.split(flat, SLOTS)]})
-
-    def summed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("shard")
-        total = sum(np.frombuffer(x) for x in part["sums"])
-        return pd.DataFrame({"slot": part["slot"].iloc[:1], "tokens": part["tokens"].sum(), "sums": [total.tobytes()]})
-
-    runs = _by_shard(docs, counts, shards).groupBy("shard").applyInPandas(tuned, "slot long, tokens long, shard long, sums binary")
-    found = runs.groupBy("slot").applyInPandas(summed, "slot long, tokens long, sums binary").toPandas().sort_values("slot")  # SLOTS rows
-    spread.unpersist()
-    if len(found):
-        flat = np.concatenate([np.frombuffer(x).reshape(CLASSES // SLOTS, -1) / t for x, t in zip(found["sums"], found["tokens"], strict=True)])
-        weights = Weights([flat[:, :UNITS], flat[:, UNITS : 2 * UNITS], flat[:, 2 * UNITS : 3 * UNITS], flat[:, 3 * UNITS]], weights.squares)
+    rounds = int(np.ceil(np.sqrt(shards)))
+    dealt = C.stored(_by_shard(docs, counts, shards).repartition("shard").withColumn("round", F.col("shard") % rounds), "round")
+    for k in range(rounds):
+        weights = _averaged(dealt.where(F.col("round") == k), weights, p)
     return weights.network()
 
 

@@ -501,4 +501,19 @@ def test_network_learns_from_ends_of_texts_and_from_all_ids(spark, monkeypatch):
     again = neural_lm.train(docs.repartition(5), counts)
     assert all(np.array_equal(getattr(net, k), getattr(again, k)) for k in ("word", "first", "second", "bias"))
     shards = neural_lm._by_shard(docs.where(neural_lm.C.fold("doc_id", 10) != 0), counts, 3).collect()
-    assert sum(np.frombuffer(r["times"], "<i4").sum() for r in shards) == counts.total
+    assert sum(len(r["classes"]) // 2 - 2 for r in shards) == counts.total and len({r["shard"] for r in shards}) == 3
+
+
+def test_every_piece_of_a_long_text_keeps_what_stands_before_it(spark, monkeypatch):
+    text = " ".join(f"w{i % 7} x{i % 5}" for i in range(900))
+    docs = spark.createDataFrame([(1, text), (1, text), (3, None), (4, "a b")], "doc_id long, text string").coalesce(1)
+    counts = neural_lm.frequent(neural_lm._counted(docs))
+    classes, stop = neural_lm._runs_of([text.encode()] * 2 + [b"", b"a b"], counts)
+    monkeypatch.setattr(neural_lm, "PIECE", 100)
+    runs = [np.frombuffer(r["classes"], "<i2") for r in neural_lm._by_shard(docs, counts, 4).collect()]
+    got = np.concatenate([neural_lm.ngrams(r[2:], r[:2]) for r in runs])
+    assert sorted(got) == sorted(neural_lm.ngrams(classes)) and stop[-1] == counts.total
+    rows = np.array([3, 1, 3, 2] + [5] * 40)
+    grad = np.arange(len(rows) * 2, dtype=np.float32).reshape(-1, 2)
+    at, sums = neural_lm.summed_by(rows, grad)
+    assert at.tolist() == [1, 2, 3, 5] and all(np.array_equal(s, grad[rows == r].sum(0)) for r, s in zip(at, sums, strict=True))
