@@ -45,7 +45,7 @@ SLOTS, SUMMED = 64, 64
 #: The first step's size for the weights that the learning begins with, and for the shards that go on from them.
 RATE, SHARD_RATE = 0.5, 0.3
 #: Noise classes drawn for a batch; all its tokens share them.
-NOISE = 256
+NOISE = 96
 END = 0x1234567
 _LN10 = np.log(10)
 
@@ -168,7 +168,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 2048, seed: int = 3) -> Weights:
+def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 1024, seed: int = 3) -> Weights:
     """Go on from weights by noise-contrastive steps over n-grams, each occurrence a row, with noise drawn by p."""
     rng = np.random.default_rng(seed)
     log_p, ladder, n, log_k = np.log(np.maximum(p, 1e-13)).astype(np.float32), np.cumsum(p), len(p), np.float32(np.log(NOISE))
@@ -212,7 +212,7 @@ def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate:
     return Weights(values, squares)
 
 
-def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 2048, rate: float = RATE, seed: int = 3) -> Network:
+def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 1024, rate: float = RATE, seed: int = 3) -> Network:
     """Train on one run of classes, in which class 0 ends each text; nothing before an end counts as context.
 
     floor: the classes' overall counts, which noise is drawn from and which the bias starts at.
