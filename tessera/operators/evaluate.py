@@ -124,8 +124,16 @@ def compare_configs(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged).groupBy("config_id", "metric").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
-def gate(summary: DataFrame, least: dict[str, float]) -> DataFrame:
-    """summary with passed: every metric named is at least its threshold."""
+def gate(summary: DataFrame, least: dict[str, float], queries: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """summary with passed: every metric named is at least its threshold.
+
+    With queries(qid) and results(qid, ...), summary's one row gets n_empty, the queries without a result, which must be 0.
+    """
+    if queries is not None:
+        empty = queries.select("qid").distinct().join(results, "qid", "left_anti").agg(F.count("*").alias("n_empty"))
+        both = summary.unionByName(empty, allowMissingColumns=True)
+        summary = both.agg(*(F.max(c).alias(c) for c in both.columns))
+        return gate(summary, least).withColumn("passed", F.col("passed") & (F.col("n_empty") == 0))
     fits = [F.coalesce(F.col(m) >= v, F.lit(False)) for m, v in least.items()]
     return summary.withColumn("passed", reduce(lambda a, b: a & b, fits, F.lit(True)))
 

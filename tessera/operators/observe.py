@@ -59,6 +59,22 @@ def latency(timings: DataFrame, by: str = "stage") -> DataFrame:
     return timings.groupBy(by).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
+def latency_sketches(timings: DataFrame, by: str = "stage", k: int = 400) -> DataFrame:
+    """(by, n, sketch): sketches of elapsed_ms that can be stored, and merged over days or machines; nulls are left out.
+
+    A quantile of a sketch of k = 400 lies within 0.75 % of all rows of the true rank, whatever their number (99 % of
+    the time), and a sketch takes some kilobytes.
+    """
+    return timings.where("elapsed_ms is not null").groupBy(by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("elapsed_ms").cast("double"), k).alias("sketch"))
+
+
+def latency_of_sketches(sketches: DataFrame, by: str = "stage", k: int = 400) -> DataFrame:
+    """(by, n, p50, p95, p99) of any number of sketches of each kind."""
+    p = lambda q: F.round(F.kll_sketch_get_quantile_double("s", F.lit(q)), 6)
+    merged = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("s"))
+    return merged.select(by, "n", p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+
+
 def trace_rows(results: DataFrame, stage: str) -> DataFrame:
     """(qid, stage, n_hits, hits) of a search run, hits in order of rank with scores of four digits."""
     hit = F.struct("rank", "id", F.round("score", 4).alias("score"))

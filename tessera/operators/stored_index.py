@@ -126,6 +126,11 @@ class StoredIndex(Index):
         live = F.col("reach").isNull() | (F.col("most") >= F.col("reach") - MARGIN)
         return most.join(reach, "qid", "left").select(*_AT, "most", live.alias("live"))
 
+    def hits(self, query_terms: DataFrame) -> DataFrame:
+        """(qid, id, weight, tf, doc_length) of the terms asked for, from their buckets alone."""
+        asked = self.asked_blocks(query_terms).select("qid", "weight", "generation", "postings")
+        return self.open_postings(asked).select("qid", "id", "weight", "tf", "doc_length")
+
     def search(self, query_terms: DataFrame, k: int = 20, pruned: bool = True) -> DataFrame:
         """As Index.search, from the buckets of the terms asked for; pruned leaves out shards that cannot reach the top k."""
         blocks = self.asked_blocks(query_terms)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, evaluate, observe, passages, query, search, stored_index, vector_index, views
+from ..operators import bm25, evaluate, grid, observe, passages, query, search, stored_index, vector_index, views
 from ..sources.readers import content_key, shared_folder, spread
 
 Q, SQL = {}, {}
@@ -451,3 +451,69 @@ def k13_ndcg(spark, sf_dir):
 def k11_compare_configs(spark, sf_dir):
     ev = _evaluated(spark, sf_dir)
     return evaluate.compare_configs({"k10": evaluate.long_form(ev, ["recall_at_k"]), "same": evaluate.long_form(ev, ["mrr_at_k"])})
+
+
+_WHERE = {"$and": [{"lang": {"$in": ["en", "de"]}}, {"$or": [{"n_chars": {"$gte": 1500, "$lt": 4000}}, {"source": {"$ne": "src1"}, "doc_id": {"$lte": 200}}]}, {"source": {"$nin": ["src2", "src3"]}}]}
+
+
+@register("SELECT doc_id, n_chars FROM documents WHERE lang IN ('en', 'de') AND ((n_chars >= 1500 AND n_chars < 4000) OR (coalesce(source, '') <> 'src1' AND doc_id <= 200)) AND coalesce(source, '') NOT IN ('src2', 'src3')")
+def f3_where_object(spark, sf_dir):
+    return search.filter_results(table(spark, sf_dir, "documents"), where=_WHERE).select("doc_id", "n_chars")
+
+
+def _formula_index(spark, sf_dir):
+    """Language, source and length of each document as its formulas: most documents share the first."""
+    found = F.array(F.concat(F.lit("l="), "lang"), F.concat(F.lit("s="), "source"), F.concat(F.lit("n="), (F.col("n_chars") % 97).cast("string")))
+    return table(spark, sf_dir, "documents").select(F.explode(found).alias("formula_id"), F.col("doc_id").alias("id"))
+
+
+@register(
+    "WITH f AS (SELECT DISTINCT * FROM (SELECT unnest(['l=' || lang, 's=' || source, 'n=' || (n_chars % 97)]) AS formula_id, doc_id AS id FROM documents) WHERE formula_id IS NOT NULL), "
+    "p AS (SELECT a.id, b.id AS other, count(*)::BIGINT AS shared FROM f a JOIN f b USING (formula_id) WHERE a.id <> b.id AND a.id % 50 = 0 GROUP BY 1, 2) "
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS rank FROM p) WHERE rank <= 5"
+)
+def h5_cross_references(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("id"))
+    return search.cross_references(asked, _formula_index(spark, sf_dir), 5, heavy=100)
+
+
+CONFIGS = [grid.Config("base"), grid.Config("short", k1=0.9, b=0.4), grid.Config("sparse", rrf_k=20, dense=0.3, sparse=1.0), grid.Config("dense", k1=2.0, b=0.75, rrf_k=60, dense=1.0, sparse=0.3)]
+
+
+def _grid_sql() -> str:
+    cs = "cs AS (SELECT * FROM (VALUES " + ", ".join(f"('{c.name}', {c.k1}::DOUBLE, {c.b}::DOUBLE, {c.rrf_k}, {c.dense}::DOUBLE, {c.sparse}::DOUBLE)" for c in CONFIGS) + ") AS t(config_id, k1, b, rk, wd, ws))"
+    sp = (
+        "gs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config_id, qid ORDER BY score DESC, id) AS rank FROM (SELECT config_id, qid, posts.id, "
+        "round(sum(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_length / mean))), 6) AS score FROM cs, qt JOIN posts USING (term) JOIN idfs USING (term) JOIN lens ON lens.id = posts.id, st GROUP BY 1, 2, 3)) WHERE rank <= 20)"
+    )
+    fused = (
+        "gf AS (SELECT config_id, qid, id, round(sum(part), 6) AS score FROM (SELECT config_id, qid, id, ws / (rk + rank) AS part FROM gs JOIN cs USING (config_id) "
+        "UNION ALL SELECT config_id, qid, id, wd / (rk + rank) FROM dense, cs) GROUP BY 1, 2, 3), "
+        "gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config_id, qid ORDER BY score DESC, id) AS rank FROM gf) WHERE rank <= 10)"
+    )
+    value = "gv AS (SELECT config_id, item_id AS qid, coalesce(v, 0) AS value FROM cs, benchmark LEFT JOIN (SELECT config_id AS c2, qid AS q2, 1::DOUBLE / min(rank) AS v FROM gr SEMI JOIN truth USING (qid, id) GROUP BY 1, 2) ON c2 = config_id AND q2 = item_id)"
+    pairs = "gp AS (SELECT a.config_id, qid, a.value, a.value - z.value AS d FROM gv a JOIN (SELECT qid, value FROM gv WHERE config_id = 'base') z USING (qid))"
+    weight = " + ".join(f"(u >= {cut})::INT" for cut in grid.POISSON)
+    runs = (
+        "gw AS (SELECT config_id, r, d, " + weight + " AS w FROM (SELECT *, ('0x' || substr(md5('0:' || r || ':' || qid), 1, 4))::INT AS u FROM gp, range(1, 201) t(r))), "
+        "gl AS (SELECT config_id, list_sort(list(x)) AS l FROM (SELECT config_id, round(sum(w * d) / sum(w), 6) AS x FROM gw GROUP BY config_id, r HAVING sum(w) > 0) GROUP BY 1)"
+    )
+    return (
+        f"WITH {_INDEX}, {_ASKED}, {_DENSE}, {_TRUTH}, {cs}, {sp}, {fused}, {value}, {pairs}, {runs} SELECT config_id, round(avg(value), 6) AS value, round(avg(d), 6) AS change, "
+        "any_value(l[greatest(1, ceil(len(l) * 0.025)::INT)]) AS low, any_value(l[greatest(1, ceil(len(l) * 0.975)::INT)]) AS high, count(*)::BIGINT AS n_queries FROM gp JOIN gl USING (config_id) GROUP BY 1"
+    )
+
+
+@register(_grid_sql())
+def k11_config_grid(spark, sf_dir):
+    index, (vectors, asked) = index_of(spark, sf_dir), dense_queries(spark, sf_dir)
+    found = grid.search_grid(index.hits(query_terms(spark, sf_dir)), search.dense_top_k(vectors, asked, 20), CONFIGS, index.avg_doc_length)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    return grid.paired_bootstrap(grid.reciprocal_ranks(found, truth(spark, sf_dir), queries, CONFIGS), "base")
+
+
+@register(f"WITH {_EVAL}, e AS (SELECT count(*)::BIGINT AS n_empty FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM sparse s WHERE s.qid = b.item_id)) SELECT round(avg(hit_at_k), 6) AS avg_hit_at_k, any_value(n_empty) AS n_empty, round(avg(hit_at_k), 6) >= 0.1 AND any_value(n_empty) = 0 AS passed FROM ev, e")
+def k12_gate_with_empty(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    found = bm25.top_k(index_of(spark, sf_dir), query_terms(spark, sf_dir), 20)
+    return evaluate.gate(evaluate.retrieval_summary(_evaluated(spark, sf_dir)), {"avg_hit_at_k": 0.1}, queries, found).select("avg_hit_at_k", "n_empty", "passed")
