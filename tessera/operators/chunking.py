@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ SIZE, OVERLAP, SMALL, MERGE = 500, 50, 200, 1.5
 #: Separators from strongest to weakest; the last cuts anywhere.
 SEPARATORS = ("\n\n", "。", "！", "？", "；", ". ", "!\n", "?\n", ";\n", "\n", "，", ", ", " ", "")
 HEADING = r"(?m)^#{1,6}\s+"
+#: Characters of chunks that a task holds before it hands them on, about: a batch of texts is never cut as a whole.
+HELD_CHARS = 1 << 21
 NUMBERED = r"(?m)^(?:(?:\d+\.)+\s+\S|第[一二三四五六七八九十百千]+[章节部分篇]|[一二三四五六七八九十百千]+、)"
 
 
@@ -71,15 +73,39 @@ def lines_window(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
-def _by(cut, docs: DataFrame) -> DataFrame:
-    """Chunks of each text by a Python function, in Arrow batches; nothing is shuffled."""
+def _in_batches(rows: DataFrame, cut: Callable[..., Iterable[tuple]], added: str) -> DataFrame:
+    """(id, *added) by cut(the columns of a row after its id), text among the columns added; nothing is shuffled.
+
+    Texts are taken from their Arrow batch one by one, and chunks leave once there are HELD_CHARS characters of them.
+    """
+    names = [f.split(" ")[0] for f in added.split(", ")]
+    kinds = [pa.int64() if f.endswith(" long") else pa.string() for f in added.split(", ")]
+    text = names.index("text") + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table_of(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kind, *kinds), strict=True)], names=["id", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, c) for i, t in zip(b["id"], b["text"], strict=True) for k, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "text"])
+            out: list[tuple] = []
+            held, kind = 0, b.schema.field(0).type
+            for n in range(b.num_rows):
+                key, *values = (c[n].as_py() for c in b.columns)
+                for chunk in cut(*values):
+                    out.append((key, *chunk))
+                    held += len(out[-1][text]) + 50
+                    if held >= HELD_CHARS:
+                        yield table_of(out, kind)
+                        out, held = [], 0
+            if out:
+                yield table_of(out, kind)
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {added}")
+
 
-    return docs.select("id", "text").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, chunk_index long, text string")
+def _by(cut, docs: DataFrame) -> DataFrame:
+    """Chunks of each text by a Python function."""
+    return _in_batches(docs.select("id", "text"), lambda t: enumerate(cut(t or "")), "chunk_index long, text string")
 
 
 def chunk_recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -112,12 +138,10 @@ def _fitted(parts: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def _cut_long(parts: DataFrame, size: int, overlap: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, s, c) for i, k, t in zip(b["id"], b["chunk_index"], b["text"], strict=True) for s, c in enumerate(pieces(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "sub", "text"])
+    def cut(k: int, text: str) -> Iterator[tuple]:
+        return ((k, s, c) for s, c in enumerate(pieces(text, size, overlap)))
 
-    return parts.select("id", "chunk_index", "text").mapInPandas(run, f"id {dict(parts.dtypes)['id']}, chunk_index long, sub long, text string")
+    return _in_batches(parts.select("id", "chunk_index", "text"), cut, "chunk_index long, sub long, text string")
 
 
 def chunk_markdown(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, preamble: bool = False) -> DataFrame:
@@ -276,12 +300,8 @@ def chunk_toc(docs: DataFrame, toc: DataFrame, size: int = SIZE, overlap: int =
         led = [f"[{title}] {c}" if title else c for title, p in parts for c in ([p] if len(p) <= size else pieces(p, size, overlap)) if c]
         return merge_small(led, size=size) if led else pieces(text, size, overlap)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, c) for i, t, e in zip(b["id"], b["text"], b["toc"], strict=True) for k, c in enumerate(cut(t or "", e))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "text"])
-
-    return docs.select("id", "text").join(listed, "id", "left").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, chunk_index long, text string")
+    joined = docs.select("id", "text").join(listed, "id", "left")
+    return _in_batches(joined, lambda t, e: enumerate(cut(t or "", e)), "chunk_index long, text string")
 
 
 def toc_sections(docs: DataFrame, toc: DataFrame) -> DataFrame:
@@ -334,12 +354,8 @@ def chunk_auto(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, toc: D
             found = {"code": code_blocks, "recursive": pieces}[kind](text, size, overlap) if kind != "table" else table_runs(text, size)
         return merge_small(found, size=size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, c, s) for i, t, s in zip(b["id"], b["text"], b["strategy"], strict=True) for k, c in enumerate(cut(s, t or ""))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "text", "strategy"])
-
-    return docs.select("id", "text", strategy("text").alias("strategy")).mapInPandas(run, f"id {dict(docs.dtypes)['id']}, chunk_index long, text string, strategy string")
+    kinds = docs.select("id", "text", strategy("text").alias("strategy"))
+    return _in_batches(kinds, lambda t, kind: ((k, c, kind) for k, c in enumerate(cut(kind, t or ""))), "chunk_index long, text string, strategy string")
 
 
 def parse_sections(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from tessera.operators import chunking
 from tessera.plans import corpus_plans
 
 TEXTS = {
@@ -76,3 +77,26 @@ def test_whole_texts_are_fenced_and_wrapped(spark, folder):
             assert f"```\n{t}\n```" in "\n".join(got[i]), i
         if i % 3 == 1:
             assert sum(c.count(t.replace("\n", "\\n")) for c in got[i]) == 2, i
+
+
+def test_chunks_leave_in_small_batches(monkeypatch):
+    """A batch of texts is not cut as a whole: chunks leave before the next texts are cut, with the same rows in the same order."""
+    import pyarrow as pa
+
+    class Rows:
+        dtypes = [("id", "bigint")]
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    monkeypatch.setattr(chunking, "HELD_CHARS", 1000)
+    cuts = []
+    work = chunking._in_batches(Rows(), lambda t: cuts.append(t) or enumerate([t[:300], t[300:]]), "chunk_index long, text string")
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(50), pa.int64()), "text": [f"{n}".zfill(600) for n in range(50)]})
+    out = work.run(iter([batch, batch.slice(0, 0)]))
+    first = next(out)
+    assert len(cuts) < 5 and first.num_rows < 10
+    rows = [r for b in (first, *out) for r in b.to_pylist()]
+    assert [(r["id"], r["chunk_index"]) for r in rows] == [(n, k) for n in range(50) for k in (0, 1)]
+    assert all(r["text"] == (f"{r['id']}".zfill(600)[:300] if r["chunk_index"] == 0 else f"{r['id']}".zfill(600)[300:]) for r in rows)
