@@ -56,6 +56,15 @@ def corpus_stats(posts: DataFrame, sizes: DataFrame) -> DataFrame:
     return docs.crossJoin(posts.agg(F.count_distinct("term").alias("total_terms")))  # one row each
 
 
+def corpus_stats_of(rows: DataFrame) -> DataFrame:
+    """As corpus_stats, of counted rows in one pass: a chunk's length travels with its first term, or alone where it has none."""
+    terms = rows.select("doc_length", F.posexplode_outer("counts.term").alias("at", "term"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    by_term = terms.groupBy("term").agg(F.count(F.when(first, 1)).alias("docs"), F.coalesce(F.sum(F.when(first, F.col("doc_length"))), F.lit(0)).alias("length"))
+    total = by_term.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("num_docs"), F.sum("length").alias("length"), F.count("term").alias("total_terms"))
+    return total.select("num_docs", F.coalesce(F.try_divide(F.col("length").cast("double"), "num_docs"), F.lit(0.0)).alias("avg_doc_length"), "total_terms")
+
+
 def idf(n: Column, df: Column) -> Column:
     """May be negative; there is no floor."""
     return F.log((n - df + 0.5) / (df + 0.5))

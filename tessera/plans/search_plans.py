@@ -94,8 +94,8 @@ def d2_term_stats(spark, sf_dir):
 
 @register(f"WITH {_POSTS}, {_LENS} SELECT (SELECT count(*) FROM lens)::BIGINT AS num_docs, (SELECT round(avg(doc_length), 6) FROM lens) AS avg_doc_length, (SELECT count(DISTINCT term) FROM posts)::BIGINT AS total_terms")
 def d3_corpus_stats(spark, sf_dir):
-    rows = bm25.counted(spread(table(spark, sf_dir, "documents")), "doc_id", "text").persist()
-    return bm25.corpus_stats(bm25.postings_of(rows), bm25.lengths_of(rows)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+    rows = bm25.counted(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+    return bm25.corpus_stats_of(rows).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
 
 
 @register(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idfs")

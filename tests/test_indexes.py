@@ -186,3 +186,14 @@ def test_the_best_of_all_batches_stay_with_ties_by_id():
         got = sorted(zip(q.tolist(), (-score).tolist(), ids.tolist(), strict=True))
         want = [r for n in range(4) for r in sorted(x for x in rows if x[0] == n)[:3]]
         assert got == sorted(want)
+
+
+def test_corpus_statistics_are_counted_in_one_pass(spark):
+    """As from postings and lengths, texts without terms and no text at all among them; no table is kept in memory for it."""
+    for rows in (texts(60), [("a", ""), ("b", None)], []):
+        own = counted(spark, rows)
+        got, want = (df.select("num_docs", "avg_doc_length", "total_terms").first() for df in (bm25.corpus_stats_of(own), bm25.corpus_stats(bm25.postings_of(own), bm25.lengths_of(own))))
+        assert got == want
+    if os.path.isdir(SF.format("sf0.001")):
+        plan = search_plans.d3_corpus_stats(spark, SF.format("sf0.001"))._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" not in plan and plan.count("FileScan") == 1
