@@ -46,6 +46,8 @@ SLOTS, SUMMED = 64, 64
 RATE, SHARD_RATE = 0.5, 0.3
 #: Noise classes drawn for a batch; all its tokens share them.
 NOISE = 96
+#: Leading bits of a hash by which the table of words is entered.
+LEADING = 20
 END = 0x1234567
 _LN10 = np.log(10)
 
@@ -77,10 +79,25 @@ class Counts:
         """The chance that the base model gives a word never seen."""
         return 0.1 / (self.total + 0.1 * (self.distinct + 1))
 
+    @cached_property
+    def begin(self) -> np.ndarray:
+        """Where the hashes of each run of equal leading bits begin: runs are so short that a look at the first mostly settles it."""
+        runs = np.arange(-(1 << LEADING - 1), 1 << LEADING - 1) << 64 - LEADING
+        return np.append(np.searchsorted(self.hash, runs), len(self.hash)).astype(np.int32)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each hash's place in the table, and whether it is there."""
-        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
-        return at, self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        run = (h >> 64 - LEADING) + (1 << LEADING - 1)
+        at, stop = np.minimum(self.begin[run], len(self.hash) - 1), self.begin[1:][run]
+        there = self.hash[at] == h
+        left = np.flatnonzero(~there & (at + 1 < stop))
+        while len(left):
+            at[left] += 1
+            there[left] = self.hash[at[left]] == h[left]
+            left = left[~there[left] & (at[left] + 1 < stop[left])]
+        return at, there
 
 
 @dataclass
@@ -146,18 +163,13 @@ def ngrams(classes: np.ndarray, lead: tuple[int, int] | np.ndarray = (0, 0)) ->
 
 
 def summed_by(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sum of the gradients of each."""
-    order = np.argsort(rows, kind="stable")
-    rows, grad = rows[order], grad[order]
-    at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    size = np.diff(np.append(at, len(rows)))
-    out = grad[at]
-    for k in range(1, 8):  # most rows come once or a few times: added side by side, without a loop over columns
-        more = np.flatnonzero(size > k)
-        out[more] += grad[at[more] + k]
-    for k in np.flatnonzero(size > 8):
-        out[k] += grad[at[k] + 8 : at[k] + size[k]].sum(0)
-    return rows[at], out
+    """The distinct rows, numbers of classes, and the sum of the gradients of each."""
+    at = np.flatnonzero(np.bincount(rows))
+    place = np.empty(at[-1] + 1, np.int64)
+    wide = grad.shape[1]
+    place[at] = np.arange(0, len(at) * wide, wide)
+    cell = place[rows][:, None] + np.arange(wide)
+    return at, np.bincount(cell.reshape(-1), grad.reshape(-1), len(at) * wide).astype(np.float32).reshape(-1, wide)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -177,33 +189,36 @@ def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate:
     scores = np.empty((batch, NOISE), np.float32)
 
     def move(k: int, rows: np.ndarray, grad: np.ndarray, step: float) -> None:
-        square = squares[k][rows] + grad * grad
+        square = grad * grad
+        square += squares[k].take(rows, 0)
         squares[k][rows] = square
-        values[k][rows] -= np.float32(step) * grad / np.sqrt(square)
+        change = np.float32(step) * grad
+        change /= np.sqrt(square, out=square)
+        values[k][rows] = np.subtract(values[k].take(rows, 0), change, out=change)
 
+    places = [c.astype(np.int16) for c in (codes // CLASSES**2, codes // CLASSES % CLASSES, codes % CLASSES)]
     for epoch in range(epochs):
         order = rng.permutation(len(codes))
         step = rate * (1 - epoch / epochs)
         for lo in range(0, len(codes), batch):
-            code = codes[order[lo : lo + batch]]
-            c2, c1, w = code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES
+            c2, c1, w = (c.take(order[lo : lo + batch]).astype(np.int64) for c in places)
             drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1], "right"), n - 1)  # shared by the batch
-            q, v, far = first[c1], word[w], word[drawn]
-            q += second[c2]
-            share = np.float32(1 / len(code))
+            q, v, far = first.take(c1, 0), word.take(w, 0), word.take(drawn, 0)
+            q += second.take(c2, 0)
+            share = np.float32(1 / len(w))
             g_w = _sigmoid(np.einsum("ij,ij->i", q, v) + (bias[w] - log_p[w] - log_k)) - 1
             g_w *= share
-            g_n = np.matmul(q, far.T, out=scores[: len(code)])
+            g_n = np.matmul(q, far.T, out=scores[: len(w)])
             g_n += bias[drawn] - log_p[drawn] - log_k
             _sigmoid(g_n)
             g_n *= share
             g_q = g_n @ far
             g_q += g_w[:, None] * v
             # the bias goes along as one more column
-            grad = np.empty((len(code) + NOISE, UNITS + 1), np.float32)
-            np.multiply(g_w[:, None], q, out=grad[: len(code), :UNITS])
-            np.matmul(g_n.T, q, out=grad[len(code) :, :UNITS])
-            grad[: len(code), UNITS], grad[len(code) :, UNITS] = g_w, g_n.sum(0)
+            grad = np.empty((len(w) + NOISE, UNITS + 1), np.float32)
+            np.multiply(g_w[:, None], q, out=grad[: len(w), :UNITS])
+            np.matmul(g_n.T, q, out=grad[len(w) :, :UNITS])
+            grad[: len(w), UNITS], grad[len(w) :, UNITS] = g_w, g_n.sum(0)
             rows, grad = summed_by(np.concatenate((w, drawn)), grad)
             move(0, rows, grad[:, :UNITS], step)
             move(3, rows, grad[:, UNITS], step)
