@@ -120,12 +120,12 @@ class Network:
 
     def log_chance(self, second: np.ndarray, first: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The log of each class's chance after the two classes before it, the nearer one being `first`."""
-        out = self.bias[c] - self.norm[first, second]
-        for lo in range(0, len(out), 4096):  # blocks that stay in the processor's cache
-            at = slice(lo, lo + 4096)
-            context = self.first[first[at]]
-            context += self.second[second[at]]
-            out[at] += np.einsum("ij,ij->i", context, self.word[c[at]])
+        out = self.bias.take(c) - self.norm.reshape(-1).take(first * self.norm.shape[1] + second)
+        for lo in range(0, len(out), 2048):  # blocks that stay in the processor's cache
+            at = slice(lo, lo + 2048)
+            context = self.first.take(first[at], 0)
+            context += self.second.take(second[at], 0)
+            out[at] += np.einsum("ij,ij->i", context, self.word.take(c[at], 0))
         return out
 
 
@@ -163,30 +163,38 @@ def ngrams(classes: np.ndarray, lead: tuple[int, int] | np.ndarray = (0, 0)) ->
 
 
 def summed_by(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, numbers of classes, and the sum of the gradients of each."""
+    """The distinct rows, numbers of classes, and the sum of the gradients of each.
+
+    Sums are of double width. Two columns are added at once, as the parts of a complex number.
+    """
     at = np.flatnonzero(np.bincount(rows))
-    place = np.empty(at[-1] + 1, np.int64)
     wide = grad.shape[1]
-    place[at] = np.arange(0, len(at) * wide, wide)
-    cell = place[rows][:, None] + np.arange(wide)
-    return at, np.bincount(cell.reshape(-1), grad.reshape(-1), len(at) * wide).astype(np.float32).reshape(-1, wide)
+    if wide % 2:
+        grad = np.concatenate((grad, np.zeros((len(grad), 1), grad.dtype)), 1)
+    pairs = np.ascontiguousarray(grad, np.float64).view(np.complex128)
+    place = np.empty(at[-1] + 1, np.int64)
+    place[at] = np.arange(0, len(at) * pairs.shape[1], pairs.shape[1])
+    sums = np.zeros((len(at), pairs.shape[1]), np.complex128)
+    np.add.at(sums.reshape(-1), (place[rows][:, None] + np.arange(pairs.shape[1])).reshape(-1), pairs.reshape(-1))
+    return at, sums.view(np.float64)[:, :wide].astype(np.float32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.maximum(x, -30, out=x)
-    np.exp(np.negative(x, out=x), out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """In place; what overflows has a chance of zero."""
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+@np.errstate(over="ignore")
 def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate: float, batch: int = 1024, seed: int = 3) -> Weights:
     """Go on from weights by noise-contrastive steps over n-grams, each occurrence a row, with noise drawn by p."""
     rng = np.random.default_rng(seed)
-    log_p, ladder, n, log_k = np.log(np.maximum(p, 1e-13)).astype(np.float32), np.cumsum(p), len(p), np.float32(np.log(NOISE))
+    ladder, n = np.cumsum(p), len(p)
+    log_kp = np.log(np.maximum(p, 1e-13)).astype(np.float32) + np.float32(np.log(NOISE))
     word, first, second, bias = values = [v.copy() for v in weights.values]
     squares = [q.copy() for q in weights.squares]
-    scores = np.empty((batch, NOISE), np.float32)
+    scores, ones = np.empty((batch, NOISE), np.float32), np.ones(batch, np.float32)
 
     def move(k: int, rows: np.ndarray, grad: np.ndarray, step: float) -> None:
         square = grad * grad
@@ -200,30 +208,34 @@ def learn(weights: Weights, codes: np.ndarray, p: np.ndarray, epochs: int, rate:
     for epoch in range(epochs):
         order = rng.permutation(len(codes))
         step = rate * (1 - epoch / epochs)
+        # noise classes of each batch, shared by its tokens
+        noises = np.minimum(np.searchsorted(ladder, rng.random((-(-len(codes) // batch), NOISE)) * ladder[-1], "right"), n - 1)
         for lo in range(0, len(codes), batch):
             c2, c1, w = (c.take(order[lo : lo + batch]).astype(np.int64) for c in places)
-            drawn = np.minimum(np.searchsorted(ladder, rng.random(NOISE) * ladder[-1], "right"), n - 1)  # shared by the batch
+            drawn = noises[lo // batch]
             q, v, far = first.take(c1, 0), word.take(w, 0), word.take(drawn, 0)
             q += second.take(c2, 0)
             share = np.float32(1 / len(w))
-            g_w = _sigmoid(np.einsum("ij,ij->i", q, v) + (bias[w] - log_p[w] - log_k)) - 1
-            g_w *= share
-            g_n = np.matmul(q, far.T, out=scores[: len(w)])
-            g_n += bias[drawn] - log_p[drawn] - log_k
-            _sigmoid(g_n)
-            g_n *= share
-            g_q = g_n @ far
-            g_q += g_w[:, None] * v
-            # the bias goes along as one more column
-            grad = np.empty((len(w) + NOISE, UNITS + 1), np.float32)
-            np.multiply(g_w[:, None], q, out=grad[: len(w), :UNITS])
-            np.matmul(g_n.T, q, out=grad[len(w) :, :UNITS])
-            grad[: len(w), UNITS], grad[len(w) :, UNITS] = g_w, g_n.sum(0)
-            rows, grad = summed_by(np.concatenate((w, drawn)), grad)
-            move(0, rows, grad[:, :UNITS], step)
-            move(3, rows, grad[:, UNITS], step)
-            move(1, *summed_by(c1, g_q), step)
-            move(2, *summed_by(c2, g_q), step)
+            g_w = _sigmoid_of_negative(log_kp[w] - bias[w] - np.einsum("ij,ij->i", q, v)) - 1
+            # signs and shares are worked into the small factors, not into the scores
+            g_n = np.matmul(q, np.negative(far).T, out=scores[: len(w)])
+            g_n += log_kp[drawn] - bias[drawn]
+            _sigmoid_of_negative(g_n)
+            q *= share
+            far *= share
+            v *= (g_w * share)[:, None]
+            v += g_n @ far
+            grad = np.empty((len(w) + NOISE, UNITS), np.float32)
+            np.multiply(g_w[:, None], q, out=grad[: len(w)])
+            np.matmul(g_n.T, q, out=grad[len(w) :])
+            to = np.concatenate((w, drawn))
+            rows, grad = summed_by(to, grad)
+            move(0, rows, grad, step)
+            on_bias = np.bincount(to, np.concatenate((g_w, ones[: len(w)] @ g_n)) * share, rows[-1] + 1)
+            move(3, rows, on_bias[rows].astype(np.float32), step)
+            of_context = v.astype(np.float64)
+            move(1, *summed_by(c1, of_context), step)
+            move(2, *summed_by(c2, of_context), step)
     return Weights(values, squares)
 
 
@@ -443,6 +455,12 @@ def train(docs: DataFrame, counts: Counts) -> Network:
     return weights.network()
 
 
+def summed_words(key: np.ndarray, h: np.ndarray, shared: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The text, hash and shared class of each word of each text, how often it occurs and the sum of its values. A text is known by its key."""
+    _, first, row = np.unique(C.mix(key.view(np.uint64)) + h.view(np.uint64), return_index=True, return_inverse=True)
+    return key[first], h[first], shared[first].astype(np.int32), np.bincount(row).astype(np.int32), np.bincount(row, value)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """The counts and both scores of each row's whole text; held-out rows are never learned from.
 
@@ -460,7 +478,7 @@ def score(docs: DataFrame) -> DataFrame:
         counts, net = spread.value
         end = counts.find(np.array([END]))
         end_count = float(counts.count[end[0][0]]) if end[1][0] else 0.0
-        within, in_table = np.log10(np.maximum(counts.class_total, 1e-9)), np.log10(counts.count)
+        within, in_table, in_base = np.log10(np.maximum(counts.class_total, 1e-9)), np.log10(counts.count), np.log10(counts.count + 0.1)
         for batch in batches:
             texts, ids = C.encoded(batch["text"]), batch["doc_id"].to_numpy()
             for lo, hi in C.slices(texts):
@@ -484,18 +502,19 @@ def score(docs: DataFrame) -> DataFrame:
                 value = np.bincount(doc[ours], log_class[ours], k)
                 place = there & (c > WORDS)
                 value += np.bincount(w.doc[place], in_table[at[place]] - within[c[place]], k) if place.any() else 0
-                base = np.bincount(w.doc[there], np.log10(counts.count[at[there]] + 0.1), k) if there.any() else np.zeros(k)
+                base = np.bincount(w.doc[there], in_base[at[there]], k) if there.any() else np.zeros(k)
                 known = np.bincount(w.doc[there], minlength=k) + (end_count > 0)
                 base = base + np.log10(end_count + 0.1)
                 key = w.text_keys(ids[lo:hi])
-                head = pd.DataFrame({"key": key, "hash": C.mix(key.view(np.uint64)).view(np.int64), "shared": np.int32(0), "times": np.int32(0), "doc_id": ids[lo:hi], "rows": np.int32(1), "n_tokens": w.count + 1, "known": known, "base": base, "value": value})
                 # rarer words are left to the join
                 far = ~there
-                rare = pd.DataFrame({"key": key[w.doc[far]], "hash": h[far], "shared": s[far].astype(np.int32), "times": np.int32(1), "value": log_class[word_at[far]]})
-                rare = rare.groupby(["key", "hash", "shared"], sort=False, as_index=False).sum()
-                yield pd.concat([head, rare.assign(doc_id=0, rows=0, n_tokens=0, known=0, base=0.0)], ignore_index=True)[names]
+                rare = summed_words(key[w.doc[far]], h[far], s[far], log_class[word_at[far]])
+                none = np.zeros(len(rare[0]), np.int64)
+                head = (key, C.mix(key.view(np.uint64)).view(np.int64), np.zeros(k, np.int32), np.zeros(k, np.int32), value, ids[lo:hi], np.ones(k, np.int32), w.count + 1, known, base)
+                rows = (*rare, none, none.astype(np.int32), none, none, none.astype(float))
+                yield pd.DataFrame({name: np.concatenate(x) for name, x in zip(names, zip(head, rows, strict=True), strict=True)})
 
-    schema = "key long, hash long, shared int, times int, doc_id long, rows int, n_tokens long, known long, base double, value double"
+    schema = "key long, hash long, shared int, times int, value double, doc_id long, rows int, n_tokens long, known long, base double"
     names = [c.split()[0] for c in schema.split(", ")]
     parts = docs.mapInPandas(run, schema)
     known_log = F.element_at(F.array(*(F.lit(float(np.log10(max(t, 1e-9)))) for t in counts.class_total[WORDS + 1 :])), F.col("shared") - WORDS)

@@ -27,3 +27,25 @@ def test_gradients_of_a_row_are_added_in_full():
     at, sums = neural_lm.summed_by(rows, grad)
     assert at.tolist() == [0, 7, 4095] and sums.dtype == np.float32
     assert sums[1].tolist() == [(1 << 24) + 2000] * 3 and sums[0].tolist() == sums[2].tolist() == [1, 1, 1]
+
+
+def test_gradients_of_odd_and_even_widths_and_words_of_texts_are_summed_apart():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 50, 400)
+    for wide in (1, 2, 5, 64):
+        grad = rng.normal(size=(400, wide)).astype(np.float32)
+        at, sums = neural_lm.summed_by(rows, grad)
+        plain = np.zeros((50, wide))
+        for row, g in zip(rows, grad, strict=True):
+            plain[row] += g
+        assert np.array_equal(at, np.unique(rows)) and np.array_equal(sums, plain[at].astype(np.float32))
+    key, h = np.array([5, 5, -3, 5, -3]), np.array([7, 8, 7, 7, 7])
+    got = sorted(zip(*(x.tolist() for x in neural_lm.summed_words(key, h, h + 100, np.arange(5.0))), strict=True))
+    assert got == [(-3, 7, 107, 2, 6.0), (5, 7, 107, 2, 3.0), (5, 8, 108, 1, 1.0)]
+    assert [len(x) for x in neural_lm.summed_words(*(key[:0],) * 3, np.zeros(0))] == [0] * 5
+
+
+def test_the_chance_of_noise_may_overflow_to_nothing():
+    with np.errstate(over="ignore"):
+        got = neural_lm._sigmoid_of_negative(np.array([-200, -1, 0, 1, 50, 200], np.float32))
+    assert np.allclose(got, [1, 0.7310586, 0.5, 0.26894143, 0, 0])
