@@ -124,7 +124,7 @@ class Words:
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.base = np.cumsum(sizes + 1) - sizes - 1
-        self.space = _IS_SPACE[self.buf]
+        self.space = _IS_SPACE.take(self.buf)
         edge = np.flatnonzero(np.diff(np.concatenate(([True], self.space))))
         self.start, self.end = edge[::2], edge[1::2]
         self.doc = np.searchsorted(self.base, self.start, "right") - 1

@@ -247,6 +247,14 @@ def fit(classes: np.ndarray, floor: np.ndarray, epochs: int = 4, batch: int = 10
     return learn(begun(floor, seed), ngrams(classes), noise(floor), epochs, rate, batch, seed).network()
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, a place of each, any of them, and how often it occurs."""
+    order = np.argsort(h)
+    h = h[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1])))
+    return h[start], order[start], np.diff(np.append(start, len(h)))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """(hash, count, shared): each training word's exact count and its shared class; END for the ends."""
 
@@ -264,7 +272,7 @@ def _counted(docs: DataFrame) -> DataFrame:
             texts = C.encoded(batch["text"])
             for lo, hi in C.slices(texts):
                 _, h, s = word_table(texts[lo:hi])
-                u, first, c = np.unique(h, return_index=True, return_counts=True)
+                u, first, c = distinct(h)
                 held.append((np.append(u, END), np.append(c, hi - lo), np.append(s[first], 0).astype(np.int32)))
             if sum(len(x[0]) for x in held) > 1_500_000:
                 yield flush()

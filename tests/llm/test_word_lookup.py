@@ -49,3 +49,10 @@ def test_the_chance_of_noise_may_overflow_to_nothing():
     with np.errstate(over="ignore"):
         got = neural_lm._sigmoid_of_negative(np.array([-200, -1, 0, 1, 50, 200], np.float32))
     assert np.allclose(got, [1, 0.7310586, 0.5, 0.26894143, 0, 0])
+
+
+def test_distinct_hashes_with_a_place_and_a_count():
+    h = np.random.default_rng(2).integers(-9, 9, 300)
+    u, at, n = neural_lm.distinct(h)
+    assert [x.tolist() for x in (u, n)] == [x.tolist() for x in np.unique(h, return_counts=True)] and np.array_equal(h[at], u)
+    assert [len(x) for x in neural_lm.distinct(h[:0])] == [0, 0, 0]
